@@ -8,7 +8,10 @@ n-grams as pivots: d(x, {g}) is 1 - 1/|x| where x holds g and 1 elsewhere, so
 a document's nearest pivots are its own n-grams, ranked rarest first. If
 J(x, y) >= t, y misses at most |x| - ceil(t|x|) n-grams of x, so the window of
 pivots into which x is replicated is its first |x| - ceil(t|x|) + 1 n-grams;
-two near documents share at least one such cell.
+two near documents share at least one such cell. The window is longer by a
+fiftieth of |x|, whence they share a fiftieth more of the smaller set, and
+unrelated long documents with an n-gram or two in common are told apart
+before their sets travel.
 
 Inside the cells documents are the pivots: each document's home is the Voronoi
 region of the document it meets most often as its cells' smallest id.
@@ -85,8 +88,13 @@ def gram_ranks(texts: DataFrame, n: int, bits: int) -> np.ndarray:
     return out.ravel()
 
 
-def prefix_lengths(sizes: np.ndarray, t: float) -> np.ndarray:
-    return np.where(sizes > 0, sizes - np.ceil(t * sizes - EPS).astype(np.int64) + 1, 0)
+def extra_cells(sizes: np.ndarray) -> np.ndarray:
+    """Cells beyond the first that a document's window guarantees with each partner."""
+    return sizes // 50
+
+
+def window_lengths(sizes: np.ndarray, t: float) -> np.ndarray:
+    return np.where(sizes > 0, np.minimum(sizes, sizes - np.ceil(t * sizes - EPS).astype(np.int64) + 1 + extra_cells(sizes)), 0)
 
 
 def _signatures(n: int, t: float, bits: int, ranks, buckets: int) -> Callable:
@@ -117,7 +125,7 @@ def _signatures(n: int, t: float, bits: int, ranks, buckets: int) -> Callable:
                 key = (rows.astype(np.uint64) << U64(48)) | (order << U64(40)) | (grams & U64((1 << 40) - 1))
                 key.sort()
                 at = np.arange(len(key)) - bounds[:-1][rows]
-                keep = at < prefix_lengths(sizes, t)[rows]
+                keep = at < window_lengths(sizes, t)[rows]
                 rows, at = rows[keep], at[keep]
                 held.append((key[keep] & U64((1 << 48) - 1), ids[a:b][rows], sizes[rows].astype(np.int32), at.astype(np.int32)))
                 count += len(rows)
@@ -130,17 +138,24 @@ def _signatures(n: int, t: float, bits: int, ranks, buckets: int) -> Callable:
     return run
 
 
-def possible(sa: np.ndarray, pa_: np.ndarray, sb: np.ndarray, pb: np.ndarray, t: float) -> np.ndarray:
-    """Whether sets of these sizes, the first common element at these positions, can reach J >= t."""
-    need = t / (1 + t) * (sa + sb) - EPS
-    return (np.minimum(sa, sb) >= t * np.maximum(sa, sb) - EPS) & (1 + np.minimum(sa - pa_ - 1, sb - pb - 1) >= need)
+def sizes_fit(sa: np.ndarray, sb: np.ndarray, t: float) -> np.ndarray:
+    return np.minimum(sa, sb) >= t * np.maximum(sa, sb) - EPS
+
 
+def places_fit(sa: np.ndarray, pa_: np.ndarray, sb: np.ndarray, pb: np.ndarray, t: float) -> np.ndarray:
+    """Whether sets of these sizes, their first common element at these places, can reach J >= t."""
+    return 1 + np.minimum(sa - pa_ - 1, sb - pb - 1) >= t / (1 + t) * (sa + sb) - EPS
 
-FOUND = "kind int, x long, p long, votes long, h long, ids array<long>, sizes array<int>"
+
+FOUND = "kind int, x long, p long, votes long, need int, fits boolean, h long, ids array<long>, sizes array<int>"
 
 
 def _cells(t: float) -> Callable:
-    """Pairs that meet in a cell (kind 0), with the number of cells; members of larger cells (kind 1)."""
+    """Pairs that meet in a cell (kind 0), with the number of cells; members of larger cells (kind 1).
+
+    All cells of a pair count where none of them is a larger one; pairs that
+    meet in a larger one are found by its members.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = [[], [], [], []]
@@ -159,12 +174,16 @@ def _cells(t: float) -> Callable:
         cell = cell[order]
         starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
         counts = np.diff(np.append(starts, len(cell)))
-        xs, ps, lists = [], [], {}
+        xs, ps, needs, fits, lists = [], [], [], [], {}
 
         def meet(i: np.ndarray, j: np.ndarray) -> None:
-            ok = (ids[i] != ids[j]) & possible(sizes[i].astype(np.int64), pos[i], sizes[j].astype(np.int64), pos[j], t)
-            xs.append(np.maximum(ids[i], ids[j])[ok])
-            ps.append(np.minimum(ids[i], ids[j])[ok])
+            sa, sb = sizes[i].astype(np.int64), sizes[j].astype(np.int64)
+            ok = (ids[i] != ids[j]) & sizes_fit(sa, sb, t)
+            i, j, sa, sb = i[ok], j[ok], sa[ok], sb[ok]
+            xs.append(np.maximum(ids[i], ids[j]))
+            ps.append(np.minimum(ids[i], ids[j]))
+            needs.append(1 + extra_cells(np.minimum(sa, sb)))
+            fits.append(places_fit(sa, pos[i], sb, pos[j], t))
 
         for c in range(2, SMALL_CELL + 1):
             first = starts[counts == c]
@@ -176,27 +195,29 @@ def _cells(t: float) -> Callable:
             o = o[np.unique(ids[o], return_index=True)[1]]
             meet(o[1:], np.repeat(o[:1], len(o) - 1))
             lists[ids[o].tobytes()] = (ids[o], sizes[o])
-        code, votes = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
-        x, p = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ps))
+        x, p, need = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ps, needs))
+        fit, votes = np.concatenate(fits) if fits else np.zeros(0, bool), np.zeros(0, np.int64)
         if len(x):
             o = np.lexsort((p, x))
-            x, p = x[o], p[o]
+            x, p, need, fit = x[o], p[o], need[o], fit[o]
             new = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (p[1:] != p[:-1])]))
             votes = np.diff(np.append(new, len(x)))
-            code = np.column_stack([x[new], p[new]])
-        m, k = len(code), len(lists)
+            # Rows that repeat an id may differ in size: the least need holds.
+            x, p, need, fit = x[new], p[new], np.minimum.reduceat(need, new), np.logical_or.reduceat(fit, new)
+        m, k = len(x), len(lists)
         if not m + k:
             return
         names = [int(np.bitwise_xor.reduce(G.mix(a.view(np.uint64) + G.mix(np.arange(len(a), dtype=np.uint64)))).view(np.int64)) for a, _ in lists.values()]
         pad = lambda v: pa.array(np.concatenate([v, np.zeros(k, np.int64)]))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.repeat([0, 1], [m, k]), pa.int32()), pad(code[:, 0]), pad(code[:, 1]), pad(votes),
+                pa.array(np.repeat([0, 1], [m, k]), pa.int32()), pad(x), pad(p), pad(votes),
+                pa.array(np.concatenate([need, np.zeros(k, np.int64)]).astype(np.int32)), pa.array(np.concatenate([fit, np.zeros(k, bool)])),
                 pa.array([0] * m + names, pa.int64()),
                 pa.array([None] * m + [a for a, _ in lists.values()], pa.list_(pa.int64())),
                 pa.array([None] * m + [s for _, s in lists.values()], pa.list_(pa.int32())),
             ],
-            ["kind", "x", "p", "votes", "h", "ids", "sizes"],
+            ["kind", "x", "p", "votes", "need", "fits", "h", "ids", "sizes"],
         )
 
     return run
@@ -208,7 +229,8 @@ def _routes(found: DataFrame, t: float) -> DataFrame:
     Two documents that meet in a cell are both in some region: their common
     home, or the smaller of their homes, to which the other is replicated.
     """
-    pairs = cut(found.where("kind = 0").groupBy("x", "p").agg(F.sum("votes").alias("votes")))
+    met = found.where("kind = 0").groupBy("x", "p").agg(F.sum("votes").alias("votes"), F.min("need").alias("need"), F.max("fits").alias("fits"))
+    pairs = cut(met.where("fits AND votes >= need").select("x", "p", "votes"))
     home = cut(pairs.groupBy("x").agg(F.max_by("p", F.struct("votes", -F.col("p"))).alias("home")))
     of = lambda name: home.select(F.col("x").alias(name), F.col("home").alias(f"{name}_home"))
     sides = pairs.select("x", "p").join(of("x"), "x").join(of("p"), "p", "left").withColumn("p_home", F.coalesce("p_home", "p"))
