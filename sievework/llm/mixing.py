@@ -84,12 +84,14 @@ def leaf_budgets(supply: Mapping[tuple[str, str, str], int], mix: Mix) -> dict[t
     return down((), mix.share * total if mix.budget is None else mix.budget) if supply else {}
 
 
-def _leaves(docs: DataFrame, mix: Mix, lang_col: str, source_col: str) -> DataFrame:
+def _leaves(docs: DataFrame, mix: Mix, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    """(row, id, text, domain, lang, source): the rows whole, so that no name of theirs clashes."""
     source = F.coalesce(F.col(source_col), F.lit(""))
     domain = F.lit(mix.other)
     for name in sorted(set(mix.domains.values())):
         domain = F.when(source.isin([s for s, d in mix.domains.items() if d == name]), F.lit(name)).otherwise(domain)
-    return docs.withColumns({"__domain": domain, "__lang": F.coalesce(F.col(lang_col), F.lit("")), "__source": source})
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), domain.alias("domain"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), source.alias("source"))
+    return rows.where("id IS NOT NULL")
 
 
 def token_count(text) -> F.Column:
@@ -97,44 +99,46 @@ def token_count(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
-LEAF = ["__domain", "__lang", "__source"]
+LEAF = ["domain", "lang", "source"]
 
 
 def mixed(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", broadcast_rows: int = 1_000_000) -> DataFrame:
-    """The rows of docs, all columns kept, once for each epoch that uses them; __epoch, __domain, __lang and __source added.
+    """(row, epoch, domain, lang, source): the rows of docs, each whole as a struct, once for each epoch that uses them.
 
     A null language or source is the leaf "". Rows with a null id are left
-    out; rows that repeat an id are used alike. Documents without tokens cost
+    out; rows that repeat an id are used alike, as long as the first of them
+    in order of tokens fits. Documents without tokens cost
     nothing and come with the epoch that reaches them. The prefix ends before
-    the first document that doesn't fit. Only the order inside one of the
+    the first document that doesn't fit. An empty table gives no rows, and a
+    name of docs may be any. Only the order inside one of the
     4096 bins of a leaf's last epoch needs sorting; all other rows are decided
     where they are read, so no text is shuffled.
     """
     spark = docs.sparkSession
-    rows = _leaves(docs, mix, lang_col, source_col).withColumn("__id", F.col(id_col).cast("long")).where("__id IS NOT NULL")
-    light = cut(rows.select("__id", *LEAF, token_count(F.col(text_col)).alias("__n")))
-    supply = {tuple(r[:3]): r[3] for r in light.groupBy(*LEAF).agg(F.sum("__n")).collect()}
+    rows = _leaves(docs, mix, id_col, text_col, lang_col, source_col)
+    light = cut(rows.select("id", *LEAF, token_count(F.col("text")).alias("n")))
+    supply = {tuple(r[:3]): r[3] for r in light.groupBy(*LEAF).agg(F.sum("n")).collect()}
     plan = []
     for leaf, budget in leaf_budgets(supply, mix).items():
         # A leaf without tokens is used whole once, as it costs nothing.
         full = min(mix.epochs, budget // supply[leaf]) if supply[leaf] else 1
-        plan.append((*leaf, int(full), int(budget - full * supply[leaf]) if full < mix.epochs else -1))
-    names = T.StructType([T.StructField(c, T.StringType()) for c in LEAF] + [T.StructField("__full", T.IntegerType()), T.StructField("__rest", T.LongType())])
+        plan.append((*leaf, int(full), int(budget - full * supply[leaf]) if full < mix.epochs and supply[leaf] else -1))
+    names = T.StructType([T.StructField(c, T.StringType()) for c in LEAF] + [T.StructField("full", T.IntegerType()), T.StructField("rest", T.LongType())])
     plans = F.broadcast(spark.createDataFrame(plan, names))
-    key = F.xxhash64(F.lit(mix.seed), F.col("__full"), F.col("__id"))
-    binned = light.join(plans, LEAF).withColumn("__key", key).withColumn("__bin", F.pmod(F.shiftrightunsigned("__key", 52), F.lit(BINS)).cast("int"))
-    totals = binned.groupBy(*LEAF, "__bin", "__rest").agg(F.sum("__n").alias("__sum"))
-    totals = totals.withColumn("__before", F.sum("__sum").over(Window.partitionBy(*LEAF).orderBy("__bin")) - F.col("__sum"))
-    edge = cut(totals.where("__before <= __rest AND __before + __sum > __rest").select(*LEAF, "__bin", "__before"))
-    order = Window.partitionBy(*LEAF).orderBy(F.shiftrightunsigned("__key", 1), "__id", "__n")
-    inside = binned.join(F.broadcast(edge), [*LEAF, "__bin"]).withColumn("__upto", F.col("__before") + F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    chosen = cut(inside.where("__upto <= __rest").select(F.col("__id").alias("__chosen")).distinct())
+    key = F.xxhash64(F.lit(mix.seed), F.col("full"), F.col("id"))
+    bin_of = F.pmod(F.shiftrightunsigned("key", 52), F.lit(BINS)).cast("int").alias("bin")
+    binned = light.join(plans, LEAF).withColumn("key", key).select("*", bin_of)
+    totals = binned.groupBy(*LEAF, "bin", "rest").agg(F.sum("n").alias("sum"))
+    totals = totals.withColumn("before", F.sum("sum").over(Window.partitionBy(*LEAF).orderBy("bin")) - F.col("sum"))
+    edge = cut(totals.where("before <= rest AND before + sum > rest").select(*LEAF, "bin", "before"))
+    order = Window.partitionBy(*LEAF).orderBy(F.shiftrightunsigned("key", 1), "id", "n")
+    inside = binned.join(F.broadcast(edge), [*LEAF, "bin"]).withColumn("upto", F.col("before") + F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    chosen = cut(inside.where("upto <= rest").select(F.col("id").alias("chosen")).distinct())
     if chosen.count() <= broadcast_rows:
         chosen = F.broadcast(chosen)
-    edges = F.broadcast(edge.select(*LEAF, F.col("__bin").alias("__edge")))
-    out = rows.join(plans, LEAF).join(edges, LEAF, "left").withColumn("__bin", F.pmod(F.shiftrightunsigned(key, 52), F.lit(BINS)).cast("int"))
-    out = out.join(chosen, out["__id"] == chosen["__chosen"], "left")
-    partial = (F.col("__rest") >= 0) & (F.col("__edge").isNull() | (F.col("__bin") < F.col("__edge")) | ((F.col("__bin") == F.col("__edge")) & F.col("__chosen").isNotNull()))
-    used = F.col("__full") + partial.cast("int")
-    out = out.withColumn("__used", used).where("__used > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__used") - 1)))
-    return out.select(*docs.columns, "__epoch", *LEAF)
+    edges = F.broadcast(edge.select(*LEAF, F.col("bin").alias("edge")))
+    out = rows.join(plans, LEAF).join(edges, LEAF, "left").withColumn("key", key).select("*", bin_of)
+    out = out.join(chosen, out["id"] == chosen["chosen"], "left")
+    partial = (F.col("rest") >= 0) & (F.col("edge").isNull() | (F.col("bin") < F.col("edge")) | ((F.col("bin") == F.col("edge")) & F.col("chosen").isNotNull()))
+    out = out.withColumn("used", F.col("full") + partial.cast("int")).where("used > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(0), F.col("used") - 1)).alias("epoch"), *LEAF)

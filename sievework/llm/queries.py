@@ -66,7 +66,7 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = mixing.mixed(docs, MIX)
-    return out.select("doc_id", F.col("__domain").alias("domain"), F.col("__lang").alias("lang"), F.col("__source").alias("source"), mixing.token_count(F.col("text")).alias("n_tokens"), F.col("__epoch").alias("epoch"))
+    return out.select("row.doc_id", *mixing.LEAF, mixing.token_count(F.col("row.text")).alias("n_tokens"), "epoch")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Toxicity: FTRL-proximal logistic regression over hashed n-grams and skip-grams.
 
-Features are hashed words, word bigrams and word pairs that skip one word,
-each counted once for a document. Coordinates have rates of their own, and L1
+Features are hashed words, the beginnings of longer words, word bigrams and
+word pairs that skip one word, each counted once for a document. Beginnings
+let an insult be known in a form that training hasn't seen. Coordinates have rates of their own, and L1
 drives most weights to exact zero, so the model is a short sorted list of
 (bucket, weight) that is small enough to broadcast at any corpus size.
 """
@@ -21,6 +22,7 @@ from . import grams as G
 U64 = np.uint64
 TRAIN_ROWS = 30_000
 HOLD_OUT = 5
+PREFIXES = (4, 5, 6, 7, 8)
 
 
 @dataclass
@@ -34,8 +36,13 @@ class Model:
 
 def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct feature buckets of each row, as row << bits | bucket, and row offsets."""
-    h, rows = G.words(data, offsets)
+    starts, ends, rows = G.spans(data, offsets)
+    h = G.span_hashes(data, starts, ends)
     parts, at = [h], [rows]
+    for k in PREFIXES:
+        longer = ends - starts > k
+        parts.append(G.mix(G.span_hashes(data, starts[longer], starts[longer] + k) + U64(k)))
+        at.append(rows[longer])
     for gap in (1, 2):
         if len(h) > gap:
             same = rows[gap:] == rows[:-gap]
@@ -48,12 +55,12 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarr
     return key, np.searchsorted(key, np.arange(len(offsets), dtype=np.uint64) << U64(bits))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.5, l2: float = 1.0, epochs: int = 4, seed: int = 7) -> tuple[np.ndarray, float]:
+def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0, epochs: int = 8, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights of 2**bits buckets and the bias. Rows are visited in a seeded order, the same each time."""
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
     bias = 1 << bits
     rng = np.random.Generator(np.random.PCG64(seed))
-    full = [np.append(r, bias) for r in rows]
+    full = [np.append(r, np.int32(bias)) for r in rows]
 
     def weights(i: np.ndarray) -> np.ndarray:
         zi = z[i]
@@ -99,7 +106,7 @@ def _train(bits: int):
         for batch in batches:
             for a, b, data, offsets in G.text_chunks(batch):
                 key, cuts = features(data, offsets, bits)
-                bucket = (key & U64((1 << bits) - 1)).astype(np.int64)
+                bucket = (key & U64((1 << bits) - 1)).astype(np.int32)
                 rows += [bucket[s:e] for s, e in zip(cuts[:-1], cuts[1:])]
                 ids.append(batch.column(0).slice(a, b - a).to_numpy())
                 labels.append(batch.column(2).slice(a, b - a).to_numpy())
@@ -109,7 +116,7 @@ def _train(bits: int):
             held = np.arange(len(rows)) % HOLD_OUT == 0
             w, bias = fit([r for r, h in zip(rows, held) if not h], y[~held], bits)
             score = np.array([w[r].sum() + bias for r, h in zip(rows, held) if h])
-            threshold = max(0.0, best_threshold(score, y[held])) if len(score) else 0.0
+            threshold = best_threshold(score, y[held]) if len(score) else 0.0
             kept = np.flatnonzero(w)
             yield pa.RecordBatch.from_arrays([pa.array([kept], pa.list_(pa.int32())), pa.array([w[kept]], pa.list_(pa.float64())), pa.array([bias]), pa.array([threshold])], ["buckets", "weights", "bias", "threshold"])
 
