@@ -59,6 +59,11 @@ def _tail(parts: Column) -> Column:
     return F.when(parts["query"] != "", F.concat(F.lit("?"), parts["query"])).otherwise("")
 
 
+def _slashed(p: Column) -> Column:
+    """A path that .. has taken above the root still starts there."""
+    return F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p))
+
+
 def _merged(base_path: Column, p: Column) -> Column:
     """Path of a reference below the base's folder; empty segments inside vanish."""
     segments = F.split(F.concat(F.regexp_replace(base_path, "[^/]*$", ""), p), "/")
@@ -80,8 +85,8 @@ def resolve(href: Column, base: Column) -> Column:
             .when(h["netloc"] != "", F.concat(b["scheme"], F.lit("://"), h["netloc"], h["path"], _tail(h)))
             .when((h["path"] == "") & (h["query"] == ""), F.concat(root, b["path"], _tail(b)))
             .when(h["path"] == "", F.concat(root, b["path"], _tail(h)))
-            .when(h["path"].startswith("/"), F.concat(root, F.coalesce(F.nullif(rooted, F.lit("")), F.lit("/")), _tail(h)))
-            .otherwise(F.concat(root, F.coalesce(F.nullif(relative, F.lit("")), F.lit("/")), _tail(h)))
+            .when(h["path"].startswith("/"), F.concat(root, _slashed(rooted), _tail(h)))
+            .otherwise(F.concat(root, _slashed(relative), _tail(h)))
         )
 
     return let(F.named_struct(F.lit("h"), split_url(href), F.lit("b"), split_url(base)), lambda x: of(x["h"], x["b"]))
