@@ -38,6 +38,7 @@ EPS = 1e-9
 SMALL_CELL = 16
 FLUSH = 1_000_000
 BLOCK = 2048
+FOUND_ROWS, FOUND_LISTS = 1 << 16, 256
 SKETCH_PARTS = 64
 
 
@@ -209,7 +210,7 @@ def _cells(t: float) -> Callable:
             return
         names = [int(np.bitwise_xor.reduce(G.mix(a.view(np.uint64) + G.mix(np.arange(len(a), dtype=np.uint64)))).view(np.int64)) for a, _ in lists.values()]
         pad = lambda v: pa.array(np.concatenate([v, np.zeros(k, np.int64)]))
-        yield pa.RecordBatch.from_arrays(
+        out = pa.RecordBatch.from_arrays(
             [
                 pa.array(np.repeat([0, 1], [m, k]), pa.int32()), pad(x), pad(p), pad(votes),
                 pa.array(np.concatenate([need, np.zeros(k, np.int64)]).astype(np.int32)), pa.array(np.concatenate([fit, np.zeros(k, bool)])),
@@ -219,6 +220,11 @@ def _cells(t: float) -> Callable:
             ],
             ["kind", "x", "p", "votes", "need", "fits", "h", "ids", "sizes"],
         )
+        # In slices, so that the JVM never holds all of a task's pairs and lists at once.
+        for a in range(0, m, FOUND_ROWS):
+            yield out.slice(a, min(FOUND_ROWS, m - a))
+        for a in range(m, m + k, FOUND_LISTS):
+            yield out.slice(a, FOUND_LISTS)
 
     return run
 

@@ -35,7 +35,9 @@ MIX = mixing.Mix(
     share=0.95,
     epochs=2,
 )
-NEAR_THRESHOLD, NEAR_N = 0.7, 3
+# A copy with every twentieth word changed keeps a Jaccard similarity of about 0.74 on word 3-grams, one with every eleventh 0.6;
+# unrelated texts that share a passage come to 0.35 at most. The threshold lies in the gap between.
+NEAR_THRESHOLD, NEAR_N = 0.5, 3
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,10 @@ import random
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sievework.llm import jaccard_join as jj
+from sievework.llm import queries as Q
 from sievework.llm.components import components
 from sievework.llm.exact_dedup import CountingQuotientFilter, drop_exact_duplicates, exact_duplicates
 
@@ -103,6 +105,33 @@ def test_whole_documents_table(spark):
     assert {(r[0], r[1]) for r in jj.jaccard_join(docs, 0.7, 3).collect()} == set(want)
 
 
+def test_registered_threshold_finds_planted_copies(make_docs):
+    """Copies with about 3 to 9 % of their words changed; unrelated texts with a common passage are none."""
+    rng = random.Random(17)
+    words = [f"w{i}" for i in range(5000)]
+    rows, planted = [], set()
+    for k in range(80):
+        base = [rng.choice(words) for _ in range(rng.choice([60, 150, 400]))]
+        copy = list(base)
+        for at in rng.sample(range(len(copy)), round(len(copy) * (0.03 + 0.06 * k / 79))):
+            copy[at] = rng.choice(words)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        planted.add((2 * k, 2 * k + 1))
+    passage = " ".join(rng.choice(words) for _ in range(40))
+    rows += [(1000 + k, " ".join(rng.choice(words) for _ in range(80)) + " " + passage) for k in range(20)]
+    got = {(r[0], r[1]) for r in jj.jaccard_join(make_docs(rows), Q.NEAR_THRESHOLD, Q.NEAR_N).collect()}
+    assert got <= planted and len(got) >= 0.98 * len(planted)
+    left = {r["doc_id"] for r in jj.drop_near_duplicates(make_docs(rows), Q.NEAR_THRESHOLD, Q.NEAR_N).collect()}
+    assert left == {i for i, _ in rows} - {b for _, b in got}
+
+
+def test_light_edits_in_the_documents_table(spark):
+    """Pairs of sf0.1 with J from .698 to .7, the same text with some 6 % of its words changed."""
+    pairs = {(7264, 9351), (7225, 9651), (6627, 8984)}
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where(F.col("doc_id").isin([i for p in pairs for i in p]))
+    assert {(r[0], r[1]) for r in jj.jaccard_join(docs, Q.NEAR_THRESHOLD, Q.NEAR_N).collect()} == pairs
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 400)] + [(rng.randrange(500, 900), rng.randrange(500, 900)) for _ in range(300)]
