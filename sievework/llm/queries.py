@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ URL_RULES = [
     (13, "example.com", "allow"),
     (14, "com", "review"),
 ]
+BLOCK_LIST = [line.split()[1] for line in Path(__file__).with_name("block_list.txt").read_text().splitlines() if line and not line.startswith("#")]
+URL_RULES += [(100 + k, host, "block") for k, host in enumerate(BLOCK_LIST)]
 SRC_DOMAINS = {"src0": "web", **{f"src{i}": "forum" for i in range(1, 7)}, **{f"src{i}": "news" for i in range(7, 14)}, **{f"src{i}": "reference" for i in range(14, 20)}}
 MIX = mixing.Mix(
     domains=SRC_DOMAINS,

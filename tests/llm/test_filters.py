@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sievework.llm import license_scan, quality, toxicity, url_filter
 from sievework.llm import queries as Q
@@ -51,6 +52,13 @@ def test_many_random_rules(spark):
         assert {x["page_id"]: x["rule_id"] for x in url_filter.match_urls(p, r, broadcast_rows=limit).collect()} == want
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1", "check_s"])
+def test_junk_hosts_are_blocked_at_every_size(spark, sf):
+    junk = F.regexp_extract("url", "://([^/?#]*)", 1).rlike(r"(^|\.)(cheap-pills|casino-win|free-bets|ads-track|spam-farm|adult-x)\.")
+    got = {r["action"]: r["count"] for r in Q.op1_url_filters(spark, f"/root/testdata/{sf}").where(junk).groupBy("action").count().collect()}
+    assert set(got) == {"block"} and got["block"] >= 3
+
+
 def _places(text: str, template: str) -> list[tuple[int, int]]:
     compiled = {"t": license_scan.compile_template(template)}
     return [(a, b) for _, a, b in license_scan.find(license_scan.tokens(text), compiled)]
