@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -84,6 +87,44 @@ def test_license_full_text(make_docs):
     assert license_scan.scan_licenses(make_docs([])).count() == 0
 
 
+LONG_FILES = Path(license_scan.__file__).with_name("licenses")
+
+
+def _found(make_docs, texts: list[str]) -> list[set[str]]:
+    got = license_scan.scan_licenses(make_docs(list(enumerate(texts)))).collect()
+    return [{r["license"] for r in got if r["doc_id"] == k} for k in range(len(texts))]
+
+
+def _plain(template: str) -> str:
+    return re.sub(r"<<var[^>]*>>", "THE AUTHOR", re.sub(r"<<(begin|end)Optional>>", "", template))
+
+
+def test_short_licenses_are_whole(make_docs):
+    two, three, isc = (_plain(license_scan.TEMPLATES[k]) for k in ("BSD-2-Clause", "BSD-3-Clause", "ISC"))
+    grant = two[: two.index("THIS SOFTWARE IS")]
+    assert _found(make_docs, [two, three, isc, grant, isc[: isc.index("THE SOFTWARE IS")]]) == [{"BSD-2-Clause"}, {"BSD-3-Clause"}, {"ISC"}, set(), set()]
+
+
+def test_long_licenses(make_docs):
+    names = sorted(license_scan.LONG_TEMPLATES)
+    texts = [(LONG_FILES / f"{n}.txt").read_text() for n in names]
+    for n, found in zip(names, _found(make_docs, ["word " * 50 + t for t in texts])):
+        assert n in found and not (found - {n}) & set(names)
+    halves = [t[: len(t) // 2] for t in texts]
+    assert not set().union(*_found(make_docs, halves)) & set(names)
+
+
+@pytest.mark.parametrize("text, want", [
+    ("Licensed under the MIT License", {"MIT-notice"}), ("distributed under the terms of the MIT license.", {"MIT-notice"}),
+    ("under the terms of the GNU General Public License as published by", {"GPL-notice"}), ("licensed under the GNU General Public License", {"GPL-notice"}),
+    ("This work is licensed under the GNU Lesser General Public License, version 3", {"LGPL-notice"}), ("under the terms of the GNU Affero General Public License", {"AGPL-notice"}),
+    ("subject to the terms of the Mozilla Public License, v. 2.0.", {"MPL-notice"}), ("under the Apache License 2.0", {"Apache-2.0-notice"}), ("under the 3-Clause BSD License", {"BSD-notice"}),
+    ("licensed under CC BY 4.0", {"CC-BY-notice"}), ("CC BY-SA 4.0", {"CC-BY-SA-notice"}), ("a Creative Commons Attribution-NonCommercial 4.0 International License", {"CC-BY-NC-name"}), ("the license of the house", set()),
+])
+def test_general_notices(text, want):
+    assert {m[0] for m in license_scan.find(license_scan.tokens(text), {k: license_scan.compile_template(t) for k, t in license_scan.TEMPLATES.items()})} == want
+
+
 def test_toxicity_held_out(spark):
     """Trained on four fifths of the labelled rows, tried on the rest; a tenth of the toxic labels there are on junk without a toxic word."""
     sf = "/root/testdata/sf0.1"
