@@ -6,6 +6,12 @@ estimated success: perturbation sets are ranked once by the expected squared
 distances to the M boundaries on either side, and mapped to each query's own
 boundaries by their rank. Every visited bucket is searched by exact distance;
 the tables' best are merged.
+
+A width that fits most vectors can be too small for the rest. The distance of
+a query's k-th candidate bounds that of its k-th neighbour from above, and
+gives the chance that a vector so far away lies in a visited bucket. Queries
+of a lower chance than wanted, or with too few candidates, are searched again
+exactly, over all vectors.
 """
 
 from __future__ import annotations
@@ -20,20 +26,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grams as G
-from .common import partitions
+from .common import cut, partitions
 
 ROWS = 1024
+DATA_BLOCK, QUERY_BLOCK = 4096, 8192
 
 
 @dataclass(frozen=True)
 class Hashing:
-    """Width is in units of the vectors' root mean square distance from their mean."""
+    """Width is in units of the vectors' root mean square distance from their mean; sure is the chance below which a query is searched exactly."""
 
     tables: int = 3
     hashes: int = 4
     width: float = 2.2
     probes: int = 14
     seed: int = 5
+    sure: float = 0.95
 
 
 def perturbations(m: int, probes: int) -> list[tuple[int, ...]]:
@@ -64,14 +72,19 @@ def bucket_ids(cells: np.ndarray, table: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def probed(x: np.ndarray, table: int, dim: int, scale: float, conf: Hashing) -> np.ndarray:
-    """Bucket names, a column a probe, the own bucket first."""
+def placed(x: np.ndarray, table: int, dim: int, scale: float, conf: Hashing) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells, places inside them (0 to 1), and boundaries by nearness."""
     rng = np.random.Generator(np.random.PCG64([conf.seed, table]))
     a, b = rng.standard_normal((dim, conf.hashes)), rng.random(conf.hashes)
     place = x @ a / (conf.width * scale) + b
     cell = np.floor(place).astype(np.int64)
     rest = place - cell
-    near = np.argsort(np.concatenate([rest, 1 - rest], axis=1), axis=1, kind="stable")
+    return cell, rest, np.argsort(np.concatenate([rest, 1 - rest], axis=1), axis=1, kind="stable")
+
+
+def probed(x: np.ndarray, table: int, dim: int, scale: float, conf: Hashing) -> np.ndarray:
+    """Bucket names, a column a probe, the own bucket first."""
+    cell, _, near = placed(x, table, dim, scale, conf)
     out = []
     rows = np.arange(len(x))
     for held in perturbations(conf.hashes, conf.probes):
@@ -83,6 +96,32 @@ def probed(x: np.ndarray, table: int, dim: int, scale: float, conf: Hashing) ->
     return np.column_stack(out)
 
 
+def normal_cdf(z: np.ndarray) -> np.ndarray:
+    """Abramowitz and Stegun 7.1.26, to 1e-7."""
+    t = 1 / (1 + 0.3275911 * np.abs(z) / 2**0.5)
+    tail = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * np.exp(-z * z / 2) / 2
+    return np.where(z < 0, tail, 1 - tail)
+
+
+def chances(x: np.ndarray, far: np.ndarray, dim: int, scale: float, conf: Hashing) -> np.ndarray:
+    """The chance of each query x to visit, in some table, the bucket of a vector at distance ``far``."""
+    sigma = np.maximum(far / (conf.width * scale), 1e-9)[:, None]
+    missed, rows = np.ones(len(x)), np.arange(len(x))
+    for t in range(conf.tables):
+        _, rest, near = placed(x, t, dim, scale, conf)
+        edge = [normal_cdf((k - rest) / sigma) for k in (-1, 0, 1, 2)]
+        stay = edge[2] - edge[1]
+        moves = np.concatenate([edge[1] - edge[0], edge[3] - edge[2]], axis=1)
+        hit = np.zeros(len(x))
+        for held in perturbations(conf.hashes, conf.probes):
+            p = stay.copy()
+            for k in held:
+                p[rows, near[:, k] % conf.hashes] = moves[rows, near[:, k]]
+            hit += p.prod(axis=1)
+        missed *= 1 - np.minimum(hit, 1)
+    return 1 - missed
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float32).reshape(len(column), dim)
 
@@ -106,6 +145,38 @@ def _route(dim: int, scale: float, conf: Hashing):
     return run
 
 
+def _doubtful(dim: int, scale: float, conf: Hashing, want: int):
+    """Ids of queries (id, vector, candidates, far) whose neighbours may have been missed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, ROWS):
+                part = batch.slice(a, ROWS)
+                chance = chances(_matrix(part.column(1), dim), part.column(3).to_numpy(), dim, scale, conf)
+                doubt = (part.column(2).to_numpy() < want) | (chance < conf.sure)
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(doubt))], ["id"])
+
+    return run
+
+
+def _grid(dim: int, data_blocks: int, query_blocks: int):
+    """(bucket, query, id, vector): data in every bucket of its row of the grid, queries in every one of their column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, ROWS):
+                part = batch.slice(a, ROWS)
+                ids, doubt = part.column(0), np.flatnonzero(part.column(2).to_numpy(zero_copy_only=False))
+                blobs = pa.array([r.tobytes() for r in _matrix(part.column(1), dim)], pa.binary())
+                h = G.mix(ids.to_numpy().view(np.uint64))
+                row, column = (h % np.uint64(data_blocks)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(query_blocks)).astype(np.int64)
+                for take, buckets, query in [(np.arange(len(h)), row * query_blocks + c, 0) for c in range(query_blocks)] + [(doubt, r * query_blocks + column[doubt], 1) for r in range(data_blocks)]:
+                    at = pa.array(take)
+                    yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(np.full(len(take), query), pa.int32()), ids.take(at), blobs.take(at)], ["bucket", "query", "id", "vector"])
+
+    return run
+
+
 def top_k(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(query, neighbour, distance) of each query's k nearest, itself left out; ties by id."""
     o = np.argsort(ids, kind="stable")
@@ -210,11 +281,14 @@ def _merge(k: int):
 def nearest(vectors: DataFrame, k: int = 10, conf: Hashing = Hashing(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, neighbor_id, distance, rank): every vector's k nearest others by Euclidean distance, nearly all of them.
 
+    Queries whose chance of finding a neighbour is under ``conf.sure`` are
+    searched exactly, in a grid of blocks of all vectors and such queries.
+
     Rows with a null id, a null or empty vector, one with a null or NaN in it
     or of other length than the most common (of equally common the longest)
     are left out. Rows that repeat an id are one vector, the first in order.
-    Equal distances go by the smaller id. Fewer than k come back where fewer
-    are found; a single vector has none; other columns are ignored.
+    Equal distances go by the smaller id. Fewer than k come back where there
+    are no more others; a single vector has none; other columns are ignored.
     """
     v = F.col(vector_col).cast("array<float>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("vector")).where(F.col("id").isNotNull() & (F.size("vector") > 0) & ~F.exists("vector", lambda e: e.isNull() | F.isnan(e)))
@@ -228,6 +302,21 @@ def nearest(vectors: DataFrame, k: int = 10, conf: Hashing = Hashing(), id_col:
     moments = rows.select(F.posexplode("vector").alias("i", "e")).groupBy("i").agg(F.var_pop(F.col("e").cast("double")).alias("v")).agg(F.sum("v")).first()[0]
     scale = max(float(moments), 1e-12) ** 0.5
     parts = partitions(spark)
-    routed = rows.mapInArrow(_route(dim, scale, conf), "bucket long, query int, id long, vector binary")
-    local = routed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_search(k), "id long, ids binary, distances binary")
-    return local.repartition(parts, "id").sortWithinPartitions("id").mapInArrow(_merge(k), "vec_id long, neighbor_id long, distance double, rank int")
+    found = "vec_id long, neighbor_id long, distance double, rank int"
+
+    def searched(routed: DataFrame) -> DataFrame:
+        local = routed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_search(k), "id long, ids binary, distances binary")
+        return local.repartition(parts, "id").sortWithinPartitions("id").mapInArrow(_merge(k), found)
+
+    hashed = cut(searched(rows.mapInArrow(_route(dim, scale, conf), "bucket long, query int, id long, vector binary")))
+    total = rows.count()
+    seen = hashed.groupBy(F.col("vec_id").alias("id")).agg(F.count("*").alias("candidates"), F.max("distance").alias("far"))
+    judged = rows.join(seen, "id", "left").select("id", "vector", F.coalesce("candidates", F.lit(0)).alias("candidates"), F.coalesce("far", F.lit(0.0)).alias("far"))
+    doubt = cut(judged.mapInArrow(_doubtful(dim, scale, conf, min(k, total - 1)), "id long"))
+    doubts = doubt.count()
+    if not doubts:
+        return hashed
+    marked = rows.join(doubt.withColumn("doubt", F.lit(True)), "id", "left").select("id", "vector", F.coalesce("doubt", F.lit(False)).alias("doubt"))
+    grid = _grid(dim, -(-total // DATA_BLOCK), -(-doubts // QUERY_BLOCK))
+    exact = searched(marked.mapInArrow(grid, "bucket long, query int, id long, vector binary"))
+    return hashed.join(doubt.withColumnRenamed("id", "vec_id"), "vec_id", "left_anti").unionByName(exact)

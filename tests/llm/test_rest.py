@@ -32,6 +32,31 @@ def test_recall_of_every_vector(spark, sf):
     assert _recall(spark, sf) >= 0.9
 
 
+def _uneven(kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors and which of them are the minority: 10 % beside one tight source, or 1 % of five times the norm."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((6000, 64))
+    few = rng.random(6000) < (0.1 if kind == "hot" else 0.01)
+    x = np.where(few[:, None], x, 0.05 * x + 1) if kind == "hot" else np.where(few[:, None], 5 * x, x)
+    return x.astype(np.float32), few
+
+
+@pytest.mark.parametrize("kind", ["hot", "norms"])
+def test_recall_of_the_minority(spark, kind):
+    x, few = _uneven(kind)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got: dict[int, set] = {}
+    for r in ann.nearest(v, 10).collect():
+        got.setdefault(r["vec_id"], set()).add(r["neighbor_id"])
+    assert all(len(got[i]) == 10 for i in range(len(x)))
+    y = x.astype(np.float64)
+    for rows in (np.flatnonzero(few), np.flatnonzero(~few)[:200]):
+        want = {i: set(np.argsort(np.where(np.arange(len(y)) == i, np.inf, ((y - y[i]) ** 2).sum(1)))[:10].tolist()) for i in rows.tolist()}
+        recall = np.mean([len(got[i] & w) / 10 for i, w in want.items()])
+        print(kind, recall)
+        assert recall >= 0.9
+
+
 def test_nearest_edges(spark):
     rows = [(1, [0.0, 0.0], 1), (2, [1.0, 0.0], 2), (3, [1.0, 0.0], 3), (3, [1.0, 0.0], 3), (None, [1.0, 1.0], 4), (4, None, 5), (5, [], 6), (6, [1.0], 7), (7, [float("nan"), 0.0], 8), (8, [None, 1.0], 9)]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, id int").selectExpr("*", "1 AS bucket", "2 AS vector")
