@@ -8,6 +8,10 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes of a table that may be broadcast; its rows are counted first.
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,13 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder, named in ``spark.checkpoint.dir``.
 
-    Only where neither that nor a checkpoint directory is set (tests, one
-    machine) is a temporary one made.
+    Only where neither that nor a checkpoint directory is set, and one
+    machine is all there is, is a temporary one made.
     """
     context = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None)
     current = context._jsc.sc().getCheckpointDir()
     if not current.isDefined():
+        if not shared and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sievework-checkpoint-"))
         current = context._jsc.sc().getCheckpointDir()
     return shared or current.get()
@@ -35,6 +41,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df, which is materialised and has rows of this width, marked for broadcast where it is no larger than ``limit``."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,27 +1,33 @@
 """Exact Jaccard join of word n-gram sets by metric-space partitioning.
 
-Jaccard distance is a metric, so a pivot p bounds the distance of two
-documents: |d(a,p) - d(b,p)| <= d(a,b) <= d(a,p) + d(b,p). Distances to a
-fixed handful of pivot documents are useless here: nearly all are close to 1,
-so every window covers every region. The first level therefore takes single
-n-grams as pivots: d(x, {g}) is 1 - 1/|x| where x holds g and 1 elsewhere, so
-a document's nearest pivots are its own n-grams, ranked rarest first. If
-J(x, y) >= t, y misses at most |x| - ceil(t|x|) n-grams of x, so the window of
-pivots into which x is replicated is its first |x| - ceil(t|x|) + 1 n-grams;
-two near documents share at least one such cell. The window is longer by a
-fiftieth of |x|, whence they share a fiftieth more of the smaller set, and
-unrelated long documents with an n-gram or two in common are told apart
-before their sets travel.
-
-Inside the cells documents are the pivots: each document's home is the Voronoi
-region of the document it meets most often as its cells' smallest id.
-Documents that meet a home member of another region are replicated to that
-region, as far as the triangle inequality, with distances computed exactly,
-leaves them a partner there. Regions are then joined exactly, in blocks.
+Documents of equal n-gram sets are one node, so copies never meet each other:
+the join runs over nodes, and a node's copies count through its weight.
+
+Jaccard distance is a metric, so a pivot p bounds the distance of two nodes:
+|d(a,p) - d(b,p)| <= d(a,b) <= d(a,p) + d(b,p). Distances to a fixed handful
+of pivot documents are nearly all 1 in a corpus of unrelated texts, so the
+first level takes single n-grams as pivots: d(x, {g}) is 1 - 1/|x| where x
+holds g and 1 elsewhere, so a node's nearest pivots are its own n-grams,
+ranked rarest first. If J(x, y) >= t, y misses at most |x| - ceil(t|x|)
+n-grams of x, so the window of pivots into which x is replicated is its first
+|x| - ceil(t|x|) + 1 n-grams; two near nodes share at least one such cell. The
+window is longer by a fiftieth of |x|, whence they share a fiftieth more of
+the smaller set, and unrelated long texts with an n-gram or two in common are
+told apart before their sets travel.
+
+Inside the cells nodes are the pivots: a node's home is the Voronoi region of
+the node it meets most often as its cells' smallest. Nodes that meet a home
+member of another region are replicated to the smaller of the two regions. A
+region with more n-grams than a task should hold is split by new pivots among
+its members: each goes to the nearest, exact distances and the triangle
+inequality say into which other regions it is replicated, and regions still
+too large are split again. A region's home members are then joined exactly
+with each other and with the guests, which stream past them in blocks.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,59 +36,88 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grams as G
-from .common import cut, partitions, planes, unplanes
+from .common import BROADCAST_BYTES, cut, partitions, planes, small, unplanes
 from .components import components
 
 U64 = np.uint64
 EPS = 1e-9
 SMALL_CELL = 16
+HOT_CELL = 200_000
 FLUSH = 1_000_000
-BLOCK = 2048
+BLOCK = 512
 FOUND_ROWS, FOUND_LISTS = 1 << 16, 256
 SKETCH_PARTS = 64
+STEPS = 8
+#: Home n-grams of a region, and guests, that one task takes.
+REGION_GRAMS, REGION_GUESTS = 2_000_000, 20_000
+PIVOTS, DEPTH = 64, 6
 
 
 def _lowered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.lower(F.col(text_col)).alias("text")).where("id IS NOT NULL AND text IS NOT NULL AND text <> ''")
 
 
-def _sketch(n: int, bits: int) -> Callable:
-    """Occurrences of n-grams by hash bucket, a row for each part of the buckets."""
+def node_names(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each row's set, whatever its order; 0 for an empty one."""
+    sizes = np.diff(bounds)
+    out = np.zeros(len(sizes), np.uint64)
+    full = sizes > 0
+    if full.any():
+        total = np.add.reduceat(G.mix(grams + U64(0x5851F42D4C957F2D)), bounds[:-1][full])
+        out[full] = G.mix(total + sizes[full].astype(np.uint64))
+    return out.view(np.int64)
+
+
+PROFILE = "id long, node long, size int, part int, counts binary"
+
+
+def _profile(n: int, bits: int) -> Callable:
+    """(id, node, size) of every text, and how many texts of the task hold an n-gram of each hash bucket, by part of the buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.uint32)
         seen = False
         for batch in batches:
-            for _, _, data, offsets in G.text_chunks(batch):
-                grams, _ = G.ngrams(*G.words(data, offsets), n)
-                seen = seen or len(grams) > 0
-                bucket, count = np.unique(grams >> U64(64 - bits), return_counts=True)
-                total[bucket.astype(np.int64)] += count.astype(np.uint32)
+            for a, b, data, offsets in G.text_chunks(batch):
+                grams, bounds = G.gram_sets(data, offsets, n)
+                sizes = np.diff(bounds)
+                keep = pa.array(sizes > 0)
+                k = int((sizes > 0).sum())
+                if k:
+                    seen = True
+                    bucket, count = np.unique(grams >> U64(G.GRAM_BITS - bits), return_counts=True)
+                    total[bucket.astype(np.int64)] += count.astype(np.uint32)
+                    own = [batch.column(0).slice(a, b - a).filter(keep), pa.array(node_names(grams, bounds)).filter(keep), pa.array(sizes.astype(np.int32)).filter(keep)]
+                    yield pa.RecordBatch.from_arrays([*own, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], ["id", "node", "size", "part", "counts"])
         if seen:
-            low = np.minimum(total, 255).astype(np.uint8).reshape(SKETCH_PARTS, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([x.tobytes() for x in low], pa.binary())], ["part", "counts"])
+            logs = np.minimum(255, np.rint(np.log2(total + 1.0) * STEPS)).astype(np.uint8).reshape(SKETCH_PARTS, -1)
+            none = pa.nulls(SKETCH_PARTS, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none.cast(pa.int32()), pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in logs], pa.binary())], ["id", "node", "size", "part", "counts"])
 
     return run
 
 
+_COUNT_OF = (2.0 ** (np.arange(256) / STEPS) - 1).astype(np.float32)
+
+
 def _sum_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            x = np.frombuffer(blob, np.uint8)
-            totals[part] = totals[part] + x if part in totals else x.astype(np.uint32)
+            x = _COUNT_OF[np.frombuffer(zlib.decompress(blob), np.uint8)]
+            totals[part] = totals[part] + x if part in totals else x
     if totals:
-        logs = [np.minimum(255, np.log2(x + 1.0) * 10).astype(np.uint8).tobytes() for x in totals.values()]
+        logs = [np.minimum(255, np.rint(np.log2(x + 1.0) * STEPS)).astype(np.uint8).tobytes() for x in totals.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(logs, pa.binary())], ["part", "counts"])
 
 
-def gram_ranks(texts: DataFrame, n: int, bits: int) -> np.ndarray:
-    """For every hash bucket the logarithm of its n-gram count, 2**bits bytes.
+def gram_ranks(profile: DataFrame, bits: int) -> np.ndarray:
+    """For every hash bucket the logarithm of its count of texts, 2**bits bytes.
 
-    It only ranks n-grams, rarest first; any ranking gives the same pairs.
+    It ranks n-grams, rarest first, and tells which cells need splitting; any
+    ranking gives the same pairs.
     """
-    parts = texts.select("text").mapInArrow(_sketch(n, bits), "part int, counts binary")
-    rows = parts.repartition(min(SKETCH_PARTS, partitions(texts.sparkSession)), "part").mapInArrow(_sum_sketch, "part int, counts binary").collect()
+    rows = profile.where("part IS NOT NULL").select("part", "counts").repartition(min(SKETCH_PARTS, partitions(profile.sparkSession)), "part").mapInArrow(_sum_sketch, "part int, counts binary").collect()
     out = np.zeros((SKETCH_PARTS, (1 << bits) // SKETCH_PARTS), np.uint8)
     for row in rows:
         out[row["part"]] = np.frombuffer(row["counts"], np.uint8)
@@ -90,7 +125,7 @@ def gram_ranks(texts: DataFrame, n: int, bits: int) -> np.ndarray:
 
 
 def extra_cells(sizes: np.ndarray) -> np.ndarray:
-    """Cells beyond the first that a document's window guarantees with each partner."""
+    """Cells beyond the first that a node's window guarantees with each partner."""
     return sizes // 50
 
 
@@ -98,37 +133,50 @@ def window_lengths(sizes: np.ndarray, t: float) -> np.ndarray:
     return np.where(sizes > 0, np.minimum(sizes, sizes - np.ceil(t * sizes - EPS).astype(np.int64) + 1 + extra_cells(sizes)), 0)
 
 
-def _signatures(n: int, t: float, bits: int, ranks, buckets: int) -> Callable:
-    """Packed (cell, id, size, position) of each document's window, grouped by cell bucket."""
+def cell_parts(cells: np.ndarray, hot: int) -> np.ndarray:
+    """Into how many parts a cell is split; its high bits are the logarithm of its count."""
+    return np.maximum(1, np.ceil(_COUNT_OF[(cells >> U64(40)).astype(np.int64)] / hot)).astype(np.uint64)
+
+
+def _signatures(n: int, t: float, bits: int, ranks, buckets: int, hot: int) -> Callable:
+    """Packed (cell, node, size, position) of each node's window, grouped by bucket of cells; a node comes once a task."""
 
     def pack(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        cell, ids, sizes, at = (np.concatenate(x) for x in zip(*held))
+        cell, node, sizes, at = (np.concatenate(x) for x in zip(*held))
         # The low bits of the cell are those of the n-gram's hash.
-        bucket = (cell % U64(buckets)).astype(np.int64)
+        part = (G.mix(node.view(np.uint64)) >> U64(20)) % cell_parts(cell, hot)
+        bucket = ((cell + part * U64(0x9E3779B1)) % U64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
         keys, blobs = [], []
         for b in np.flatnonzero(np.diff(cuts)):
             o = order[cuts[b] : cuts[b + 1]]
             keys.append(int(b))
-            blobs.append(np.int64(len(o)).tobytes() + planes(cell[o]) + planes(ids[o]) + planes(sizes[o]) + planes(at[o]))
+            blobs.append(np.int64(len(o)).tobytes() + planes(cell[o]) + planes(node[o]) + planes(sizes[o]) + planes(at[o]))
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, held, count = ranks.value, [], 0
+        rank, held, count, seen = ranks.value, [], 0, set()
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for a, b, data, offsets in G.text_chunks(batch):
+            for _, _, data, offsets in G.text_chunks(batch):
                 grams, bounds = G.gram_sets(data, offsets, n)
-                sizes = np.diff(bounds)
-                rows = np.repeat(np.arange(b - a), sizes)
+                sizes, names = np.diff(bounds), node_names(grams, bounds)
+                new = np.zeros(len(names), bool)
+                for k, name in enumerate(names.tolist()):
+                    if name and name not in seen:
+                        seen.add(name)
+                        new[k] = True
+                rows = np.repeat(np.arange(len(sizes)), sizes)
+                own = new[rows]
+                rows, grams = rows[own], grams[own]
                 order = rank[(grams >> U64(G.GRAM_BITS - bits)).astype(np.int64)].astype(np.uint64)
                 key = (rows.astype(np.uint64) << U64(48)) | (order << U64(40)) | (grams & U64((1 << 40) - 1))
                 key.sort()
-                at = np.arange(len(key)) - bounds[:-1][rows]
+                first = np.cumsum(np.where(new, sizes, 0)) - np.where(new, sizes, 0)
+                at = np.arange(len(key)) - first[rows]
                 keep = at < window_lengths(sizes, t)[rows]
                 rows, at = rows[keep], at[keep]
-                held.append((key[keep] & U64((1 << 48) - 1), ids[a:b][rows], sizes[rows].astype(np.int32), at.astype(np.int32)))
+                held.append((key[keep] & U64((1 << 48) - 1), names[rows], sizes[rows].astype(np.int32), at.astype(np.int32)))
                 count += len(rows)
                 if count >= FLUSH:
                     yield pack(held)
@@ -151,89 +199,139 @@ def places_fit(sa: np.ndarray, pa_: np.ndarray, sb: np.ndarray, pb: np.ndarray,
 FOUND = "kind int, x long, p long, votes long, need int, fits boolean, h long, ids array<long>, sizes array<int>"
 
 
-def _cells(t: float) -> Callable:
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """Rows of equal values in the first ``keys`` columns, by which they come sorted, as slices; a run over several batches comes in pieces."""
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        change = np.zeros(n, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), n]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield tuple(int(c[a]) for c in columns), batch.slice(a, b - a)
+
+
+def _cells(t: float, hot: int) -> Callable:
     """Pairs that meet in a cell (kind 0), with the number of cells; members of larger cells (kind 1).
 
-    All cells of a pair count where none of them is a larger one; pairs that
-    meet in a larger one are found by its members.
+    Works bucket by bucket; rows come sorted by bucket. All cells of a pair
+    count where none of them is a larger one; pairs that meet in a larger one
+    are found by its members. Parts of a split cell name their lists alike.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[np.ndarray]] = [[], [], [], []]
-        for batch in batches:
-            for blob in batch.column(1).to_pylist():
+        pairs: list[tuple[np.ndarray, ...]] = []
+        lists: dict[tuple[int, bytes], tuple[np.ndarray, np.ndarray]] = {}
+        held = listed = 0
+
+        def meet(node, sizes, pos, i: np.ndarray, j: np.ndarray) -> None:
+            nonlocal held
+            sa, sb = sizes[i].astype(np.int64), sizes[j].astype(np.int64)
+            ok = sizes_fit(sa, sb, t)
+            i, j, sa, sb = i[ok], j[ok], sa[ok], sb[ok]
+            pairs.append((np.maximum(node[i], node[j]), np.minimum(node[i], node[j]), np.ones(len(i), np.int64), 1 + extra_cells(np.minimum(sa, sb)), places_fit(sa, pos[i], sb, pos[j], t)))
+            held += len(i)
+
+        def bucket(blobs: list[bytes]) -> None:
+            nonlocal listed
+            parts: list[list[np.ndarray]] = [[], [], [], []]
+            for blob in blobs:
                 k, at = int(np.frombuffer(blob, np.int64, 1)[0]), 8
                 for out, dtype in zip(parts, ("u8", "i8", "i4", "i4")):
                     width = np.dtype(dtype).itemsize * k
                     out.append(unplanes(blob[at : at + width], dtype))
                     at += width
-        if not parts[0]:
-            return
-        cell, ids, sizes, pos = (np.concatenate(x) for x in parts)
-        parts.clear()
-        order = np.argsort(cell, kind="stable")
-        cell = cell[order]
-        starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-        counts = np.diff(np.append(starts, len(cell)))
-        xs, ps, needs, fits, lists = [], [], [], [], {}
-
-        def meet(i: np.ndarray, j: np.ndarray) -> None:
-            sa, sb = sizes[i].astype(np.int64), sizes[j].astype(np.int64)
-            ok = (ids[i] != ids[j]) & sizes_fit(sa, sb, t)
-            i, j, sa, sb = i[ok], j[ok], sa[ok], sb[ok]
-            xs.append(np.maximum(ids[i], ids[j]))
-            ps.append(np.minimum(ids[i], ids[j]))
-            needs.append(1 + extra_cells(np.minimum(sa, sb)))
-            fits.append(places_fit(sa, pos[i], sb, pos[j], t))
-
-        for c in range(2, SMALL_CELL + 1):
-            first = starts[counts == c]
-            if len(first):
-                u, v = np.triu_indices(c, 1)
-                meet(order[(first[:, None] + u).ravel()], order[(first[:, None] + v).ravel()])
-        for s, c in zip(starts[counts > SMALL_CELL], counts[counts > SMALL_CELL]):
-            o = order[s : s + c]
-            o = o[np.unique(ids[o], return_index=True)[1]]
-            meet(o[1:], np.repeat(o[:1], len(o) - 1))
-            lists[ids[o].tobytes()] = (ids[o], sizes[o])
-        x, p, need = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ps, needs))
-        fit, votes = np.concatenate(fits) if fits else np.zeros(0, bool), np.zeros(0, np.int64)
-        if len(x):
+            cell, node, sizes, pos = (np.concatenate(x) for x in parts)
+            parts.clear()
+            order = np.lexsort((node, cell))
+            cell, node, sizes, pos = cell[order], node[order], sizes[order], pos[order]
+            once = np.concatenate([[True], (cell[1:] != cell[:-1]) | (node[1:] != node[:-1])])
+            cell, node, sizes, pos = cell[once], node[once], sizes[once], pos[once]
+            starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            counts = np.diff(np.append(starts, len(cell)))
+            split = cell_parts(cell[starts], hot) > 1
+            for c in range(2, SMALL_CELL + 1):
+                first = starts[(counts == c) & ~split]
+                if len(first):
+                    u, v = np.triu_indices(c, 1)
+                    meet(node, sizes, pos, (first[:, None] + u).ravel(), (first[:, None] + v).ravel())
+            large = (counts > SMALL_CELL) | split
+            for s, c, apart in zip(starts[large], counts[large], split[large]):
+                o = np.arange(s, s + c)
+                meet(node, sizes, pos, o[1:], np.full(len(o) - 1, s))
+                own = node[s : s + c]
+                name = G.mix(cell[s : s + 1] + U64(7)) if apart else np.bitwise_xor.reduce(G.mix(own.view(np.uint64) + G.mix(np.arange(len(own), dtype=np.uint64))), keepdims=True)
+                key = (int(name.view(np.int64)[0]), own.tobytes() if apart else b"")
+                if key not in lists:
+                    lists[key] = own.copy(), sizes[s : s + c].copy()
+                    listed += len(own)
+
+        def merged() -> tuple[np.ndarray, ...]:
+            x, p, votes, need, fit = (np.concatenate(v) for v in zip(*pairs))
             o = np.lexsort((p, x))
-            x, p, need, fit = x[o], p[o], need[o], fit[o]
-            new = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (p[1:] != p[:-1])]))
-            votes = np.diff(np.append(new, len(x)))
-            # Rows that repeat an id may differ in size: the least need holds.
-            x, p, need, fit = x[new], p[new], np.minimum.reduceat(need, new), np.logical_or.reduceat(fit, new)
-        m, k = len(x), len(lists)
-        if not m + k:
-            return
-        names = [int(np.bitwise_xor.reduce(G.mix(a.view(np.uint64) + G.mix(np.arange(len(a), dtype=np.uint64)))).view(np.int64)) for a, _ in lists.values()]
-        pad = lambda v: pa.array(np.concatenate([v, np.zeros(k, np.int64)]))
-        out = pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat([0, 1], [m, k]), pa.int32()), pad(x), pad(p), pad(votes),
-                pa.array(np.concatenate([need, np.zeros(k, np.int64)]).astype(np.int32)), pa.array(np.concatenate([fit, np.zeros(k, bool)])),
-                pa.array([0] * m + names, pa.int64()),
-                pa.array([None] * m + [a for a, _ in lists.values()], pa.list_(pa.int64())),
-                pa.array([None] * m + [s for _, s in lists.values()], pa.list_(pa.int32())),
-            ],
-            ["kind", "x", "p", "votes", "need", "fits", "h", "ids", "sizes"],
-        )
-        # In slices, so that the JVM never holds all of a task's pairs and lists at once.
-        for a in range(0, m, FOUND_ROWS):
-            yield out.slice(a, min(FOUND_ROWS, m - a))
-        for a in range(m, m + k, FOUND_LISTS):
-            yield out.slice(a, FOUND_LISTS)
+            x, p, votes, need, fit = x[o], p[o], votes[o], need[o], fit[o]
+            new = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (p[1:] != p[:-1])])) if len(x) else np.zeros(0, np.int64)
+            if len(x):
+                x, p, votes, need, fit = x[new], p[new], np.add.reduceat(votes, new), need[new], np.logical_or.reduceat(fit, new)
+            return x, p, votes, need, fit
+
+        def emit_pairs() -> Iterator[pa.RecordBatch]:
+            x, p, votes, need, fit = merged()
+            for a in range(0, len(x), FOUND_ROWS):
+                b = min(a + FOUND_ROWS, len(x))
+                k = b - a
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.array(x[a:b]), pa.array(p[a:b]), pa.array(votes[a:b]), pa.array(need[a:b].astype(np.int32)), pa.array(fit[a:b]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.int32()))], ["kind", "x", "p", "votes", "need", "fits", "h", "ids", "sizes"])
+
+        def emit_lists() -> Iterator[pa.RecordBatch]:
+            rows = [(h, a, s) for (h, _), (a, s) in lists.items()]
+            for at in range(0, len(rows), FOUND_LISTS):
+                part = rows[at : at + FOUND_LISTS]
+                k = len(part)
+                none = pa.nulls(k, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), none, none, none, none.cast(pa.int32()), pa.nulls(k, pa.bool_()), pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.list_(pa.int64())), pa.array([r[2] for r in part], pa.list_(pa.int32()))], ["kind", "x", "p", "votes", "need", "fits", "h", "ids", "sizes"])
+
+        at, blobs = None, []
+
+        def spill() -> Iterator[pa.RecordBatch]:
+            nonlocal held, listed
+            if held >= FLUSH:
+                rows = merged()
+                pairs[:] = [rows]
+                held = len(rows[0])
+                if held >= FLUSH // 2:
+                    yield from emit_pairs()
+                    pairs.clear()
+                    held = 0
+            if listed >= FLUSH:
+                yield from emit_lists()
+                lists.clear()
+                listed = 0
+
+        for (key,), rows in _runs(batches, 1):
+            if key != at and blobs:
+                bucket(blobs)
+                blobs = []
+                yield from spill()
+            at = key
+            blobs += rows.column(1).to_pylist()
+        if blobs:
+            bucket(blobs)
+        if pairs:
+            yield from emit_pairs()
+        yield from emit_lists()
 
     return run
 
 
 def _routes(found: DataFrame, t: float) -> DataFrame:
-    """(id, region, role): 2 the region's pivot, 1 its home documents, 0 documents from other regions.
+    """(node, region, home, role): 2 the region's pivot, 1 its home nodes, 0 nodes from other regions.
 
-    Two documents that meet in a cell are both in some region: their common
-    home, or the smaller of their homes, to which the other is replicated.
+    Two nodes that meet in a cell are both in the region where ``counted``
+    has their pair: that of the one which is the other's home, else that of
+    the smaller of their homes, to which the other is replicated.
     """
     met = found.where("kind = 0").groupBy("x", "p").agg(F.sum("votes").alias("votes"), F.min("need").alias("need"), F.max("fits").alias("fits"))
     pairs = cut(met.where("fits AND votes >= need").select("x", "p", "votes"))
@@ -242,19 +340,25 @@ def _routes(found: DataFrame, t: float) -> DataFrame:
     sides = pairs.select("x", "p").join(of("x"), "x").join(of("p"), "p", "left").withColumn("p_home", F.coalesce("p_home", "p"))
     apart = sides.where("x_home <> p_home AND x_home <> p")
     low = F.col("x_home") < F.col("p_home")
-    guests = apart.select(F.when(low, F.col("p")).otherwise(F.col("x")).alias("id"), F.least("x_home", "p_home").alias("region"))
-    members = found.where("kind = 1").dropDuplicates(["h"]).select("h", F.explode(F.arrays_zip("ids", "sizes")).alias("m")).select("h", F.col("m.ids").alias("x"), F.col("m.sizes").alias("size"))
+    guests = apart.select(F.when(low, F.col("p")).otherwise(F.col("x")).alias("node"), F.least("x_home", "p_home").alias("region"))
+    members = found.where("kind = 1").select("h", F.explode(F.arrays_zip("ids", "sizes")).alias("m")).select("h", F.col("m.ids").alias("x"), F.col("m.sizes").alias("size")).distinct()
     members = members.join(of("x"), "x", "left").withColumn("x_home", F.coalesce("x_home", "x"))
     regions = members.groupBy("h", F.col("x_home").alias("region")).agg(F.min("size").alias("least"), F.max("size").alias("most"))
     many = members.join(regions, "h").where((F.col("x_home") > F.col("region")) & (F.col("size") >= t * F.col("least") - EPS) & (F.col("size") * t <= F.col("most") + EPS))
-    guests = guests.unionByName(many.select(F.col("x").alias("id"), "region"))
-    routes = home.select(F.col("x").alias("id"), F.col("home").alias("region"), F.lit(1).alias("role")).unionByName(guests.select("id", "region", F.lit(0).alias("role")))
-    routes = routes.unionByName(routes.select(F.col("region").alias("id"), "region", F.lit(2).alias("role")))
-    return routes.groupBy("id", "region").agg(F.max("role").alias("role"))
+    guests = guests.unionByName(many.select(F.col("x").alias("node"), "region"))
+    routes = home.select(F.col("x").alias("node"), F.col("home").alias("region"), F.lit(1).alias("role")).unionByName(guests.select("node", "region", F.lit(0).alias("role")))
+    routes = routes.unionByName(routes.select(F.col("region").alias("node"), "region", F.lit(2).alias("role")))
+    routes = routes.groupBy("node", "region").agg(F.max("role").alias("role"))
+    return routes.join(of("node"), "node", "left").withColumn("home", F.coalesce("node_home", "node")).drop("node_home")
+
+
+ROUTED = ["region", "part", "role", "id", "node", "home", "base", "copies"]
+ROUTE_BYTES = 8 * len(ROUTED)
+SETS = "region long, part int, role int, id long, node long, home long, base long, copies long, grams binary"
 
 
 def _sets(n: int) -> Callable:
-    """(id, grams): 48-bit n-grams in 6 bytes each, as planes."""
+    """(id, node, grams): 48-bit n-grams in 6 bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,17 +366,18 @@ def _sets(n: int) -> Callable:
                 grams, bounds = G.gram_sets(data, offsets, n)
                 low = np.ascontiguousarray(grams).view(np.uint8).reshape(-1, 8)[:, :6]
                 blobs = [low[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(blobs, pa.binary())], ["id", "grams"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(node_names(grams, bounds)), pa.array(blobs, pa.binary())], ["id", "node", "grams"])
 
     return run
 
 
 def _routed_sets(n: int, routes) -> Callable:
-    """(region, role, id, grams) for the documents of the broadcast routes."""
+    """SETS for the documents of the broadcast routes, which are sorted by id."""
     sets = _sets(n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, regions, roles = routes.value
+        held = routes.value
+        ids = held["id"]
         for batch in batches:
             own = batch.column(0).to_numpy()
             at = np.searchsorted(ids, own)
@@ -280,161 +385,368 @@ def _routed_sets(n: int, routes) -> Callable:
             if not needed.any():
                 continue
             for out in sets(iter([batch.filter(pa.array(needed))])):
-                o = out.column(0).to_numpy()
+                o, names = out.column(0).to_numpy(), out.column(1).to_numpy()
                 lo, hi = np.searchsorted(ids, o), np.searchsorted(ids, o, "right")
                 take = np.repeat(np.arange(len(o)), hi - lo)
                 of = np.arange(len(take)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[take]
-                yield pa.RecordBatch.from_arrays([pa.array(regions[of]), pa.array(roles[of], pa.int32()), pa.array(o[take]), out.column(1).take(pa.array(take))], ["region", "role", "id", "grams"])
+                ok = held["node"][of] == names[take]  # a row that repeats an id may have another text
+                of, take = of[ok], take[ok]
+                yield pa.RecordBatch.from_arrays([*(pa.array(held[c][of]) for c in ROUTED), out.column(2).take(pa.array(take))], [*ROUTED, "grams"])
 
     return run
 
 
-def overlaps(grams: np.ndarray, rows: np.ndarray, m: int, left: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of the sets ``left`` with all m sets."""
-    order = np.argsort(grams, kind="stable")
-    g, r = grams[order], rows[order]
-    new = np.concatenate([[True], g[1:] != g[:-1]])
-    group = np.cumsum(new) - 1
-    shared = np.bincount(group) > 1
-    keep = shared[group]
-    column = (np.cumsum(shared) - 1)[group[keep]]
-    r, total = r[keep], int(shared.sum())
-    out = np.zeros((len(left), m), np.float32)
-    step = max(64, 8_000_000 // max(m, 1))
-    cuts = np.searchsorted(column, np.arange(0, total + step, step))
-    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-        if b > a:
-            block = np.zeros((m, min(step, total - k * step)), np.float32)
-            block[r[a:b], column[a:b] - k * step] = 1
-            out += block[left] @ block.T
-    return out
-
-
-def join_region(ids: np.ndarray, roles: np.ndarray, sets: list[np.ndarray], t: float, all_pairs: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (a < b, J) with J >= t of a region's home documents with each other, the pivot and the guests."""
-    o = np.lexsort((ids, -roles))
-    ids, roles, sets = ids[o], roles[o], [sets[i] for i in o]
-    sizes = np.array([len(s) for s in sets], np.int64)
-    # Distances to the pivot; a guest farther than any home document's plus 1 - t has no partner.
-    rows = np.repeat(np.arange(len(sets)), sizes)
-    both = overlaps(np.concatenate(sets), rows, len(sets), np.array([0]))[0].astype(np.int64)
-    both[0] = sizes[0]
-    near = both / np.maximum(sizes[0] + sizes - both, 1)
-    reach = (1 - near[roles >= 1]).max() + (1 - t) + EPS
-    keep = np.flatnonzero((roles >= 1) | (1 - near <= reach))
-    ball = near[keep] >= t - EPS
-    found_a, found_b, found_j = [np.zeros(len(keep[1:]), np.int64) + keep[0]], [keep[1:]], [near[keep[1:]]]
-    rest = keep[1:] if all_pairs else keep[1:][~ball[1:]]
-    if len(keep) > 2 and len(rest):
-        sub = np.concatenate([sets[i] for i in keep])
-        srow = np.repeat(np.arange(len(keep)), sizes[keep])
-        place = np.searchsorted(keep, rest)
-        for a in range(0, len(rest), BLOCK):
-            left = place[a : a + BLOCK]
-            inter = overlaps(sub, srow, len(keep), left)
-            s = sizes[keep]
-            jac = inter / np.maximum(s[left][:, None] + s[None, :] - inter, 1)
-            i, j = np.nonzero(jac >= t - 1e-6)
-            u, v = keep[left[i]], keep[j]
-            # Each pair once; two guests meet in another region.
-            once = (v != keep[0]) & (u != v) & ((roles[u] >= 1) | (roles[v] >= 1)) & ((u < v) | ~np.isin(v, rest))
-            found_a.append(u[once])
-            found_b.append(v[once])
-            found_j.append(_exact(inter[i, j][once], sizes[u[once]], sizes[v[once]]))
-    a, b, j = (np.concatenate(x) for x in (found_a, found_b, found_j))
-    ok = (j >= t - EPS) & (ids[a] != ids[b])
-    a, b, j = ids[a[ok]], ids[b[ok]], j[ok]
-    return np.minimum(a, b), np.maximum(a, b), j
-
-
-def _exact(inter: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    inter = inter.astype(np.float64)
-    return inter / (a + b - inter)
-
-
-PAIRS = "doc_a long, doc_b long, jaccard double"
-
-
-def _join_regions(t: float, all_pairs: bool) -> Callable:
-    """Joins region after region; rows come sorted by region."""
+def _with_sets(texts: DataFrame, routes: DataFrame, n: int, limit: int) -> DataFrame:
+    """routes with the ``grams`` of their documents; the routes are broadcast where they have no more than ``limit`` bytes."""
+    spark = texts.sparkSession
+    routes = routes.select(*(F.col(c).cast("int" if c in ("part", "role") else "long") for c in ROUTED))
+    if routes.count() * ROUTE_BYTES <= limit:
+        local = routes.orderBy("id").toArrow()
+        held = spark.sparkContext.broadcast({c: local.column(c).to_numpy() for c in ROUTED})
+        return texts.mapInArrow(_routed_sets(n, held), SETS)
+    needed = texts.join(routes.select("id").distinct(), "id", "left_semi")
+    return needed.mapInArrow(_sets(n), "id long, node long, grams binary").join(routes, ["id", "node"]).select(*ROUTED, "grams")
+
+
+def _unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams of sets, one after the other, and their sizes."""
+    sizes = np.array([len(b) // 6 for b in blobs], np.int64)
+    wide = np.zeros((int(sizes.sum()), 8), np.uint8)
+    wide[:, :6] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
+    return wide.view(np.uint64).ravel(), sizes
+
+
+class Sets:
+    """Sets of n-grams, indexed by n-gram, with which others are intersected."""
+
+    def __init__(self, grams: np.ndarray, sizes: np.ndarray):
+        self.sizes, self.m = sizes, len(sizes)
+        rows = np.repeat(np.arange(self.m), sizes)
+        order = np.argsort(grams, kind="stable")
+        grams, self.rows = grams[order], rows[order]
+        first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
+        self.keys, self.starts = grams[first], first
+        self.counts = np.diff(np.append(first, len(grams)))
+
+    def overlaps(self, grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of the given sets, a row each, with all of these."""
+        n, m = len(sizes), self.m
+        row = np.repeat(np.arange(n), sizes)
+        at = np.searchsorted(self.keys, grams)
+        hit = (at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == grams) if len(self.keys) else np.zeros(len(grams), bool)
+        row, at = row[hit], at[hit]
+        out = np.zeros((n, m), np.float32)
+        rare = self.counts[at] <= max(2, m // 32)
+        for a in range(0, int(rare.sum()), 200_000):
+            r, c = row[rare][a : a + 200_000], at[rare][a : a + 200_000]
+            k = self.counts[c]
+            j = self.rows[np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k) + np.repeat(self.starts[c], k)]
+            out += np.bincount(np.repeat(r, k) * m + j, minlength=n * m).reshape(n, m)
+        row, at = row[~rare], at[~rare]
+        used, column = np.unique(at, return_inverse=True)
+        step = max(64, 4_000_000 // max(m, n, 1))
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for a in range(0, len(used), step):
+            own = used[a : a + step]
+            k = self.counts[own]
+            right = np.zeros((len(own), m), np.float32)
+            right[np.repeat(np.arange(len(own)), k), self.rows[np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k) + np.repeat(self.starts[own], k)]] = 1
+            left = np.zeros((n, len(own)), np.float32)
+            lo, hi = np.searchsorted(column, [a, a + step])
+            left[row[lo:hi], column[lo:hi] - a] = 1
+            out += left @ right
+        return out
+
+
+def counted(a: np.ndarray, ha: np.ndarray, b: np.ndarray, hb: np.ndarray) -> np.ndarray:
+    """The one region in which the pair of nodes a and b, with these homes, counts."""
+    return np.where(ha == b, b, np.where(hb == a, a, np.minimum(ha, hb)))
+
+
+def linked(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """labels, the smallest member of each one's component, after joining u with v."""
+    while True:
+        low = np.minimum(labels[u], labels[v])
+        if (low == labels[u]).all() and (low == labels[v]).all():
+            return labels
+        roots = labels.copy()
+        np.minimum.at(roots, labels[u], low)
+        np.minimum.at(roots, labels[v], low)
+        while True:
+            further = roots[roots]
+            if (further == roots).all():
+                break
+            roots = further
+        labels = roots[labels]
+
+
+class Region:
+    """One region's home nodes, ordered by their distance from its pivot."""
+
+    def __init__(self, rows: list[tuple], t: float, emit: str):
+        self.t, self.emit, self.eps = t, emit, 1 - t + EPS
+        grams, sizes = _unpacked([r[-1] for r in rows])
+        pivot = Sets(grams[: sizes[0]], sizes[:1])
+        self.pivot = pivot
+        distance = self.from_pivot(grams, sizes)
+        o = np.argsort(distance, kind="stable")
+        self.distance, self.sizes = distance[o], sizes[o]
+        self.id, self.node, self.home, self.base, self.copies = (np.array([r[k] for r in rows], np.int64)[o] for k in range(5))
+        cuts = np.append(0, np.cumsum(sizes))
+        self.grams = np.concatenate([grams[cuts[k] : cuts[k + 1]] for k in o])
+        self.cuts = np.append(0, np.cumsum(self.sizes))
+        self.sets = Sets(self.grams, self.sizes)
+        self.links, self.labels = np.zeros(len(o), np.int64), np.arange(len(o))
+        self.out: list[tuple[np.ndarray, ...]] = []
+
+    def from_pivot(self, grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        both = self.pivot.overlaps(grams, sizes)[:, 0]
+        return 1 - both / np.maximum(self.pivot.sizes[0] + sizes - both, 1)
+
+    def found(self, grams: np.ndarray, sizes: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(row, home member, J) of pairs with J >= t, those only compared whose distances from the pivot allow it."""
+        lo, hi = np.searchsorted(self.distance, [distance.min() - self.eps, distance.max() + self.eps])
+        inter = self.sets.overlaps(grams, sizes)[:, lo:hi]
+        j = inter / np.maximum(sizes[:, None] + self.sizes[None, lo:hi] - inter, 1)
+        i, c = np.nonzero(j >= self.t - 1e-6)
+        both = inter[i, c].astype(np.float64)
+        c = c + lo
+        exact = both / (sizes[i] + self.sizes[c] - both)
+        ok = exact >= self.t - EPS
+        return i[ok], c[ok], exact[ok]
+
+    def join_homes(self) -> None:
+        for a in range(0, len(self.node), BLOCK):
+            b = min(a + BLOCK, len(self.node))
+            i, c, j = self.found(self.grams[self.cuts[a] : self.cuts[b]], self.sizes[a:b], self.distance[a:b])
+            i = i + a
+            own = (i < c) & (counted(self.node[i], self.home[i], self.node[c], self.home[c]) == self.base[i])
+            i, c, j = i[own], c[own], j[own]
+            self.links += np.bincount(i, self.copies[c], len(self.node)).astype(np.int64) + np.bincount(c, self.copies[i], len(self.node)).astype(np.int64)
+            if self.emit == "pairs":
+                self.out.append((self.id[i], self.id[c], j))
+            else:
+                self.labels = linked(self.labels, i, c)
+
+    def join_guests(self, rows: list[tuple]) -> None:
+        grams, sizes = _unpacked([r[-1] for r in rows])
+        ids, node, home, base, copies = (np.array([r[k] for r in rows], np.int64) for k in range(5))
+        distance = self.from_pivot(grams, sizes)
+        near = distance <= self.distance[-1] + self.eps
+        if not near.any():
+            return
+        grams = grams[np.repeat(near, sizes)]
+        sizes, ids, node, home, base, copies, distance = (x[near] for x in (sizes, ids, node, home, base, copies, distance))
+        i, c, j = self.found(grams, sizes, distance)
+        own = counted(node[i], home[i], self.node[c], self.home[c]) == base[i]
+        i, c, j = i[own], c[own], j[own]
+        if self.emit == "pairs":
+            self.out.append((ids[i], self.id[c], j))
+            return
+        m = len(self.node)
+        self.links += np.bincount(c, copies[i], m).astype(np.int64)
+        links = np.bincount(i, self.copies[c], len(ids)).astype(np.int64)
+        labels = linked(np.concatenate([self.labels, m + np.arange(len(ids))]), m + i, c)
+        self.labels = labels[:m]
+        some = links > 0
+        self.out.append((ids[some], links[some], self.id[labels[m:][some]]))
+
+    def result(self) -> list[tuple[np.ndarray, ...]]:
+        if self.emit == "pairs":
+            return [(np.minimum(a, b), np.maximum(a, b), j) for a, b, j in self.out]
+        some = self.links > 0
+        return [*self.out, (self.id[some], self.links[some], self.id[self.labels[some]])]
+
+
+RESULTS = {"pairs": "doc_a long, doc_b long, jaccard double", "links": "id long, links long, root long"}
+
+
+def _join_regions(t: float, emit: str) -> Callable:
+    """Joins region after region; rows come sorted by region and part, home nodes before guests, and by node.
+
+    Every part of a region holds its home nodes, and the first alone joins
+    them with each other.
+    """
+    names = [c.split()[0] for c in RESULTS[emit].split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
+        at, last, region, homes, guests = None, None, None, [], []
         out: list[tuple[np.ndarray, ...]] = []
 
+        def settle() -> None:
+            """Takes the home nodes together, then the guests that wait."""
+            nonlocal region
+            if region is None and homes:
+                region = Region(homes, t, emit)
+                homes.clear()
+                if at[1] == 0:
+                    region.join_homes()
+            if region is not None and guests:
+                region.join_guests(guests)
+            guests.clear()
+
         def close() -> None:
-            seen = {}
-            for i, role, blob in held:  # rows that repeat an id: the longest set stands for it
-                if i not in seen or (len(blob), blob) > (len(seen[i][1]), seen[i][1]):
-                    seen[i] = (role, blob)
-            if len(seen) > 1 and any(role == 2 for role, _ in seen.values()):
-                ids = np.array(list(seen), np.int64)
-                sets = []
-                for _, blob in seen.values():
-                    wide = np.zeros((len(blob) // 6, 8), np.uint8)
-                    wide[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-                    sets.append(wide.view(np.uint64).ravel())
-                out.append(join_region(ids, np.array([r for r, _ in seen.values()]), sets, t, all_pairs))
-            held.clear()
-
-        def emit() -> pa.RecordBatch:
-            a, b, j = (np.concatenate(x) for x in zip(*out))
+            nonlocal region
+            settle()
+            if region is not None:
+                out.extend(region.result())
+            region = None
+
+        def batch_of() -> pa.RecordBatch:
+            columns = [np.concatenate(x) for x in zip(*out)]
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(j, pa.float64())], ["doc_a", "doc_b", "jaccard"])
-
-        for batch in batches:
-            for region, role, i, blob in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if region != at and held:
-                    close()
-                    if sum(len(x[0]) for x in out) > 100_000:
-                        yield emit()
-                at = region
-                held.append((i, role, blob))
-        if held:
-            close()
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+        for key, rows in _runs(batches, 2):
+            if key != at:
+                close()
+                at, last = key, None
+                if sum(len(x[0]) for x in out) > 100_000:
+                    yield batch_of()
+            for role, *row in zip(*(c.to_pylist() for c in rows.columns[2:])):
+                if row[1] == last:
+                    continue  # a repeated row
+                last = row[1]
+                (homes if role else guests).append(tuple(row))
+                if len(guests) == BLOCK:
+                    settle()
+        close()
         if out:
-            yield emit()
+            yield batch_of()
 
     return run
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.7, n: int = 3, id_col: str = "doc_id", text_col: str = "text", all_pairs: bool = True, sketch_bits: int = 22, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """(doc_a < doc_b, jaccard) of the pairs whose word n-gram sets have a Jaccard similarity of at least ``threshold``.
-
-    Words are lower-cased; a text of fewer than n words has one gram, all its
-    words. Texts without words, null texts and null ids have no partner. Ties
-    at the threshold are pairs. Of rows that repeat an id, the one with the
-    largest set counts. An empty table gives no rows; other columns are
-    ignored. With ``all_pairs`` false, pairs of documents that both are pairs
-    of their region's pivot are left out, which leaves the connected
-    components as they are. N-grams are told apart by 48 bits of their hash.
-    The routing table is broadcast up to ``broadcast_rows`` rows and joined by
-    a shuffle beyond.
+def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(region, node, pivot, distance) of every member to its region's pivots, which come first (role 3) in each part."""
+    at, pivots, names = None, [], np.zeros(0, np.int64)
+    held: Sets | None = None
+    for key, rows in _runs(batches, 2):
+        if key != at:
+            at, pivots, held = key, [], None
+        role, node, blobs = (rows.column(k).to_pylist() for k in (2, 4, 8))
+        k = sum(r == 3 for r in role)
+        pivots += list(zip(node[:k], blobs[:k]))
+        if k == len(role) or not pivots:
+            continue
+        if held is None:
+            unique = dict(pivots)
+            names = np.array(list(unique), np.int64)
+            held = Sets(*_unpacked(list(unique.values())))
+        for a in range(k, len(role), BLOCK):
+            own = np.array(node[a : a + BLOCK], np.int64)
+            grams, sizes = _unpacked(blobs[a : a + BLOCK])
+            both = held.overlaps(grams, sizes).astype(np.float64)
+            far = 1 - both / np.maximum(sizes[:, None] + held.sizes[None, :] - both, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(far.size, key[0], np.int64)), pa.array(np.repeat(own, len(names))), pa.array(np.tile(names, len(own))), pa.array(far.ravel())], ["region", "node", "pivot", "distance"])
+
+
+def split_regions(routes: DataFrame, texts: DataFrame, n: int, t: float, most: int, limit: int) -> DataFrame:
+    """routes with every region of more than ``most`` home n-grams split by new pivots, again and again.
+
+    Each home member goes to its nearest pivot's region and is a guest in the
+    earlier ones which the triangle inequality doesn't rule out; a guest stays
+    one, in all of those. After DEPTH levels members go by hash instead of
+    distance, which ends the recursion and changes no result.
     """
+    parts = partitions(texts.sparkSession)
+    for depth in range(2 * DEPTH):
+        size = routes.groupBy("region").agg(F.sum(F.when(F.col("role") > 0, F.col("size"))).alias("grams"), F.count_if(F.col("role") > 0).alias("homes"), F.count("*").alias("rows"))
+        big = cut(size.where((F.col("grams") > most) & (F.col("homes") > 1)).select("region", "grams", "homes", "rows"))
+        if big.isEmpty():
+            break
+        own = cut(routes.join(big, "region"))
+        key = F.pmod(F.xxhash64("node", "region", F.lit(depth)), F.lit(1 << 40)) / float(1 << 40)
+        wanted = F.least(F.lit(PIVOTS), 2 * F.ceil(F.col("grams") / most))
+        # As many as wanted on average, and the one of the smallest key in any case.
+        lowest = own.where("role > 0").groupBy("region").agg(F.min(key).alias("lowest"))
+        pivots = cut(own.where("role > 0").join(lowest, "region").where((key < wanted / F.col("homes")) | (key == F.col("lowest"))).select(*own.columns))
+        salts = F.greatest(F.lit(1), F.ceil(F.col("rows") / 4096)).cast("int")
+        fan = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), salts - 1))).withColumn("role", F.lit(3))
+        rows = own.withColumn("part", F.pmod(F.xxhash64("node"), salts).cast("int")).select(*ROUTED).unionByName(fan.select(*ROUTED))
+        sets = _with_sets(texts, rows, n, limit).repartition(parts, "region", "part").sortWithinPartitions("region", "part", F.desc("role"))
+        far = cut(sets.mapInArrow(_distances, "region long, node long, pivot long, distance double").distinct())
+        nearest = F.struct(F.col("distance") if depth < DEPTH else F.lit(0), F.xxhash64("node", "pivot"))
+        homes = own.where("role > 0").select("region", "node").join(far, ["region", "node"])
+        chosen = cut(homes.groupBy("region", "node").agg(F.min_by("pivot", nearest).alias("chosen")))
+        radius = homes.join(chosen, ["region", "node"]).where("pivot = chosen").groupBy("region", "pivot").agg(F.max("distance").alias("radius"))
+        near = far.join(radius, ["region", "pivot"]).join(chosen, ["region", "node"], "left")
+        near = near.where(F.col("chosen").isNull() | (F.col("pivot") == F.col("chosen")) | ((F.col("pivot") < F.col("chosen")) & (F.col("distance") <= F.col("radius") + 1 - t + EPS)))
+        near = near.where(F.col("chosen").isNotNull() | (F.col("distance") <= F.col("radius") + 1 - t + EPS))
+        new = own.join(near.select("region", "node", "pivot", (F.col("pivot") == F.col("chosen")).alias("here")), ["region", "node"])
+        new = new.withColumn("role", F.when(F.coalesce("here", F.lit(False)), 1).otherwise(0)).withColumn("region", F.xxhash64("region", "pivot"))
+        routes = cut(routes.join(big.select("region"), "region", "left_anti").unionByName(new.select(*routes.columns)))
+    return routes
+
+
+def _classes(profile: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, node) of each document, and (node, id, copies, size) with the smallest id of each node's documents."""
+    own = cut(profile.where("part IS NULL").groupBy("id").agg(F.max(F.struct("size", "node")).alias("s")).select("id", "s.node", "s.size"))
+    return own.select("id", "node"), cut(own.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("size").alias("size")))
+
+
+def _joined(docs: DataFrame, t: float, n: int, id_col: str, text_col: str, emit: str, sketch_bits: int, limit: int, most: int, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, node), (node, id, copies, size) and the joined regions' RESULTS."""
     spark = docs.sparkSession
     texts = _lowered(docs, id_col, text_col)
-    ranks = spark.sparkContext.broadcast(gram_ranks(texts, n, sketch_bits))
+    profile = cut(texts.mapInArrow(_profile(n, sketch_bits), PROFILE))
+    own, classes = _classes(profile)
+    ranks = spark.sparkContext.broadcast(gram_ranks(profile, sketch_bits))
     parts = partitions(spark)
-    packed = texts.mapInArrow(_signatures(n, threshold, sketch_bits, ranks, 8 * parts), "bucket int, blob binary")
-    found = cut(packed.repartition(parts, "bucket").mapInArrow(_cells(threshold), FOUND))
-    routes = cut(_routes(found, threshold))
-    total = routes.count()
-    if total <= broadcast_rows:
-        local = routes.orderBy("id", "region").toArrow()
-        held = spark.sparkContext.broadcast(tuple(local.column(k).to_numpy() for k in range(3)))
-        sets = texts.mapInArrow(_routed_sets(n, held), "region long, role int, id long, grams binary")
-    else:
-        sets = texts.mapInArrow(_sets(n), "id long, grams binary").join(routes, "id").select("region", "role", "id", "grams")
-    joined = sets.repartition(parts, "region").sortWithinPartitions("region").mapInArrow(_join_regions(threshold, all_pairs), PAIRS)
-    return joined.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    packed = texts.mapInArrow(_signatures(n, t, sketch_bits, ranks, 8 * parts, hot), "bucket int, blob binary")
+    found = cut(packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_cells(t, hot), FOUND))
+    routes = _routes(found, t).join(classes, "node").withColumn("base", F.col("region"))
+    routes = split_regions(cut(routes), texts, n, t, most, limit)
+    # Guests of a region beyond a task's number go to parts, each with the home nodes.
+    guests = routes.groupBy("region").agg(F.count_if(F.col("role") == 0).alias("guests")).where(F.col("guests") > REGION_GUESTS)
+    salted = routes.join(guests, "region", "left").withColumn("salts", F.ceil(F.coalesce("guests", F.lit(1)) / REGION_GUESTS).cast("int"))
+    spread = F.when(F.col("role") > 0, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), "salts").cast("int")))
+    sets = _with_sets(texts, cut(salted.withColumn("part", F.explode(spread)).select(*ROUTED)), n, limit)
+    rows = sets.repartition(parts, "region", "part").sortWithinPartitions("region", "part", F.desc("role"), "node")
+    return own, classes, rows.mapInArrow(_join_regions(t, emit), RESULTS[emit])
+
+
+def jaccard_pairs(docs: DataFrame, threshold: float = 0.7, n: int = 3, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = 22, broadcast_bytes: int = BROADCAST_BYTES, region_grams: int = REGION_GRAMS, hot_cell: int = HOT_CELL) -> tuple[DataFrame, DataFrame]:
+    """(doc_a < doc_b, jaccard) of representatives, and the membership (doc_id, representative).
+
+    Documents of equal n-gram sets are represented by the smallest id among
+    them. As ``near_duplicates`` in all else.
+    """
+    own, classes, pairs = _joined(docs, threshold, n, id_col, text_col, "pairs", sketch_bits, broadcast_bytes, region_grams, hot_cell)
+    return pairs, own.join(classes.select("node", F.col("id").alias("representative")), "node").select(F.col("id").alias("doc_id"), "representative")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.7, n: int = 3, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = 22, broadcast_bytes: int = BROADCAST_BYTES, region_grams: int = REGION_GRAMS, hot_cell: int = HOT_CELL) -> DataFrame:
+    """(doc_id, class_id, links): one row for each document that has a near copy.
+
+    ``links`` is the number of other documents whose word n-gram sets have a
+    Jaccard similarity of at least ``threshold`` with its own, every one of
+    them counted; ``class_id`` the smallest id that such links, one after
+    another, lead to.
+
+    Words are lower-cased; a text of fewer than n words has one gram, all its
+    words. Texts without words, null texts and null ids have no link. Ties at
+    the threshold are links. Of rows that repeat an id, the one with the
+    largest set counts. Texts of any length are read whole. An empty table
+    gives no rows; other columns are ignored. N-grams are told apart by 48
+    bits of their hash, sets by 64 bits of theirs: different sets with one
+    name, of odds 1 to 2**64 a pair, would pass for copies. The routing table
+    is broadcast up to ``broadcast_bytes`` and joined by a shuffle beyond.
+    """
+    own, classes, links = _joined(docs, threshold, n, id_col, text_col, "links", sketch_bits, broadcast_bytes, region_grams, hot_cell)
+    links = cut(links)
+    roots = components(links.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("id"), F.col("root").alias("class_id"))
+    degree = links.groupBy("id").agg(F.sum("links").alias("links"))
+    rows = classes.join(degree, "id", "left").join(roots, "id", "left").where("copies > 1 OR links > 0")
+    rows = cut(rows.select("node", F.coalesce("class_id", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
+    return own.join(small(rows, 24, broadcast_bytes), "node").select(F.col("id").alias("doc_id"), "class_id", "links")
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.7, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns kept, with one document, the smallest id, of each group.
+    """The rows of docs, all columns kept, with one document, the smallest id, of each class of ``near_duplicates``.
 
-    A group is a connected component of the pairs of ``jaccard_join``.
     Documents without words, and null ids, stay.
     """
-    pairs = jaccard_join(docs, threshold, n, id_col, text_col, all_pairs=False)
-    gone = components(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))).select(F.col("node").alias("__gone"))
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    gone = cut(near_duplicates(docs, threshold, n, id_col, text_col).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")))
+    return docs.join(small(gone, 8), docs[id_col].cast("long") == gone["__gone"], "left_anti")

@@ -61,7 +61,8 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), NEAR_THRESHOLD, NEAR_N)
+    """Each document that has near copies, with its class and the number of its links."""
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), NEAR_THRESHOLD, NEAR_N)
 
 
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import brute
 import numpy as np
@@ -61,34 +62,82 @@ def _near_rows(seed: int = 3):
     return rows
 
 
+def _pairs(docs, t, n, **more):
+    """All pairs of documents, from those of representatives and the membership."""
+    pairs, members = jj.jaccard_pairs(docs, t, n, **more)
+    of: dict[int, list[int]] = {}
+    for i, r in members.collect():
+        of.setdefault(r, []).append(i)
+    rows = pairs.collect()
+    assert len({(r[0], r[1]) for r in rows}) == len(rows) and all(r[0] < r[1] for r in rows)
+    out = {(min(a, b), max(a, b)): r[2] for r in rows for a in of[r[0]] for b in of[r[1]]}
+    return out | {(a, b): 1.0 for own in of.values() for a in own for b in own if a < b}
+
+
+def _links(want) -> set[tuple[int, int, int]]:
+    degree = Counter(x for pair in want for x in pair)
+    roots = brute.groups(want)
+    return {(x, roots[x], n) for x, n in degree.items()}
+
+
+def _rows(df):
+    rows = [tuple(r) for r in df.collect()]
+    assert len(set(rows)) == len(rows)
+    return set(rows)
+
+
 @pytest.mark.parametrize("t", [0.5, 0.7, 0.9])
 def test_jaccard_join_is_exact(make_docs, t):
     rows = _near_rows()
     want = brute.jaccard_pairs(rows, t, 3)
-    got = {(r[0], r[1]): r[2] for r in jj.jaccard_join(make_docs(rows), t, 3).collect()}
+    got = _pairs(make_docs(rows), t, 3)
     assert got.keys() == want.keys() and len(want) > 300
     assert max(abs(got[k] - want[k]) for k in want) < 1e-6
+    assert _rows(jj.near_duplicates(make_docs(rows), t, 3)) == _links(want)
 
 
-def test_jaccard_join_by_shuffle(make_docs):
+@pytest.mark.parametrize("t", [0.5, 0.8])
+@pytest.mark.parametrize("more", [{"broadcast_bytes": 0}, {"region_grams": 300}, {"region_grams": 1, "hot_cell": 5}])
+def test_jaccard_join_in_other_ways(make_docs, monkeypatch, t, more):
+    """By shuffles, with regions split again and again, with split cells and with guests in parts."""
+    if "hot_cell" in more:
+        monkeypatch.setattr(jj, "REGION_GUESTS", 3)
     rows = _near_rows(4)
-    want = brute.jaccard_pairs(rows, 0.7, 3)
-    assert {(r[0], r[1]) for r in jj.jaccard_join(make_docs(rows), 0.7, 3, broadcast_rows=0).collect()} == set(want)
+    want = brute.jaccard_pairs(rows, t, 3)
+    assert _rows(jj.near_duplicates(make_docs(rows), t, 3, **more)) == _links(want)
+    assert _pairs(make_docs(rows), t, 3, **more).keys() == want.keys()
+
+
+def test_hot_group_of_near_copies(make_docs):
+    """A third of the rows is one page with another number in each, next to exact copies of it."""
+    rng = random.Random(8)
+    page = [f"p{k}" for k in range(30)]
+    rows = [(k, " ".join([*page[:15], f"n{k % 90}", *page[15:]])) for k in range(120)]
+    rows += [(1000 + k, " ".join(rng.choice(["a", "b", "c", "d", "e"]) + str(rng.randrange(300)) for _ in range(25))) for k in range(240)]
+    want = brute.jaccard_pairs(rows, 0.5, 3)
+    assert _rows(jj.near_duplicates(make_docs(rows), 0.5, 3, region_grams=400, hot_cell=20)) == _links(want)
+    assert len(want) >= 120 * 119 / 2
 
 
 @pytest.mark.parametrize("extra", [False, True])
 def test_jaccard_edges(make_docs, edge_rows, extra):
     docs = make_docs(edge_rows, extra)
     want = brute.jaccard_pairs(edge_rows, 0.7, 3)
-    assert {(r[0], r[1]) for r in jj.jaccard_join(docs, 0.7, 3).collect()} == set(want)
+    assert _pairs(docs, 0.7, 3).keys() == want.keys()
+    assert _rows(jj.near_duplicates(docs, 0.7, 3)) == _links(want)
     left = jj.drop_near_duplicates(docs, 0.7, 3)
     gone = {x for x, root in brute.groups(want).items() if x != root}
     assert left.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(str(i) for i, _ in edge_rows if i not in gone)
 
 
+def test_rows_that_repeat_an_id(make_docs):
+    rows = [(1, "a b c d e f g h"), (1, "a b c d e f g h i j"), (1, "a b c d e f g h i j"), (2, "a b c d e f g h i j"), (3, "a b c d e f g h"), (3, "a b c d e f g h")]
+    assert _rows(jj.near_duplicates(make_docs(rows), 0.7, 3)) == {(1, 1, 2), (2, 1, 2), (3, 1, 2)}
+
+
 def test_jaccard_empty(make_docs):
-    assert jj.jaccard_join(make_docs([]), 0.7, 3).count() == 0
+    assert jj.near_duplicates(make_docs([]), 0.7, 3).count() == 0
     assert jj.drop_near_duplicates(make_docs([(1, None), (2, "")]), 0.7, 3).count() == 2
 
 
@@ -99,10 +148,12 @@ def test_near_duplicates_leave_one_of_each_group(make_docs):
     assert left == {i for i, _ in rows} - gone
 
 
-def test_whole_documents_table(spark):
+@pytest.mark.parametrize("t", [0.7, Q.NEAR_THRESHOLD])
+def test_whole_documents_table(spark, t):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    want = brute.jaccard_pairs([(r[0], r[1]) for r in docs.select("doc_id", "text").collect()], 0.7, 3)
-    assert {(r[0], r[1]) for r in jj.jaccard_join(docs, 0.7, 3).collect()} == set(want)
+    want = brute.jaccard_pairs([(r[0], r[1]) for r in docs.select("doc_id", "text").collect()], t, 3)
+    assert _pairs(docs, t, 3).keys() == want.keys()
+    assert _rows(jj.near_duplicates(docs, t, 3)) == _links(want)
 
 
 def test_registered_threshold_finds_planted_copies(make_docs):
@@ -119,7 +170,7 @@ def test_registered_threshold_finds_planted_copies(make_docs):
         planted.add((2 * k, 2 * k + 1))
     passage = " ".join(rng.choice(words) for _ in range(40))
     rows += [(1000 + k, " ".join(rng.choice(words) for _ in range(80)) + " " + passage) for k in range(20)]
-    got = {(r[0], r[1]) for r in jj.jaccard_join(make_docs(rows), Q.NEAR_THRESHOLD, Q.NEAR_N).collect()}
+    got = set(_pairs(make_docs(rows), Q.NEAR_THRESHOLD, Q.NEAR_N))
     assert got <= planted and len(got) >= 0.98 * len(planted)
     left = {r["doc_id"] for r in jj.drop_near_duplicates(make_docs(rows), Q.NEAR_THRESHOLD, Q.NEAR_N).collect()}
     assert left == {i for i, _ in rows} - {b for _, b in got}
@@ -129,7 +180,7 @@ def test_light_edits_in_the_documents_table(spark):
     """Pairs of sf0.1 with J from .698 to .7, the same text with some 6 % of its words changed."""
     pairs = {(7264, 9351), (7225, 9651), (6627, 8984)}
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where(F.col("doc_id").isin([i for p in pairs for i in p]))
-    assert {(r[0], r[1]) for r in jj.jaccard_join(docs, Q.NEAR_THRESHOLD, Q.NEAR_N).collect()} == pairs
+    assert set(_pairs(docs, Q.NEAR_THRESHOLD, Q.NEAR_N)) == pairs
 
 
 def test_components(spark):
