@@ -139,12 +139,12 @@ def cell_parts(cells: np.ndarray, hot: int) -> np.ndarray:
 
 
 def _signatures(n: int, t: float, bits: int, ranks, buckets: int, hot: int) -> Callable:
-    """Packed (cell, node, size, position) of each node's window, grouped by bucket of cells; a node comes once a task."""
+    """Packed (cell, id, size, position) of each node's window, grouped by bucket of cells."""
 
     def pack(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        cell, node, sizes, at = (np.concatenate(x) for x in zip(*held))
+        cell, ids, sizes, at = (np.concatenate(x) for x in zip(*held))
         # The low bits of the cell are those of the n-gram's hash.
-        part = (G.mix(node.view(np.uint64)) >> U64(20)) % cell_parts(cell, hot)
+        part = (G.mix(ids.view(np.uint64)) >> U64(20)) % cell_parts(cell, hot)
         bucket = ((cell + part * U64(0x9E3779B1)) % U64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -152,31 +152,24 @@ def _signatures(n: int, t: float, bits: int, ranks, buckets: int, hot: int) -> C
         for b in np.flatnonzero(np.diff(cuts)):
             o = order[cuts[b] : cuts[b + 1]]
             keys.append(int(b))
-            blobs.append(np.int64(len(o)).tobytes() + planes(cell[o]) + planes(node[o]) + planes(sizes[o]) + planes(at[o]))
+            blobs.append(np.int64(len(o)).tobytes() + planes(cell[o]) + planes(ids[o]) + planes(sizes[o]) + planes(at[o]))
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, held, count, seen = ranks.value, [], 0, set()
+        rank, held, count = ranks.value, [], 0
         for batch in batches:
-            for _, _, data, offsets in G.text_chunks(batch):
+            ids = batch.column(0).to_numpy()
+            for a, b, data, offsets in G.text_chunks(batch):
                 grams, bounds = G.gram_sets(data, offsets, n)
-                sizes, names = np.diff(bounds), node_names(grams, bounds)
-                new = np.zeros(len(names), bool)
-                for k, name in enumerate(names.tolist()):
-                    if name and name not in seen:
-                        seen.add(name)
-                        new[k] = True
-                rows = np.repeat(np.arange(len(sizes)), sizes)
-                own = new[rows]
-                rows, grams = rows[own], grams[own]
+                sizes = np.diff(bounds)
+                rows = np.repeat(np.arange(b - a), sizes)
                 order = rank[(grams >> U64(G.GRAM_BITS - bits)).astype(np.int64)].astype(np.uint64)
                 key = (rows.astype(np.uint64) << U64(48)) | (order << U64(40)) | (grams & U64((1 << 40) - 1))
                 key.sort()
-                first = np.cumsum(np.where(new, sizes, 0)) - np.where(new, sizes, 0)
-                at = np.arange(len(key)) - first[rows]
+                at = np.arange(len(key)) - bounds[:-1][rows]
                 keep = at < window_lengths(sizes, t)[rows]
                 rows, at = rows[keep], at[keep]
-                held.append((key[keep] & U64((1 << 48) - 1), names[rows], sizes[rows].astype(np.int32), at.astype(np.int32)))
+                held.append((key[keep] & U64((1 << 48) - 1), ids[a:b][rows], sizes[rows].astype(np.int32), at.astype(np.int32)))
                 count += len(rows)
                 if count >= FLUSH:
                     yield pack(held)
@@ -230,7 +223,7 @@ def _cells(t: float, hot: int) -> Callable:
         def meet(node, sizes, pos, i: np.ndarray, j: np.ndarray) -> None:
             nonlocal held
             sa, sb = sizes[i].astype(np.int64), sizes[j].astype(np.int64)
-            ok = sizes_fit(sa, sb, t)
+            ok = (node[i] != node[j]) & sizes_fit(sa, sb, t)
             i, j, sa, sb = i[ok], j[ok], sa[ok], sb[ok]
             pairs.append((np.maximum(node[i], node[j]), np.minimum(node[i], node[j]), np.ones(len(i), np.int64), 1 + extra_cells(np.minimum(sa, sb)), places_fit(sa, pos[i], sb, pos[j], t)))
             held += len(i)
@@ -246,9 +239,9 @@ def _cells(t: float, hot: int) -> Callable:
                     at += width
             cell, node, sizes, pos = (np.concatenate(x) for x in parts)
             parts.clear()
-            order = np.lexsort((node, cell))
+            order = np.lexsort((sizes, node, cell))
             cell, node, sizes, pos = cell[order], node[order], sizes[order], pos[order]
-            once = np.concatenate([[True], (cell[1:] != cell[:-1]) | (node[1:] != node[:-1])])
+            once = np.concatenate([[True], (cell[1:] != cell[:-1]) | (node[1:] != node[:-1]) | (sizes[1:] != sizes[:-1])])
             cell, node, sizes, pos = cell[once], node[once], sizes[once], pos[once]
             starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
             counts = np.diff(np.append(starts, len(cell)))
@@ -275,7 +268,8 @@ def _cells(t: float, hot: int) -> Callable:
             x, p, votes, need, fit = x[o], p[o], votes[o], need[o], fit[o]
             new = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (p[1:] != p[:-1])])) if len(x) else np.zeros(0, np.int64)
             if len(x):
-                x, p, votes, need, fit = x[new], p[new], np.add.reduceat(votes, new), need[new], np.logical_or.reduceat(fit, new)
+                # Rows that repeat an id may differ in size: the least need holds.
+                x, p, votes, need, fit = x[new], p[new], np.add.reduceat(votes, new), np.minimum.reduceat(need, new), np.logical_or.reduceat(fit, new)
             return x, p, votes, need, fit
 
         def emit_pairs() -> Iterator[pa.RecordBatch]:
@@ -327,7 +321,7 @@ def _cells(t: float, hot: int) -> Callable:
 
 
 def _routes(found: DataFrame, t: float) -> DataFrame:
-    """(node, region, home, role): 2 the region's pivot, 1 its home nodes, 0 nodes from other regions.
+    """(id, region, home, role): 2 the region's pivot, 1 its home nodes, 0 nodes from other regions.
 
     Two nodes that meet in a cell are both in the region where ``counted``
     has their pair: that of the one which is the other's home, else that of
@@ -340,16 +334,16 @@ def _routes(found: DataFrame, t: float) -> DataFrame:
     sides = pairs.select("x", "p").join(of("x"), "x").join(of("p"), "p", "left").withColumn("p_home", F.coalesce("p_home", "p"))
     apart = sides.where("x_home <> p_home AND x_home <> p")
     low = F.col("x_home") < F.col("p_home")
-    guests = apart.select(F.when(low, F.col("p")).otherwise(F.col("x")).alias("node"), F.least("x_home", "p_home").alias("region"))
+    guests = apart.select(F.when(low, F.col("p")).otherwise(F.col("x")).alias("id"), F.least("x_home", "p_home").alias("region"))
     members = found.where("kind = 1").select("h", F.explode(F.arrays_zip("ids", "sizes")).alias("m")).select("h", F.col("m.ids").alias("x"), F.col("m.sizes").alias("size")).distinct()
     members = members.join(of("x"), "x", "left").withColumn("x_home", F.coalesce("x_home", "x"))
     regions = members.groupBy("h", F.col("x_home").alias("region")).agg(F.min("size").alias("least"), F.max("size").alias("most"))
     many = members.join(regions, "h").where((F.col("x_home") > F.col("region")) & (F.col("size") >= t * F.col("least") - EPS) & (F.col("size") * t <= F.col("most") + EPS))
-    guests = guests.unionByName(many.select(F.col("x").alias("node"), "region"))
-    routes = home.select(F.col("x").alias("node"), F.col("home").alias("region"), F.lit(1).alias("role")).unionByName(guests.select("node", "region", F.lit(0).alias("role")))
-    routes = routes.unionByName(routes.select(F.col("region").alias("node"), "region", F.lit(2).alias("role")))
-    routes = routes.groupBy("node", "region").agg(F.max("role").alias("role"))
-    return routes.join(of("node"), "node", "left").withColumn("home", F.coalesce("node_home", "node")).drop("node_home")
+    guests = guests.unionByName(many.select(F.col("x").alias("id"), "region"))
+    routes = home.select(F.col("x").alias("id"), F.col("home").alias("region"), F.lit(1).alias("role")).unionByName(guests.select("id", "region", F.lit(0).alias("role")))
+    routes = routes.unionByName(routes.select(F.col("region").alias("id"), "region", F.lit(2).alias("role")))
+    routes = routes.groupBy("id", "region").agg(F.max("role").alias("role"))
+    return routes.join(of("id"), "id", "left").withColumn("home", F.coalesce("id_home", "id")).drop("id_home")
 
 
 ROUTED = ["region", "part", "role", "id", "node", "home", "base", "copies"]
@@ -460,7 +454,7 @@ class Sets:
 
 
 def counted(a: np.ndarray, ha: np.ndarray, b: np.ndarray, hb: np.ndarray) -> np.ndarray:
-    """The one region in which the pair of nodes a and b, with these homes, counts."""
+    """The one region in which the pair of ids a and b, with these homes, counts."""
     return np.where(ha == b, b, np.where(hb == a, a, np.minimum(ha, hb)))
 
 
@@ -492,7 +486,7 @@ class Region:
         distance = self.from_pivot(grams, sizes)
         o = np.argsort(distance, kind="stable")
         self.distance, self.sizes = distance[o], sizes[o]
-        self.id, self.node, self.home, self.base, self.copies = (np.array([r[k] for r in rows], np.int64)[o] for k in range(5))
+        self.id, self.home, self.base, self.copies = (np.array([r[k] for r in rows], np.int64)[o] for k in (0, 2, 3, 4))
         cuts = np.append(0, np.cumsum(sizes))
         self.grams = np.concatenate([grams[cuts[k] : cuts[k + 1]] for k in o])
         self.cuts = np.append(0, np.cumsum(self.sizes))
@@ -517,13 +511,13 @@ class Region:
         return i[ok], c[ok], exact[ok]
 
     def join_homes(self) -> None:
-        for a in range(0, len(self.node), BLOCK):
-            b = min(a + BLOCK, len(self.node))
+        for a in range(0, len(self.id), BLOCK):
+            b = min(a + BLOCK, len(self.id))
             i, c, j = self.found(self.grams[self.cuts[a] : self.cuts[b]], self.sizes[a:b], self.distance[a:b])
             i = i + a
-            own = (i < c) & (counted(self.node[i], self.home[i], self.node[c], self.home[c]) == self.base[i])
+            own = (i < c) & (counted(self.id[i], self.home[i], self.id[c], self.home[c]) == self.base[i])
             i, c, j = i[own], c[own], j[own]
-            self.links += np.bincount(i, self.copies[c], len(self.node)).astype(np.int64) + np.bincount(c, self.copies[i], len(self.node)).astype(np.int64)
+            self.links += np.bincount(i, self.copies[c], len(self.id)).astype(np.int64) + np.bincount(c, self.copies[i], len(self.id)).astype(np.int64)
             if self.emit == "pairs":
                 self.out.append((self.id[i], self.id[c], j))
             else:
@@ -531,20 +525,20 @@ class Region:
 
     def join_guests(self, rows: list[tuple]) -> None:
         grams, sizes = _unpacked([r[-1] for r in rows])
-        ids, node, home, base, copies = (np.array([r[k] for r in rows], np.int64) for k in range(5))
+        ids, home, base, copies = (np.array([r[k] for r in rows], np.int64) for k in (0, 2, 3, 4))
         distance = self.from_pivot(grams, sizes)
         near = distance <= self.distance[-1] + self.eps
         if not near.any():
             return
         grams = grams[np.repeat(near, sizes)]
-        sizes, ids, node, home, base, copies, distance = (x[near] for x in (sizes, ids, node, home, base, copies, distance))
+        sizes, ids, home, base, copies, distance = (x[near] for x in (sizes, ids, home, base, copies, distance))
         i, c, j = self.found(grams, sizes, distance)
-        own = counted(node[i], home[i], self.node[c], self.home[c]) == base[i]
+        own = counted(ids[i], home[i], self.id[c], self.home[c]) == base[i]
         i, c, j = i[own], c[own], j[own]
         if self.emit == "pairs":
             self.out.append((ids[i], self.id[c], j))
             return
-        m = len(self.node)
+        m = len(self.id)
         self.links += np.bincount(c, copies[i], m).astype(np.int64)
         links = np.bincount(i, self.copies[c], len(ids)).astype(np.int64)
         labels = linked(np.concatenate([self.labels, m + np.arange(len(ids))]), m + i, c)
@@ -563,7 +557,7 @@ RESULTS = {"pairs": "doc_a long, doc_b long, jaccard double", "links": "id long,
 
 
 def _join_regions(t: float, emit: str) -> Callable:
-    """Joins region after region; rows come sorted by region and part, home nodes before guests, and by node.
+    """Joins region after region; rows come sorted by region and part, home nodes before guests, and by id.
 
     Every part of a region holds its home nodes, and the first alone joins
     them with each other.
@@ -605,9 +599,9 @@ def _join_regions(t: float, emit: str) -> Callable:
                 if sum(len(x[0]) for x in out) > 100_000:
                     yield batch_of()
             for role, *row in zip(*(c.to_pylist() for c in rows.columns[2:])):
-                if row[1] == last:
+                if row[0] == last:
                     continue  # a repeated row
-                last = row[1]
+                last = row[0]
                 (homes if role else guests).append(tuple(row))
                 if len(guests) == BLOCK:
                     settle()
@@ -619,13 +613,13 @@ def _join_regions(t: float, emit: str) -> Callable:
 
 
 def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(region, node, pivot, distance) of every member to its region's pivots, which come first (role 3) in each part."""
+    """(region, id, pivot, distance) of every member to its region's pivots, which come first (role 3) in each part."""
     at, pivots, names = None, [], np.zeros(0, np.int64)
     held: Sets | None = None
     for key, rows in _runs(batches, 2):
         if key != at:
             at, pivots, held = key, [], None
-        role, node, blobs = (rows.column(k).to_pylist() for k in (2, 4, 8))
+        role, node, blobs = (rows.column(k).to_pylist() for k in (2, 3, 8))
         k = sum(r == 3 for r in role)
         pivots += list(zip(node[:k], blobs[:k]))
         if k == len(role) or not pivots:
@@ -639,7 +633,7 @@ def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams, sizes = _unpacked(blobs[a : a + BLOCK])
             both = held.overlaps(grams, sizes).astype(np.float64)
             far = 1 - both / np.maximum(sizes[:, None] + held.sizes[None, :] - both, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(far.size, key[0], np.int64)), pa.array(np.repeat(own, len(names))), pa.array(np.tile(names, len(own))), pa.array(far.ravel())], ["region", "node", "pivot", "distance"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(far.size, key[0], np.int64)), pa.array(np.repeat(own, len(names))), pa.array(np.tile(names, len(own))), pa.array(far.ravel())], ["region", "id", "pivot", "distance"])
 
 
 def split_regions(routes: DataFrame, texts: DataFrame, n: int, t: float, most: int, limit: int) -> DataFrame:
@@ -657,24 +651,24 @@ def split_regions(routes: DataFrame, texts: DataFrame, n: int, t: float, most: i
         if big.isEmpty():
             break
         own = cut(routes.join(big, "region"))
-        key = F.pmod(F.xxhash64("node", "region", F.lit(depth)), F.lit(1 << 40)) / float(1 << 40)
+        key = F.pmod(F.xxhash64("id", "region", F.lit(depth)), F.lit(1 << 40)) / float(1 << 40)
         wanted = F.least(F.lit(PIVOTS), 2 * F.ceil(F.col("grams") / most))
         # As many as wanted on average, and the one of the smallest key in any case.
         lowest = own.where("role > 0").groupBy("region").agg(F.min(key).alias("lowest"))
         pivots = cut(own.where("role > 0").join(lowest, "region").where((key < wanted / F.col("homes")) | (key == F.col("lowest"))).select(*own.columns))
         salts = F.greatest(F.lit(1), F.ceil(F.col("rows") / 4096)).cast("int")
         fan = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), salts - 1))).withColumn("role", F.lit(3))
-        rows = own.withColumn("part", F.pmod(F.xxhash64("node"), salts).cast("int")).select(*ROUTED).unionByName(fan.select(*ROUTED))
+        rows = own.withColumn("part", F.pmod(F.xxhash64("id"), salts).cast("int")).select(*ROUTED).unionByName(fan.select(*ROUTED))
         sets = _with_sets(texts, rows, n, limit).repartition(parts, "region", "part").sortWithinPartitions("region", "part", F.desc("role"))
-        far = cut(sets.mapInArrow(_distances, "region long, node long, pivot long, distance double").distinct())
-        nearest = F.struct(F.col("distance") if depth < DEPTH else F.lit(0), F.xxhash64("node", "pivot"))
-        homes = own.where("role > 0").select("region", "node").join(far, ["region", "node"])
-        chosen = cut(homes.groupBy("region", "node").agg(F.min_by("pivot", nearest).alias("chosen")))
-        radius = homes.join(chosen, ["region", "node"]).where("pivot = chosen").groupBy("region", "pivot").agg(F.max("distance").alias("radius"))
-        near = far.join(radius, ["region", "pivot"]).join(chosen, ["region", "node"], "left")
+        far = cut(sets.mapInArrow(_distances, "region long, id long, pivot long, distance double").distinct())
+        nearest = F.struct(F.col("distance") if depth < DEPTH else F.lit(0), F.xxhash64("id", "pivot"))
+        homes = own.where("role > 0").select("region", "id").join(far, ["region", "id"])
+        chosen = cut(homes.groupBy("region", "id").agg(F.min_by("pivot", nearest).alias("chosen")))
+        radius = homes.join(chosen, ["region", "id"]).where("pivot = chosen").groupBy("region", "pivot").agg(F.max("distance").alias("radius"))
+        near = far.join(radius, ["region", "pivot"]).join(chosen, ["region", "id"], "left")
         near = near.where(F.col("chosen").isNull() | (F.col("pivot") == F.col("chosen")) | ((F.col("pivot") < F.col("chosen")) & (F.col("distance") <= F.col("radius") + 1 - t + EPS)))
         near = near.where(F.col("chosen").isNotNull() | (F.col("distance") <= F.col("radius") + 1 - t + EPS))
-        new = own.join(near.select("region", "node", "pivot", (F.col("pivot") == F.col("chosen")).alias("here")), ["region", "node"])
+        new = own.join(near.select("region", "id", "pivot", (F.col("pivot") == F.col("chosen")).alias("here")), ["region", "id"])
         new = new.withColumn("role", F.when(F.coalesce("here", F.lit(False)), 1).otherwise(0)).withColumn("region", F.xxhash64("region", "pivot"))
         routes = cut(routes.join(big.select("region"), "region", "left_anti").unionByName(new.select(*routes.columns)))
     return routes
@@ -694,16 +688,19 @@ def _joined(docs: DataFrame, t: float, n: int, id_col: str, text_col: str, emit:
     own, classes = _classes(profile)
     ranks = spark.sparkContext.broadcast(gram_ranks(profile, sketch_bits))
     parts = partitions(spark)
+    # A node's further copies have nothing to add.
+    more = cut(own.join(classes.where("copies > 1").select("node", F.col("id").alias("first")), "node").where("id <> first").select("id"))
+    texts = texts.join(small(more, 8, limit), "id", "left_anti")
     packed = texts.mapInArrow(_signatures(n, t, sketch_bits, ranks, 8 * parts, hot), "bucket int, blob binary")
     found = cut(packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_cells(t, hot), FOUND))
-    routes = _routes(found, t).join(classes, "node").withColumn("base", F.col("region"))
+    routes = _routes(found, t).join(classes, "id").withColumn("base", F.col("region"))
     routes = split_regions(cut(routes), texts, n, t, most, limit)
     # Guests of a region beyond a task's number go to parts, each with the home nodes.
     guests = routes.groupBy("region").agg(F.count_if(F.col("role") == 0).alias("guests")).where(F.col("guests") > REGION_GUESTS)
     salted = routes.join(guests, "region", "left").withColumn("salts", F.ceil(F.coalesce("guests", F.lit(1)) / REGION_GUESTS).cast("int"))
-    spread = F.when(F.col("role") > 0, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), "salts").cast("int")))
+    spread = F.when(F.col("role") > 0, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), "salts").cast("int")))
     sets = _with_sets(texts, cut(salted.withColumn("part", F.explode(spread)).select(*ROUTED)), n, limit)
-    rows = sets.repartition(parts, "region", "part").sortWithinPartitions("region", "part", F.desc("role"), "node")
+    rows = sets.repartition(parts, "region", "part").sortWithinPartitions("region", "part", F.desc("role"), "id")
     return own, classes, rows.mapInArrow(_join_regions(t, emit), RESULTS[emit])
 
 
