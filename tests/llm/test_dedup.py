@@ -37,7 +37,7 @@ def test_exact_edges(make_docs, edge_rows, extra):
 
 
 def test_exact_without_broadcast(make_docs, edge_rows):
-    assert {tuple(r) for r in exact_duplicates(make_docs(edge_rows), broadcast_rows=0).collect()} == {(3, 2), (6, 5), (9, 8), (12, 11)}
+    assert {tuple(r) for r in exact_duplicates(make_docs(edge_rows), broadcast_bytes=0).collect()} == {(3, 2), (6, 5), (9, 8), (12, 11)}
 
 
 def test_exact_empty(make_docs):
