@@ -9,11 +9,13 @@ drives most weights to exact zero, so the model is a short sorted list of
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,31 +59,33 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarr
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0, epochs: int = 8, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights of 2**bits buckets and the bias. Rows are visited in a seeded order, the same each time."""
-    z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
-    bias = 1 << bits
+    z, n, bias = np.zeros(1 << bits), np.zeros(1 << bits), [0.0, 0.0]
     rng = np.random.Generator(np.random.PCG64(seed))
-    full = [np.append(r, np.int32(bias)) for r in rows]
 
-    def weights(i: np.ndarray) -> np.ndarray:
-        zi = z[i]
-        w = -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(n[i])) / alpha + l2)
+    def weights(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
+        w = -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2)
         w[np.abs(zi) <= l1] = 0
         return w
 
+    def bias_weight() -> float:
+        zb, nb = bias
+        return 0.0 if abs(zb) <= l1 else -(zb - math.copysign(l1, zb)) / ((beta + math.sqrt(nb)) / alpha + l2)
+
     for _ in range(epochs):
-        for k in rng.permutation(len(full)):
-            i = full[k]
-            w = weights(i)
-            p = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35)))
-            g = p - labels[k]
+        for k in rng.permutation(len(rows)):
+            i = rows[k]
+            ni = n[i]
+            w, wb = weights(z[i], ni), bias_weight()
+            p = 1 / (1 + math.exp(-min(max(w.sum() + wb, -35), 35)))
+            g = float(p - labels[k])
             if abs(g) < 1e-4:
                 continue
-            ni = n[i]
             sigma = (np.sqrt(ni + g * g) - np.sqrt(ni)) / alpha
             z[i] += g - sigma * w
             n[i] = ni + g * g
-    w = weights(np.arange((1 << bits) + 1))
-    return w[:-1], float(w[-1])
+            zb, nb = bias
+            bias[:] = zb + g - (math.sqrt(nb + g * g) - math.sqrt(nb)) / alpha * wb, nb + g * g
+    return weights(z, n), bias_weight()
 
 
 def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
@@ -100,11 +104,18 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
 MODEL = "buckets array<int>, weights array<double>, bias double, threshold double"
 
 
+def _lowered(batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
+    """The texts of a batch alone, lower-cased; nulls stay."""
+    return pa.RecordBatch.from_arrays([pc.utf8_lower(batch.column(at))], ["text"])
+
+
 def _train(bits: int):
+    """Features are held once, as views of the arrays that each chunk of texts gives."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, rows, labels = [], [], []
         for batch in batches:
-            for a, b, data, offsets in G.text_chunks(batch):
+            for a, b, data, offsets in G.text_chunks(_lowered(batch, 1)):
                 key, cuts = features(data, offsets, bits)
                 bucket = (key & U64((1 << bits) - 1)).astype(np.int32)
                 rows += [bucket[s:e] for s, e in zip(cuts[:-1], cuts[1:])]
@@ -131,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("y")).dropna()
     known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.lower(F.col(text_col)).alias("text")).dropna().join(F.broadcast(known), "id")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).dropna().join(F.broadcast(known), "id")
     got = rows.select("id", "text", "y").repartition(1).mapInArrow(_train(bits), MODEL)
     model = got.first()
     if model is None:
@@ -139,19 +150,30 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     return Model(np.array(model["buckets"], np.int64), np.array(model["weights"]), model["bias"], model["threshold"], bits)
 
 
-def _score(held):
+def scores(texts: pa.RecordBatch, model: Model, dense: np.ndarray) -> np.ndarray:
+    """Log-odds of each text of a batch of lower-cased ones."""
+    out = [np.zeros(0)]
+    for _, _, data, offsets in G.text_chunks(texts):
+        key, cuts = features(data, offsets, model.bits)
+        total = np.concatenate([[0], np.cumsum(dense[(key & U64((1 << model.bits) - 1)).astype(np.int64)], dtype=np.float64)])
+        out.append(total[cuts[1:]] - total[cuts[:-1]] + model.bias)
+    return np.concatenate(out)
+
+
+def _judged(held, at: int, keep: bool):
+    """Rows of a batch with the texts in column ``at``: those that aren't toxic, or (id, toxicity, toxic) of all."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         dense = np.zeros(1 << model.bits, np.float32)
         dense[model.buckets] = model.weights
         for batch in batches:
-            scores = []
-            for _, _, data, offsets in G.text_chunks(batch):
-                key, cuts = features(data, offsets, model.bits)
-                total = np.concatenate([[0], np.cumsum(dense[(key & U64((1 << model.bits) - 1)).astype(np.int64)], dtype=np.float64)])
-                scores.append(total[cuts[1:]] - total[cuts[:-1]] + model.bias)
-            score = np.concatenate(scores) if scores else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(score, -700, 700)))), pa.array(score > model.threshold)], ["doc_id", "toxicity", "toxic"])
+            score = scores(_lowered(batch, at), model, dense)
+            toxic = pa.array(score > model.threshold)
+            if keep:
+                yield batch.filter(pc.invert(toxic))
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(score, -700, 700)))), toxic], ["doc_id", "toxicity", "toxic"])
 
     return run
 
@@ -160,14 +182,20 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """(doc_id, toxicity, toxic) of every row, repeated rows each.
 
     An empty or null text has the bias alone for evidence. A null id stays
-    null. Other columns are ignored; an empty table gives no rows.
+    null. Texts of any length are read whole; a score that equals the
+    threshold is not toxic. Other columns are ignored; an empty table gives no
+    rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col)).alias("text"))
-    return rows.mapInArrow(_score(held), "doc_id long, toxicity double, toxic boolean")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(_judged(held, 1, False), "doc_id long, toxicity double, toxic boolean")
 
 
-def drop_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns kept, whose id is not that of a toxic row; null ids stay."""
-    gone = score(docs, model, id_col, text_col).where("toxic").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs that aren't toxic, all columns kept, judged and let through in one pass.
+
+    Each row is judged by its own text, whatever its id; see ``score``.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = [c.lower() for c in docs.columns].index(text_col.lower())
+    return docs.mapInArrow(_judged(held, at, True), docs.schema)
