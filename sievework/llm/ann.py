@@ -7,41 +7,50 @@ distances to the M boundaries on either side, and mapped to each query's own
 boundaries by their rank. Every visited bucket is searched by exact distance;
 the tables' best are merged.
 
+The number of hashes and the width are fitted on a bounded sample: of those
+by which a neighbour at the distance to be expected among so many vectors is
+found often enough, the ones that visit fewest vectors. So buckets stay small
+as the table grows, and every vector is indexed by them.
+
 A width that fits most vectors can be too small for the rest. The distance of
 a query's k-th candidate bounds that of its k-th neighbour from above, and
 gives the chance that a vector so far away lies in a visited bucket. Queries
 of a lower chance than wanted, or with too few candidates, are searched again
-exactly, over all vectors.
+exactly: in blocks they meet all vectors where those are read.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import grams as G
-from .common import cut, partitions
+from .common import BROADCAST_BYTES, cut, partitions, small
 
 ROWS = 1024
-DATA_BLOCK, QUERY_BLOCK = 4096, 8192
+#: Vectors of the sample that width and hashes are fitted on, first in hash order of the id.
+SAMPLE, TRIED = 4096, 256
+#: Bytes of one bucket's vectors, and of its queries, that one search takes.
+BUCKET_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
 class Hashing:
-    """Width is in units of the vectors' root mean square distance from their mean; sure is the chance below which a query is searched exactly."""
+    """``wanted`` is the chance that ``fitted`` grants a k-th neighbour, ``sure`` that below which a query is searched exactly; width is in the vectors' units."""
 
     tables: int = 3
     hashes: int = 4
-    width: float = 2.2
+    width: float = 1.0
     probes: int = 14
     seed: int = 5
-    sure: float = 0.95
+    wanted: float = 0.93
+    sure: float = 0.9
 
 
 def perturbations(m: int, probes: int) -> list[tuple[int, ...]]:
@@ -72,19 +81,19 @@ def bucket_ids(cells: np.ndarray, table: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def placed(x: np.ndarray, table: int, dim: int, scale: float, conf: Hashing) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def placed(x: np.ndarray, table: int, dim: int, conf: Hashing) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cells, places inside them (0 to 1), and boundaries by nearness."""
     rng = np.random.Generator(np.random.PCG64([conf.seed, table]))
     a, b = rng.standard_normal((dim, conf.hashes)), rng.random(conf.hashes)
-    place = x @ a / (conf.width * scale) + b
+    place = x @ a / conf.width + b
     cell = np.floor(place).astype(np.int64)
     rest = place - cell
     return cell, rest, np.argsort(np.concatenate([rest, 1 - rest], axis=1), axis=1, kind="stable")
 
 
-def probed(x: np.ndarray, table: int, dim: int, scale: float, conf: Hashing) -> np.ndarray:
+def probed(x: np.ndarray, table: int, dim: int, conf: Hashing) -> np.ndarray:
     """Bucket names, a column a probe, the own bucket first."""
-    cell, _, near = placed(x, table, dim, scale, conf)
+    cell, _, near = placed(x, table, dim, conf)
     out = []
     rows = np.arange(len(x))
     for held in perturbations(conf.hashes, conf.probes):
@@ -103,12 +112,12 @@ def normal_cdf(z: np.ndarray) -> np.ndarray:
     return np.where(z < 0, tail, 1 - tail)
 
 
-def chances(x: np.ndarray, far: np.ndarray, dim: int, scale: float, conf: Hashing) -> np.ndarray:
+def chances(x: np.ndarray, far: np.ndarray, dim: int, conf: Hashing) -> np.ndarray:
     """The chance of each query x to visit, in some table, the bucket of a vector at distance ``far``."""
-    sigma = np.maximum(far / (conf.width * scale), 1e-9)[:, None]
+    sigma = np.maximum(far / conf.width, 1e-9)[:, None]
     missed, rows = np.ones(len(x)), np.arange(len(x))
     for t in range(conf.tables):
-        _, rest, near = placed(x, t, dim, scale, conf)
+        _, rest, near = placed(x, t, dim, conf)
         edge = [normal_cdf((k - rest) / sigma) for k in (-1, 0, 1, 2)]
         stay = edge[2] - edge[1]
         moves = np.concatenate([edge[1] - edge[0], edge[3] - edge[2]], axis=1)
@@ -126,81 +135,174 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float32).reshape(len(column), dim)
 
 
-def _route(dim: int, scale: float, conf: Hashing):
-    """(bucket, query, id, vector): each vector once a table as data, once a probe as a query."""
+def expected_distances(x: np.ndarray, rows: np.ndarray, n: int, k: int) -> np.ndarray:
+    """Distances of the k-th neighbours among n vectors that the sample x lets expect, for some of its rows.
+
+    Where n is more than the sample, the nearest distances there are carried
+    on by the local dimension that they show.
+    """
+    d2 = np.maximum((x[rows] ** 2).sum(1)[:, None] + (x**2).sum(1) - 2 * x[rows] @ x.T, 0)
+    d2[np.arange(len(rows)), rows] = np.inf
+    m = min(max(k, 20), len(x) - 1)
+    near = np.sqrt(np.sort(np.partition(d2, m - 1, axis=1)[:, :m], axis=1))
+    if n <= len(x):
+        return near[:, min(k, m) - 1]
+    low = np.maximum(near, 1e-9)
+    dimension = 1 / np.maximum(np.mean(np.log(low[:, -1:] / low), axis=1), 1e-3)
+    return near[:, -1] * (k * len(x) / (n * m)) ** (1 / np.maximum(dimension, 1))
+
+
+def fitted(x: np.ndarray, n: int, k: int, conf: Hashing) -> Hashing:
+    """conf with hashes and width for n vectors like those of the sample x."""
+    if len(x) < 2:
+        return conf
+    dim = x.shape[1]
+    rows = np.unique(np.linspace(0, len(x) - 1, min(TRIED, len(x))).astype(np.int64))
+    far = expected_distances(x, rows, n, k)
+    spread = float(np.sqrt(max(x.var(axis=0).sum(), 1e-12)))
+    best, least = conf, np.inf
+    for hashes in (2, 3, 4, 6, 8, 12, 16, 20):
+        lo, hi = 1e-3 * spread, 64 * spread
+        for _ in range(14):
+            mid = (lo * hi) ** 0.5
+            found = chances(x[rows], far, dim, replace(conf, hashes=hashes, width=mid)).mean()
+            lo, hi = (lo, mid) if found >= conf.wanted else (mid, hi)
+        tried = replace(conf, hashes=hashes, width=hi)
+        visited = 0.0
+        for t in range(conf.tables):
+            names = probed(x, t, dim, tried)
+            own, counts = np.unique(names[:, 0], return_counts=True)
+            at = np.minimum(np.searchsorted(own, names[rows]), len(own) - 1)
+            visited += np.where(own[at] == names[rows], counts[at], 0).sum() / len(rows)
+        if visited < least * 0.98:
+            best, least = tried, visited
+    return best
+
+
+ROUTED = "bucket long, part int, query int, id long, vector binary"
+
+
+def _count(dim: int, conf: Hashing, query: int):
+    """(bucket, rows, queries) of the buckets that a task's vectors lie in, or that its queries visit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [np.zeros(0, np.int64)]
+            for a in range(0, batch.num_rows, ROWS):
+                x = _matrix(batch.column(1).slice(a, ROWS), dim)
+                names += [(p if query else p[:, 0]).ravel() for p in (probed(x, t, dim, conf) for t in range(conf.tables))]
+            bucket, count = np.unique(np.concatenate(names), return_counts=True)
+            none = np.zeros_like(count)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(none if query else count), pa.array(count if query else none)], ["bucket", "rows", "queries"])
+
+    return run
+
+
+def _route(dim: int, conf: Hashing, query: int, hot):
+    """ROUTED: each vector once a table, each query once a probe.
+
+    A large bucket is a grid of parts: a vector goes to one row of it, a query
+    to one column, so that they meet once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        large, down, across = hot.value
         for batch in batches:
             for a in range(0, batch.num_rows, ROWS):
                 ids = batch.column(0).slice(a, ROWS)
                 x = _matrix(batch.column(1).slice(a, ROWS), dim)
-                n = len(x)
                 blobs = pa.array([r.tobytes() for r in x], pa.binary())
+                h = G.mix(ids.to_numpy().view(np.uint64))
                 for t in range(conf.tables):
-                    names = probed(x, t, dim, scale, conf)
-                    both = np.concatenate([names[:, 0], names.T.ravel()])
-                    take = pa.array(np.tile(np.arange(n), names.shape[1] + 1))
-                    yield pa.RecordBatch.from_arrays([pa.array(both), pa.array(np.repeat([0, 1], [n, len(both) - n]), pa.int32()), ids.take(take), blobs.take(take)], ["bucket", "query", "id", "vector"])
+                    names = probed(x, t, dim, conf)
+                    bucket = names.T.ravel() if query else names[:, 0]
+                    take = np.tile(np.arange(len(x)), len(bucket) // max(len(x), 1))
+                    part = np.zeros(len(bucket), np.int64)
+                    if len(large):
+                        at = np.minimum(np.searchsorted(large, bucket), len(large) - 1)
+                        split = large[at] == bucket
+                        r, c = np.where(split, down[at], 1), np.where(split, across[at], 1)
+                        copies = r if query else c
+                        own = (h[take] % (c if query else r).astype(np.uint64)).astype(np.int64)
+                        each = np.arange(int(copies.sum())) - np.repeat(np.cumsum(copies) - copies, copies)
+                        bucket, take, own, c = (np.repeat(v, copies) for v in (bucket, take, own, c))
+                        part = each * c + own if query else own * c + each
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(part.astype(np.int32)), pa.array(np.full(len(bucket), query, np.int32)), ids.take(pa.array(take)), blobs.take(pa.array(take))], ["bucket", "part", "query", "id", "vector"])
 
     return run
 
 
-def _doubtful(dim: int, scale: float, conf: Hashing, want: int):
-    """Ids of queries (id, vector, candidates, far) whose neighbours may have been missed."""
+def _doubtful(dim: int, conf: Hashing, want: int):
+    """(id, vector, far) of queries (id, vector, candidates, far) whose neighbours may have been missed; far is what bounds them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, ROWS):
                 part = batch.slice(a, ROWS)
-                chance = chances(_matrix(part.column(1), dim), part.column(3).to_numpy(), dim, scale, conf)
-                doubt = (part.column(2).to_numpy() < want) | (chance < conf.sure)
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(doubt))], ["id"])
+                x, far = _matrix(part.column(1), dim), part.column(3).to_numpy()
+                few = part.column(2).to_numpy() < want
+                doubt = pa.array(few | (chances(x, far, dim, conf) < conf.sure))
+                rows = [part.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(np.where(few, np.inf, far))]
+                yield pa.RecordBatch.from_arrays([c.filter(doubt) for c in rows], ["id", "vector", "far"])
 
     return run
 
 
-def _grid(dim: int, data_blocks: int, query_blocks: int):
-    """(bucket, query, id, vector): data in every bucket of its row of the grid, queries in every one of their column."""
+def _scan(dim: int, k: int, held):
+    """Each broadcast query's k best of a task's vectors, of those no farther than its bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, q, far = held.value
+        best: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             for a in range(0, batch.num_rows, ROWS):
-                part = batch.slice(a, ROWS)
-                ids, doubt = part.column(0), np.flatnonzero(part.column(2).to_numpy(zero_copy_only=False))
-                blobs = pa.array([r.tobytes() for r in _matrix(part.column(1), dim)], pa.binary())
-                h = G.mix(ids.to_numpy().view(np.uint64))
-                row, column = (h % np.uint64(data_blocks)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(query_blocks)).astype(np.int64)
-                for take, buckets, query in [(np.arange(len(h)), row * query_blocks + c, 0) for c in range(query_blocks)] + [(doubt, r * query_blocks + column[doubt], 1) for r in range(data_blocks)]:
-                    at = pa.array(take)
-                    yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(np.full(len(take), query), pa.int32()), ids.take(at), blobs.take(at)], ["bucket", "query", "id", "vector"])
+                ids, x = batch.column(0).slice(a, ROWS).to_numpy(), _matrix(batch.column(1).slice(a, ROWS), dim)
+                for own, near, distance in top_k(ids, x, qids, q, k):
+                    ok = distance <= far[np.searchsorted(qids, own)] + 1e-6
+                    best.append((own[ok], near[ok], distance[ok]))
+            if sum(len(b[0]) for b in best) > 4 * k * len(qids) + ROWS:
+                best = [_best(best, k)]
+        if best:
+            rows = _best(best, k)
+            if len(rows[0]):
+                yield _blob_rows([rows])
 
     return run
 
 
+def _best(parts: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
+    """Of (query, neighbour, distance) each query's k nearest, each neighbour once; ties by id."""
+    q, n, d = (np.concatenate(c) for c in zip(*parts))
+    o = np.lexsort((d, n, q))
+    q, n, d = q[o], n[o], d[o]
+    new = np.ones(len(q), bool)
+    new[1:] = (q[1:] != q[:-1]) | (n[1:] != n[:-1])
+    q, n, d = q[new], n[new], d[new]
+    o = np.lexsort((n, d, q))
+    q, n, d = q[o], n[o], d[o]
+    ok = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[ok], n[ok], d[ok]
+
+
 def top_k(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query, neighbour, distance) of each query's k nearest, itself left out; ties by id."""
+    """(query, neighbour, distance) of each query's k nearest, itself left out; ties by id. Of rows that repeat an id the nearest counts."""
     o = np.argsort(ids, kind="stable")
     ids, x = ids[o], x[o].astype(np.float64)
     norms = (x * x).sum(1)
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
+    c = min(k + 1, len(first))
     for a in range(0, len(qids), ROWS):
         rows, own = q[a : a + ROWS].astype(np.float64), qids[a : a + ROWS]
-        d = np.maximum((rows * rows).sum(1)[:, None] + norms - 2 * rows @ x.T, 0)
-        d[own[:, None] == ids[None, :]] = np.inf
-        c = min(k, len(ids))
-        if c < len(ids):
-            limit = np.partition(d, c - 1, axis=1)[:, c - 1 : c]
-            i, j = np.nonzero(d <= limit + 1e-9)
-        else:
-            i, j = np.nonzero(np.isfinite(d))
-        # Exact distances for what is left, so that ties and copies come out alike everywhere.
-        e = np.sqrt(((rows[i] - x[j]) ** 2).sum(1))
+        square = (rows * rows).sum(1)[:, None]
+        d = np.maximum(square + norms - 2 * rows @ x.T, 0)
+        each = np.minimum.reduceat(d, first, axis=1) if len(first) < len(ids) else d
+        # The k-th of the others, or the query itself and k others; rounding grows with the norms.
+        limit = np.partition(each, c - 1, axis=1)[:, c - 1 : c]
+        i, j = np.nonzero(d <= limit + 1e-9 * (1 + square + norms.max()))
         ok = own[i] != ids[j]
-        i, j, e = i[ok], j[ok], e[ok]
-        s = np.lexsort((ids[j], e, i))
-        i, j, e = i[s], j[s], e[s]
-        first = np.searchsorted(i, np.arange(len(own)))
-        keep = np.arange(len(i)) - first[i] < k
-        yield own[i[keep]], ids[j[keep]], e[keep]
+        i, j = i[ok], j[ok]
+        # Exact distances for what is left, so that ties and copies come out alike everywhere.
+        yield _best([(own[i], ids[j], np.sqrt(((rows[i] - x[j]) ** 2).sum(1)))], k)
 
 
 def _blob_rows(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -211,7 +313,7 @@ def _blob_rows(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Rec
 
 
 def _search(k: int):
-    """Searches bucket after bucket; rows come sorted by bucket."""
+    """Searches part after part of the buckets; rows come sorted by both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -226,15 +328,15 @@ def _search(k: int):
                         yield _blob_rows([part])
 
         for batch in batches:
-            bucket, query, ids, blobs = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_pylist()
-            cuts = np.flatnonzero(np.diff(bucket)) + 1 if len(bucket) else []
+            bucket, place, query, ids, blobs = (*(batch.column(c).to_numpy() for c in range(4)), batch.column(4).to_pylist())
+            cuts = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(place) != 0)) + 1 if len(bucket) else []
             for a, b in zip([0, *cuts], [*cuts, len(bucket)]):
                 if b <= a:
                     continue
-                if bucket[a] != at and held:
+                if (bucket[a], place[a]) != at and held:
                     yield from close()
                     held = []
-                at = bucket[a]
+                at = bucket[a], place[a]
                 held.append((query[a:b], ids[a:b], blobs[a:b]))
         if held:
             yield from close()
@@ -243,24 +345,17 @@ def _search(k: int):
 
 
 def _merge(k: int):
-    """Each query's k best of all tables; rows come sorted by id."""
+    """Each query's k best of all lists; rows come sorted by id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail: list[tuple] = []
 
         def best(rows: list[tuple]) -> pa.RecordBatch:
             length = [len(r[1]) // 8 for r in rows]
-            q = np.repeat(np.array([r[0] for r in rows], np.int64), length)
-            n, d = np.frombuffer(b"".join(r[1] for r in rows), np.int64), np.frombuffer(b"".join(r[2] for r in rows), np.float64)
-            o = np.lexsort((d, n, q))
-            q, n, d = q[o], n[o], d[o]
-            new = np.concatenate([[True], (q[1:] != q[:-1]) | (n[1:] != n[:-1])])
-            q, n, d = q[new], n[new], d[new]
-            o = np.lexsort((n, d, q))
-            q, n, d = q[o], n[o], d[o]
-            rank = np.arange(len(q)) - np.searchsorted(q, q)
-            ok = rank < k
-            return pa.RecordBatch.from_arrays([pa.array(q[ok]), pa.array(n[ok]), pa.array(d[ok]), pa.array((rank[ok] + 1).astype(np.int32))], ["vec_id", "neighbor_id", "distance", "rank"])
+            parts = np.repeat(np.array([r[0] for r in rows], np.int64), length), np.frombuffer(b"".join(r[1] for r in rows), np.int64), np.frombuffer(b"".join(r[2] for r in rows), np.float64)
+            q, n, d = _best([parts], k)
+            rank = np.arange(len(q)) - np.searchsorted(q, q) + 1
+            return pa.RecordBatch.from_arrays([pa.array(q), pa.array(n), pa.array(d), pa.array(rank.astype(np.int32))], ["vec_id", "neighbor_id", "distance", "rank"])
 
         for batch in batches:
             rows = list(zip(*(c.to_pylist() for c in batch.columns)))
@@ -278,45 +373,58 @@ def _merge(k: int):
     return run
 
 
-def nearest(vectors: DataFrame, k: int = 10, conf: Hashing = Hashing(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, neighbor_id, distance, rank): every vector's k nearest others by Euclidean distance, nearly all of them.
+def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, vector) without null ids and vectors that are null, empty, or have a null, NaN or infinite element."""
+    v = F.col(vector_col).cast("array<float>")
+    bad = lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))
+    return vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("vector")).where(F.col("id").isNotNull() & (F.size("vector") > 0) & ~F.exists("vector", bad))
+
 
-    Queries whose chance of finding a neighbour is under ``conf.sure`` are
-    searched exactly, in a grid of blocks of all vectors and such queries.
+def nearest(vectors: DataFrame, k: int = 10, queries: Column | None = None, conf: Hashing = Hashing(), id_col: str = "vec_id", vector_col: str = "embedding", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(vec_id, neighbor_id, distance, rank): k nearest others by Euclidean distance, nearly all of them, of every vector that ``queries``, a condition on the id named ``id``, holds for, all by default.
 
-    Rows with a null id, a null or empty vector, one with a null or NaN in it
-    or of other length than the most common (of equally common the longest)
-    are left out. Rows that repeat an id are one vector, the first in order.
-    Equal distances go by the smaller id. Fewer than k come back where there
-    are no more others; a single vector has none; other columns are ignored.
+    Rows with a null id, a null or empty vector, one with a null, NaN or
+    infinite element or of other length than the most common (of equally
+    common the longest) are left out. Rows that repeat an id are one vector,
+    as a query the first in order, as a neighbour the nearest. Equal distances
+    go by the smaller id. Fewer than k come back where there are no more
+    others; a single vector has none; an empty table gives no rows; other
+    columns are ignored.
     """
-    v = F.col(vector_col).cast("array<float>")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("vector")).where(F.col("id").isNotNull() & (F.size("vector") > 0) & ~F.exists("vector", lambda e: e.isNull() | F.isnan(e)))
-    rows = rows.groupBy("id").agg(F.min("vector").alias("vector"))
-    shape = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    spark = vectors.sparkSession
-    if shape is None:
-        return spark.createDataFrame([], "vec_id long, neighbor_id long, distance double, rank int")
-    dim = shape["d"]
+    spark, found = vectors.sparkSession, "vec_id long, neighbor_id long, distance double, rank int"
+    rows = usable(vectors, id_col, vector_col)
+    shapes = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    if shapes is None:
+        return spark.createDataFrame([], found)
+    dim, total = shapes["d"], shapes["count"]
     rows = rows.where(F.size("vector") == dim)
-    moments = rows.select(F.posexplode("vector").alias("i", "e")).groupBy("i").agg(F.var_pop(F.col("e").cast("double")).alias("v")).agg(F.sum("v")).first()[0]
-    scale = max(float(moments), 1e-12) ** 0.5
+    asked = cut((rows if queries is None else rows.where(queries)).groupBy("id").agg(F.min("vector").alias("vector")))
+    sample = rows.orderBy(F.xxhash64("id"), "id", "vector").limit(SAMPLE).toArrow()
+    x = _matrix(sample.column("vector").combine_chunks(), dim).astype(np.float64)
+    conf = fitted(np.unique(x, axis=0), total, k, conf)
     parts = partitions(spark)
-    found = "vec_id long, neighbor_id long, distance double, rank int"
-
-    def searched(routed: DataFrame) -> DataFrame:
-        local = routed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_search(k), "id long, ids binary, distances binary")
-        return local.repartition(parts, "id").sortWithinPartitions("id").mapInArrow(_merge(k), found)
-
-    hashed = cut(searched(rows.mapInArrow(_route(dim, scale, conf), "bucket long, query int, id long, vector binary")))
-    total = rows.count()
+    counts = rows.mapInArrow(_count(dim, conf, 0), "bucket long, rows long, queries long").unionByName(asked.mapInArrow(_count(dim, conf, 1), "bucket long, rows long, queries long"))
+    counts = counts.groupBy("bucket").agg(F.sum("rows").alias("rows"), F.sum("queries").alias("queries"))
+    most = max(1, bucket_bytes // (4 * dim))
+    large = counts.where((F.col("rows") > 0) & (F.col("queries") > 0) & (F.greatest("rows", "queries") > most)).orderBy("bucket").toArrow()
+    hot = spark.sparkContext.broadcast((large.column("bucket").to_numpy(), *(-(-large.column(c).to_numpy() // most) for c in ("rows", "queries"))))
+    routed = rows.mapInArrow(_route(dim, conf, 0, hot), ROUTED).unionByName(asked.mapInArrow(_route(dim, conf, 1, hot), ROUTED))
+    lists = "id long, ids binary, distances binary"
+    local = routed.repartition(parts, "bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(_search(k), lists)
+    merged = lambda df: df.repartition(parts, "id").sortWithinPartitions("id").mapInArrow(_merge(k), found)
+    hashed = cut(merged(local))
     seen = hashed.groupBy(F.col("vec_id").alias("id")).agg(F.count("*").alias("candidates"), F.max("distance").alias("far"))
-    judged = rows.join(seen, "id", "left").select("id", "vector", F.coalesce("candidates", F.lit(0)).alias("candidates"), F.coalesce("far", F.lit(0.0)).alias("far"))
-    doubt = cut(judged.mapInArrow(_doubtful(dim, scale, conf, min(k, total - 1)), "id long"))
+    judged = asked.join(seen, "id", "left").select("id", "vector", F.coalesce("candidates", F.lit(0)).alias("candidates"), F.coalesce("far", F.lit(0.0)).alias("far"))
+    doubt = cut(judged.mapInArrow(_doubtful(dim, conf, k), "id long, vector binary, far double"))
     doubts = doubt.count()
     if not doubts:
         return hashed
-    marked = rows.join(doubt.withColumn("doubt", F.lit(True)), "id", "left").select("id", "vector", F.coalesce("doubt", F.lit(False)).alias("doubt"))
-    grid = _grid(dim, -(-total // DATA_BLOCK), -(-doubts // QUERY_BLOCK))
-    exact = searched(marked.mapInArrow(grid, "bucket long, query int, id long, vector binary"))
-    return hashed.join(doubt.withColumnRenamed("id", "vec_id"), "vec_id", "left_anti").unionByName(exact)
+    exact = None
+    rounds = -(-doubts * (4 * dim + 16) // BROADCAST_BYTES)
+    for c in range(rounds):
+        block = doubt.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == c).orderBy("id").toArrow()
+        q = np.frombuffer(b"".join(block.column("vector").to_pylist()), np.float32).reshape(-1, dim)
+        held = spark.sparkContext.broadcast((block.column("id").to_numpy(), q, block.column("far").to_numpy()))
+        own = merged(rows.mapInArrow(_scan(dim, k, held), lists))
+        exact = own if exact is None else exact.unionByName(own)
+    return hashed.join(small(doubt.select(F.col("id").alias("vec_id")), 8), "vec_id", "left_anti").unionByName(exact)
