@@ -57,7 +57,9 @@ def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(table(spark, sf_dir, "documents"))
+    """The tokens of every document, and the hash of what they decode to."""
+    back = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")), keep_tokens=True)
+    return back.select("doc_id", "tokens", F.md5("text").alias("decoded_md5"))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +68,8 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.nearest(table(spark, sf_dir, "embeddings"), k=10)
+    """The ten nearest of all vectors to each vector whose id is divisible by 50."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), 10, F.col("id") % 50 == 0)
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
