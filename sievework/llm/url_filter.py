@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import BROADCAST_BYTES, cut, partitions
 
 TOP = "\U0010ffff"
 
@@ -137,20 +137,24 @@ def match_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     the action ``default``. Of rules with one prefix the smallest id holds;
     rules without a pattern, host or id are none. Repeated pages stay
     repeated; other columns are ignored; empty tables are fine. Up to
-    ``broadcast_rows`` rules, pages are sorted and swept where they are read;
-    beyond, pages and rules are range-partitioned on the key.
+    ``broadcast_rows`` rules of BROADCAST_BYTES in all, pages are sorted and
+    swept where they are read; beyond, pages and rules are range-partitioned
+    on the key, the ranges cut by a sample of both, so that the paths of one
+    host of very many pages are spread as well.
     """
     spark = pages.sparkSession
     keyed = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), url_key(F.col(url_col)).alias("key"))
     prefixes = rules.select(rule_prefix(F.col("pattern")).alias("prefix"), F.col("rule_id").cast("long").alias("rule_id"), "action").where("prefix IS NOT NULL AND rule_id IS NOT NULL")
-    small = prefixes.limit(broadcast_rows + 1).collect()
-    if len(small) <= broadcast_rows:
-        held = spark.sparkContext.broadcast(sorted((tuple(r) for r in small), key=lambda r: r[:2]))
+    count, size = prefixes.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("prefix") + F.coalesce(F.octet_length("action"), F.lit(0))), F.lit(0))).first()
+    if count <= broadcast_rows and size <= BROADCAST_BYTES:
+        held = spark.sparkContext.broadcast(sorted((tuple(r) for r in prefixes.collect()), key=lambda r: r[:2]))
         out = keyed.mapInArrow(_local(held), RESULT)
     else:
         parts = partitions(spark)
         table = cut(prefixes)
-        sample = table.sample(min(1.0, 50 * parts / table.count()), seed=3).select("prefix").orderBy("prefix").collect()
+        hosts = keyed.where("key IS NOT NULL").select(F.col("key").alias("prefix"))
+        share = lambda n: min(1.0, 50 * parts / max(n, 1))
+        sample = table.select("prefix").sample(share(count), seed=3).unionByName(hosts.sample(share(pages.count()), seed=3)).distinct().orderBy("prefix").collect()
         bounds = spark.sparkContext.broadcast([r[0] for r in sample[:: max(1, len(sample) // (4 * parts))]])
         hosted = keyed.where("key IS NOT NULL").select("page_id", "url", "key").mapInArrow(_bucketed(bounds, False), SHAPE_SQL)
         spread = table.select("prefix", "rule_id", "action").mapInArrow(_bucketed(bounds, True), SHAPE_SQL)
