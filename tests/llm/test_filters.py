@@ -3,10 +3,12 @@ from __future__ import annotations
 import re
 from pathlib import Path
 
+import brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sievework.llm import grams as G
 from sievework.llm import license_scan, quality, toxicity, url_filter
 from sievework.llm import queries as Q
 
@@ -55,6 +57,16 @@ def test_many_random_rules(spark):
         assert {x["page_id"]: x["rule_id"] for x in url_filter.match_urls(p, r, broadcast_rows=limit).collect()} == want
 
 
+def test_whole_pages_table_by_ranges(spark):
+    """The range-partitioned join on every page of sf0.1, with a rule for every third host and for paths below, against the longest prefix."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    hosts = sorted(r[0] for r in pages.select(F.regexp_extract("url", "://([^/?#:]*)", 1)).distinct().collect() if r[0])
+    more = [(10_000 + k, h + ("/en/" if k % 2 else ""), "review") for k, h in enumerate(hosts[::3])]
+    rules = spark.createDataFrame(Q.URL_RULES + more, "rule_id long, pattern string, action string")
+    wide, ranged = ({(r["page_id"], r["url"]): (r["rule_id"], r["action"]) for r in url_filter.match_urls(pages, rules, broadcast_rows=n).collect()} for n in (500_000, 0))
+    assert wide == ranged and len({rule for rule, _ in ranged.values()}) > 50
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1", "check_s"])
 def test_junk_hosts_are_blocked_at_every_size(spark, sf):
     junk = F.regexp_extract("url", "://([^/?#]*)", 1).rlike(r"(^|\.)(cheap-pills|casino-win|free-bets|ads-track|spam-farm|adult-x)\.")
@@ -138,12 +150,50 @@ def test_toxicity_held_out(spark):
     assert 0 < len(model.buckets) < 10_000
 
 
+def test_toxicity_by_brute_force(spark):
+    """Features, fit, threshold and scores of the registered query, recomputed a word and a coordinate at a time."""
+    sf, bits = "/root/testdata/sf0.001", 20
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    of = {i: brute.toxicity_features(t, bits, G._BYTE, G._BASE, G._STEP, toxicity.PREFIXES) for i, t in docs.items()}
+    ids = sorted(i for i in labels if i in docs)
+    held, fitted = ids[::5], [i for k, i in enumerate(ids) if k % 5]
+    rng = np.random.Generator(np.random.PCG64(7))
+    order = [k for _ in range(8) for k in rng.permutation(len(fitted))]
+    weights, bias = brute.ftrl([of[i] for i in fitted], [float(labels[i]) for i in fitted], order, 1.0, 1.0, 4.0, 1.0)
+    score = {i: sum(weights.get(x, 0.0) for x in own) + bias for i, own in of.items()}
+    # The cut with the best F1 on the held-out rows, the first of equals from above, half way to the next score.
+    truth = sum(labels[i] for i in held)
+    ranked = sorted({score[i] for i in held}, reverse=True)
+    f1 = [2 * sum(labels[i] for i in held if score[i] >= s) / (sum(score[i] >= s for i in held) + truth) for s in ranked]
+    k = f1.index(max(f1))
+    threshold = 0.0 if truth in (0, len(held)) else (ranked[k] + ranked[k + 1]) / 2 if k + 1 < len(ranked) else ranked[k]
+    assert min(abs(s - threshold) for s in score.values()) > 1e-6
+    got = {r["doc_id"]: r["toxicity"] for r in Q.op8_toxicity(spark, sf).collect()}
+    assert got.keys() == {i for i, s in score.items() if s > threshold}
+    assert all(abs(got[i] - 1 / (1 + np.exp(-score[i]))) < 1e-5 for i in got)
+    model = toxicity.train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    assert dict(zip(model.buckets.tolist(), model.weights)).keys() == weights.keys() and abs(model.bias - bias) < 1e-9 and abs(model.threshold - threshold) < 1e-5
+
+
+def test_a_score_at_the_threshold_is_kept(spark, make_docs):
+    model = toxicity.Model(np.zeros(0, np.int64), np.zeros(0), 0.25, 0.25, 20)
+    docs = make_docs([(1, "a"), (2, ""), (3, None), (None, "b"), (1, "a")])
+    assert toxicity.drop_toxic(docs, model).count() == 5
+    assert toxicity.drop_toxic(docs, toxicity.Model(model.buckets, model.weights, 0.25, 0.2499, 20)).count() == 0
+
+
 def test_toxicity_edges(spark, make_docs, edge_rows):
     docs = make_docs(edge_rows, extra=True)
     labels = spark.createDataFrame([(1, 1, 1), (5, 0, 1), (7, 1, 0), (8, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     model = toxicity.train(docs, labels)
-    assert toxicity.score(docs, model).count() == len(edge_rows)
-    assert toxicity.drop_toxic(docs, model).columns == docs.columns
+    judged = toxicity.score(docs, model).collect()
+    assert sorted(str(r["doc_id"]) for r in judged) == sorted(str(i) for i, _ in edge_rows)
+    alike = {r["toxicity"] for r in judged if r["doc_id"] in (1, 2, 3, 4)}
+    assert len(alike) == 1 and len({r["toxicity"] for r in judged if r["doc_id"] == 13}) == 1
+    left = toxicity.drop_toxic(docs, model)
+    assert left.columns == docs.columns
+    assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(str(r["doc_id"]) for r in judged if not r["toxic"])
     none = toxicity.train(docs, labels.where("false"))
     assert toxicity.drop_toxic(docs, none).count() == len(edge_rows)
     assert toxicity.score(make_docs([]), model).count() == 0
@@ -181,11 +231,20 @@ def test_quality_held_out(spark):
     assert got.loc[got["truth"] == 1, "keep"].mean() > 0.95
 
 
-def test_quality_shrinks_sparse_sites(spark, make_docs):
-    rows = [(i, "fine words stand here in a row of many " * 3) for i in range(60)]
-    docs = make_docs(rows).selectExpr("doc_id", "text", "CASE WHEN doc_id < 50 THEN 'big' ELSE concat('small', doc_id) END AS source", "lang")
-    out = {r["host"]: r for r in quality.score(docs, None).collect()}
-    assert len(out) == 11 and all(abs(r["host_posterior"] - 0.5) < 1e-9 for r in out.values())
+def test_quality_shrinks_sparse_sites(spark):
+    """Each site has copies of one text: the fewer, the nearer its posterior is to the whole corpus's."""
+    sf = "/root/testdata/sf0.01"
+    table, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.train(table, labels)
+    ranked = quality.score(table, model).where("evidence BETWEEN 0.02 AND 0.98").orderBy("evidence").select("doc_id").collect()
+    low, high = (table.where(f"doc_id = {r[0]}").first()["text"] for r in (ranked[0], ranked[-1]))
+    sites = [("big_low", low, 200), ("big_high", high, 200), ("mid_low", low, 20), ("small_low", low, 1), ("small_high", high, 1)]
+    rows = [(k, text, "en", host) for host, text, n in sites for k in range(n)]
+    got = {r["host"]: r for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), model).collect()}
+    mean = sum(got[h]["evidence"] * n for h, _, n in sites) / sum(n for _, _, n in sites)
+    post = {h: got[h]["host_posterior"] for h in got}
+    assert post["big_low"] < post["mid_low"] < post["small_low"] < mean < post["small_high"] < post["big_high"]
+    assert abs(post["big_low"] - got["big_low"]["evidence"]) < abs(post["small_low"] - got["small_low"]["evidence"])
 
 
 def test_quality_by_brute_force(spark):

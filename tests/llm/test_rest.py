@@ -16,20 +16,38 @@ def test_against_sql(spark, name):
     assert difference(Q.queries()[name](spark, SF), SF, Q.oracle_sql()[name]) is None
 
 
-def _recall(spark, sf: str) -> float:
+def _recall(spark, sf: str, every: int = 1, **more) -> float:
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
     local = vectors.select("vec_id", "embedding").toPandas()
     ids, x = local["vec_id"].to_numpy(), np.stack(local["embedding"].to_numpy())
-    want = brute.nearest(ids, x, 10)
+    want = {i: v for i, v in brute.nearest(ids, x, 10).items() if i % every == 0}
     got: dict[int, set] = {}
-    for r in ann.nearest(vectors, 10).collect():
+    for r in Q.op6_nearest_neighbours(spark, sf).collect() if every == 50 else ann.nearest(vectors, 10, **more).collect():
         got.setdefault(r["vec_id"], set()).add(r["neighbor_id"])
+    assert got.keys() <= want.keys()
     return float(np.mean([len(got.get(i, set()) & set(v)) / len(v) for i, v in want.items()]))
 
 
+@pytest.mark.parametrize("every", [1, 50])
 @pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.1"])
-def test_recall_of_every_vector(spark, sf):
-    assert _recall(spark, sf) >= 0.9
+def test_recall_over_all_vectors(spark, sf, every):
+    assert _recall(spark, sf, every) >= 0.9
+
+
+def test_large_buckets_are_split(spark):
+    """Parts of a bucket find what the whole would."""
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
+    one, split = (sorted(tuple(r) for r in ann.nearest(vectors, 10, bucket_bytes=size).collect()) for size in (ann.BUCKET_BYTES, 20 * 4 * 64))
+    assert one == split
+
+
+def test_infinite_elements_are_left_out(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, r.tolist()) for i, r in enumerate(rng.standard_normal((60, 8)))]
+    schema = "vec_id long, embedding array<float>"
+    want = sorted(tuple(r) for r in ann.nearest(spark.createDataFrame(rows, schema), 5).collect())
+    odd = [(100, [float("inf"), *[0.0] * 7]), (101, [0.0, float("-inf"), *[0.0] * 6])]
+    assert sorted(tuple(r) for r in ann.nearest(spark.createDataFrame(rows + odd, schema), 5).collect()) == want
 
 
 def _uneven(kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -88,6 +106,16 @@ def test_siblings_come_before_ancestors():
     assert got == {("web", "en", "s1"): 10, ("web", "en", "s2"): 40, ("books", "en", "s3"): 50}
 
 
+def test_budgets_by_halving():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        supply = {(f"d{a}", f"l{b}", f"s{c}"): int(rng.integers(0, 5000)) for a in range(3) for b in range(2) for c in range(4)}
+        draw = lambda names: {n: float(rng.choice([0, 0.5, 1, 3])) for n in names}
+        mix = mixing.Mix({}, draw(["d0", "d1", "d2"]), draw(["l0", "l1"]), draw(["s0", "s1", "s2", "s3"]), share=float(rng.random() * 2), epochs=2)
+        got, want = mixing.leaf_budgets(supply, mix), brute.budgets(supply, mix)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 1 for k in want)
+
+
 def _mixed(docs, mix):
     return [(r["row"]["doc_id"], r["epoch"], r["domain"], r["lang"], r["source"]) for r in mixing.mixed(docs, mix).collect()]
 
@@ -129,9 +157,15 @@ def test_mix_by_brute_force(spark):
 
 def test_mix_edges(spark, make_docs, edge_rows):
     docs = make_docs(edge_rows, extra=True)
+    rows = [(i, t, "en", "src1") for i, t in edge_rows]
     for budget in (None, 0, 7, 10**9):
-        got = _mixed(docs, mixing.Mix(budget=budget))
+        mix = mixing.Mix(budget=budget)
+        got = _mixed(docs, mix)
+        # Rows that repeat an id are used alike, as long as the first of them fits.
+        assert sorted(set(got)) == sorted(set(_brute_mix(rows, mix, spark)))
         assert {r[0] for r in got} <= {i for i, _ in edge_rows if i is not None}
+    everything = _mixed(docs, mixing.Mix(budget=10**9))
+    assert len(everything) == 2 * (len(edge_rows) - 1)
     assert mixing.mixed(make_docs([]), Q.MIX).count() == 0
     nulls = make_docs([(1, "a b"), (2, "c")]).selectExpr("doc_id", "text", "CAST(NULL AS string) AS lang", "CAST(NULL AS string) AS source")
     assert sorted(_mixed(nulls, mixing.Mix())) == [(1, 0, "other", "", ""), (2, 0, "other", "", "")]

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 
 import pytest
 
 from sievework.llm import bpe
+from sievework.llm import queries as Q
 from sievework.llm.common import tokenizer_dir
 
 FILES = ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"]
@@ -38,6 +40,10 @@ def test_documents_round_trip(spark):
     assert {r[0]: r[1] for r in bpe.decode(tokens).collect()} == texts
     for r in tokens.collect():
         assert r[1] == enc.encode_ordinary(texts[r[0]])
+    got = {r["doc_id"]: r for r in Q.op4_bpe(spark, "/root/testdata/sf0.01").collect()}
+    assert got.keys() == texts.keys()
+    for i, r in got.items():
+        assert r["tokens"] == enc.encode_ordinary(texts[i]) and r["decoded_md5"] == hashlib.md5(texts[i].encode()).hexdigest()
 
 
 @pytest.mark.parametrize("extra", [False, True])
