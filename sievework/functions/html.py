@@ -8,6 +8,7 @@ implied.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -89,6 +90,7 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", {}, None)
         self.held: list[str] = []
+        self.open: Counter[str] = Counter()
 
     def _flush(self) -> None:
         if self.held:
@@ -101,6 +103,7 @@ class _Builder(HTMLParser):
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -109,11 +112,14 @@ class _Builder(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self._flush()
-        node: Node | None = self.at
-        while node is not None and node.name != tag:
-            node = node.parent
-        if node is not None and node.parent is not None:
-            self.at = node.parent
+        if not self.open[tag]:
+            return  # closes nothing, and need not be looked for
+        while True:
+            closed = self.at
+            self.at = closed.parent
+            self.open[closed.name] -= 1
+            if closed.name == tag:
+                return
 
     def handle_data(self, data: str) -> None:
         self.held.append(data)
@@ -168,9 +174,10 @@ def title_of(root: Node, phrases: frozenset[str] = frozenset(UI_PHRASES)) -> str
 
 
 def _drop(root: Node, test: Callable[[Node], bool]) -> None:
-    for node in list(root.walk()):
-        if test(node) and node.parent is not None and node in node.parent.children:
-            node.parent.children.remove(node)
+    """Takes the nodes below root that pass the test out of the tree, each parent's children in one pass."""
+    gone = {id(n): n for n in root.walk() if test(n) and n.parent is not None}
+    for parent in {id(n.parent): n.parent for n in gone.values()}.values():
+        parent.children = [c for c in parent.children if id(c) not in gone]
 
 
 def table_text(table: Node) -> str:
@@ -183,17 +190,38 @@ def table_text(table: Node) -> str:
     return "\n".join(r for r in rows if r)
 
 
+def _saying(root: Node, phrases: frozenset[str]) -> set[int]:
+    """The elements below root, by id(), whose text is one of the phrases; texts are built from below, and no longer than a phrase."""
+    longest = max(map(len, phrases), default=0)
+    texts: dict[int, str | None] = {}
+    for node in reversed(list(root.walk())):
+        parts: list[str] = []
+        for c in node.children:
+            part = c.strip() if isinstance(c, str) else "" if c.name in HIDDEN_TEXT else texts[id(c)]
+            parts.append(part)
+            if part is None:
+                break
+        text = None if None in parts else squeeze("".join(parts))
+        texts[id(node)] = text if text is not None and len(text) <= longest else None
+    return {k for k, text in texts.items() if text is not None and text.lower() in phrases}
+
+
+def _as_pre(table: Node) -> Node:
+    pre = Node("pre", {}, table.parent)
+    pre.children = [table_text(table)]
+    return pre
+
+
 def text_of(root: Node, phrases: frozenset[str] = frozenset(UI_PHRASES)) -> str:
     """The main container's text, a line for each text node; changes the tree."""
     _drop(root, lambda n: n.name in ("script", "style", "noscript"))
     _drop(root, lambda n: n.name in ("nav", "form") or n.attrs.get("id") in NOISE_NAMES or not NOISE_NAMES.isdisjoint(n.classes()))
     main = next((m for s in (*CONTAINERS, "body") if (m := root.first(s)) is not None), root)
-    _drop(main, lambda n: n.name in ("a", "button", "span", "div") and squeeze(n.text()).lower() in phrases)
-    for node in list(main.walk()):
-        if node.name == "table" and node.parent is not None and node in node.parent.children:
-            pre = Node("pre", {}, node.parent)
-            pre.children = [table_text(node)]
-            node.parent.children[node.parent.children.index(node)] = pre
+    said = _saying(main, phrases)
+    _drop(main, lambda n: n.name in ("a", "button", "span", "div") and id(n) in said)
+    tables = {id(n): n for n in main.walk() if n.name == "table" and n.parent is not None}
+    for parent in {id(n.parent): n.parent for n in tables.values()}.values():
+        parent.children = [_as_pre(tables[id(c)]) if id(c) in tables else c for c in parent.children]
     lines = (line.strip() for s in main.strings() for line in s.splitlines())
     return "\n".join(x for x in lines if x and squeeze(x).lower() not in phrases)
 

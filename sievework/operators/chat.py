@@ -34,12 +34,18 @@ def reply_status(status: Column, body: Column) -> Column:
     return F.when(answer(status, body).isNotNull(), 200).otherwise(502)
 
 
+def error_detail(status: Column, body: Column) -> Column:
+    """What went wrong with a call: no connection, the status and body of a refusal, or an unexpected shape; null for an answer."""
+    refused = F.concat(F.lit("upstream answered "), status.cast("string"), F.lit(": "), F.coalesce(body, F.lit("")))
+    return F.when(status.isNull(), F.concat(F.lit("upstream could not be reached"), F.coalesce(F.concat(F.lit(": "), body), F.lit("")))).when(status != 200, refused).when(answer(status, body).isNull(), "upstream answered in an unexpected shape")
+
+
 def display_text(text: Column, fallback: str = "No answer was returned.") -> Column:
     return F.coalesce(F.nullif(text, F.lit("")), F.lit(fallback))
 
 
 def ask(questions: DataFrame, model: str, call: Callable[[str], tuple[int | None, str | None]], question_col: str = "question") -> DataFrame:
-    """questions with status and answer; ``call`` posts a request body and returns status and body."""
+    """questions with status, answer and detail; ``call`` posts a request body and returns status and body, or no status and what failed."""
     judged = questions.withColumn("__status", ask_status(F.col(question_col))).withColumn("__request", F.when(F.col("__status") == 200, request_body(F.col(question_col), model)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -50,4 +56,4 @@ def ask(questions: DataFrame, model: str, call: Callable[[str], tuple[int | None
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in judged.schema)
     done = judged.mapInPandas(run, f"{fields}, __code long, __body string")
     status = F.when(F.col("__status") == 400, 400).otherwise(reply_status(F.col("__code"), F.col("__body")))
-    return done.select(*questions.columns, status.alias("status"), answer(F.col("__code"), F.col("__body")).alias("answer"))
+    return done.select(*questions.columns, status.alias("status"), answer(F.col("__code"), F.col("__body")).alias("answer"), F.when(F.col("__status") == 400, "question is empty").otherwise(error_detail(F.col("__code"), F.col("__body"))).alias("detail"))

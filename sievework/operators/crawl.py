@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.sources.tables import materialise
 
 
+Expand = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
+
+
 @dataclass(frozen=True)
 class Crawl:
     """visited(url, depth, place, ok) in crawling order, and links(src, dst) of the pages crawled."""
@@ -26,29 +30,40 @@ class Crawl:
 
 
 def crawl(edges: DataFrame, nodes: DataFrame, seed: str, max_pages: int = 200, max_depth: int = 5) -> Crawl:
-    """First in, first out from ``seed`` over edges(src, dst, is_pdf); nodes(url, ok) says what can be fetched.
+    """``advance`` over edges(src, dst, is_pdf); nodes(url, ok) says what can be fetched. Both are read once a level."""
+
+    def expand(level: DataFrame) -> tuple[DataFrame, DataFrame]:
+        good = materialise(level.join(nodes, "url").where("ok").select("url"))
+        return good, edges.join(F.broadcast(good.withColumnRenamed("url", "src")), "src").select("src", "dst", "is_pdf")
+
+    return advance(edges.sparkSession, expand, seed, max_pages, max_depth)
+
+
+def advance(spark: SparkSession, expand: Expand, seed: str, max_pages: int = 200, max_depth: int = 5) -> Crawl:
+    """First in, first out from ``seed``.
 
-    A page is visited when it is queued, and one that fails has no links. PDFs
-    and links found at the last depth are discovered, not queued. The links of
-    a page are queued in sorted order. Each level is cut to what is left of
-    the page budget before it is expanded, so no ordering ever spans more
-    than ``max_pages`` rows.
+    ``expand`` gets a level's pages (url, depth, place) and returns those that
+    could be fetched (url), and their links (src, dst, is_pdf). A page is
+    visited when it is queued, and one that fails has no links. PDFs and links
+    found at the last depth are discovered, not queued. The links of a page
+    are queued in sorted order. Each level is cut to what is left of the page
+    budget before it is expanded, so no ordering, and no broadcast, ever spans
+    more than ``max_pages`` rows.
     """
-    spark = edges.sparkSession
     level = spark.createDataFrame([(seed, 0)], "url string, place long")
     queued, done, links = level.select("url"), [], []
     crawled = 0
     for depth in range(max_depth + 1):
         level = level.orderBy("place", "url").limit(max_pages - crawled)
         place = F.row_number().over(Window.orderBy("place", "url")) + crawled - 1
-        level = level.select("url", place.cast("long").alias("place")).join(nodes.select("url", F.col("ok").alias("fetched")), "url", "left")
-        level = materialise(level.select("url", F.lit(depth).alias("depth"), "place", F.coalesce("fetched", F.lit(False)).alias("ok")))
+        level = materialise(level.select("url", F.lit(depth).alias("depth"), place.cast("long").alias("place")))
         n = level.count()
         if n == 0:
             break
         crawled += n
-        done.append(level)
-        out = materialise(edges.join(F.broadcast(level.where("ok").select(F.col("url").alias("src"), "place")), "src").select("src", "dst", "is_pdf", "place"))
+        good, found = expand(level)
+        done.append(level.join(F.broadcast(good.select("url", F.lit(True).alias("fetched"))), "url", "left").select("url", "depth", "place", F.coalesce("fetched", F.lit(False)).alias("ok")))
+        out = materialise(found.join(F.broadcast(level.select(F.col("url").alias("src"), "place")), "src").select("src", "dst", "is_pdf", "place"))
         links.append(out.select("src", "dst"))
         if depth == max_depth or crawled >= max_pages:
             break

@@ -7,10 +7,13 @@ grouped operators keyed by doc_id, so any number of documents run in parallel.
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,31 +40,91 @@ def page_content(text: Column, tables: Column) -> Column:
     return F.array_join(F.filter(body, lambda b: b != ""), "\n\n")
 
 
-def group_words(words: DataFrame, tolerance: float = 5.0) -> DataFrame:
+def line_starts(tops: np.ndarray, tolerance: float) -> np.ndarray:
+    """Places of the words, by top, that open a line: each lies more than the tolerance below the one before."""
+    starts, at = [], 0
+    while at < len(tops):
+        starts.append(at)
+        at = int(np.searchsorted(tops, tops[at] + tolerance, "right"))
+    return np.array(starts, np.int64)
+
+
+def _lines_of(rows: pa.Table, keys: list[str], tolerance: float) -> pa.RecordBatch:
+    """Lines of whole pages; rows come sorted by the keys, then by top."""
+    n = rows.num_rows
+    page = np.zeros(n, np.int64)
+    for k in keys:
+        codes = rows.column(k).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        page[1:] |= codes[1:] != codes[:-1]
+    page = np.cumsum(page)
+    tops = rows.column("top").to_numpy()
+    cuts = np.append(np.flatnonzero(np.diff(page, prepend=-1)), n)
+    opens = [a + line_starts(tops[a:b], tolerance) for a, b in zip(cuts[:-1], cuts[1:])]
+    starts = np.concatenate(opens)
+    number = np.concatenate([np.arange(len(o), dtype=np.int32) for o in opens])
+    line = np.zeros(n, np.int64)
+    line[starts] = 1
+    line = np.cumsum(line) - 1
+    order = pc.sort_indices(pa.table({"line": line, "x0": rows.column("x0"), "top": rows.column("top"), "text": rows.column("text")}), [(c, "ascending") for c in ("line", "x0", "top", "text")])
+    text = rows.column("text").combine_chunks().take(order)
+    words = pa.ListArray.from_arrays(pa.array(np.append(starts, n).astype(np.int32)), text)
+    first = rows.select(keys).take(pa.array(starts)).combine_chunks()
+    return pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in first.columns), pa.array(number), pa.array(tops[starts]), pc.binary_join(words, " ")], [*keys, "line_no", "top", "line"])
+
+
+def _group(keys: list[str], tolerance: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            ends = [batch.column(k).slice(i, 1).to_pylist()[0] for k in keys for i in (0, batch.num_rows - 1)]
+            if len(held) > 1 and ends[::2] == ends[1::2]:
+                continue  # one page, which may have begun before and may go on
+            rows = pa.Table.from_batches(held)
+            same = np.ones(batch.num_rows, bool)
+            for k in keys:
+                codes = batch.column(k).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                same &= codes == codes[-1]
+            whole = rows.num_rows - int(same.sum())
+            if whole:
+                yield _lines_of(rows.slice(0, whole), keys, tolerance)
+            held = rows.slice(whole).to_batches()
+        if held:
+            yield _lines_of(pa.Table.from_batches(held), keys, tolerance)
+
+    return run
+
+
+def group_words(words: DataFrame, tolerance: float = 5.0, keys: tuple[str, ...] = ("doc_id", "page_index")) -> DataFrame:
     """(doc_id, page_index, line_no, top, line): words into lines.
 
     A line opens with the first word, by top and x0, that lies more than the
-    tolerance below the line's first top; distinct tops, few for a page, are
-    folded in order, then each word takes the last line that opens at or
-    above it. Words of a line go by x0.
+    tolerance below the line's first top, which only a pass in order can tell:
+    one shuffle by page and one sort bring the words in that order, and whole
+    batches of pages are cut into lines at once. Words of a line go by x0.
+    Words without a text or a place are left out.
     """
-    tops = words.groupBy("doc_id", "page_index").agg(F.array_sort(F.collect_set("top")).alias("tops"))
-    opened = F.aggregate("tops", F.expr("cast(array() as array<double>)"), lambda acc, t: F.when((F.size(acc) == 0) | (t - F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) > tolerance), F.concat(acc, F.array(t))).otherwise(acc))
-    anchors = tops.select("doc_id", "page_index", opened.alias("anchors"))
-    placed = words.join(anchors, ["doc_id", "page_index"]).withColumn("line_no", F.size(F.filter("anchors", lambda a: a <= F.col("top"))) - 1)
-    parts = placed.groupBy("doc_id", "page_index", "line_no").agg(F.min("top").alias("top"), F.array_sort(F.collect_list(F.struct("x0", "top", "text"))).alias("w"))
-    return parts.select("doc_id", "page_index", "line_no", "top", tx.squeeze(F.array_join(F.transform("w", lambda w: w["text"]), " ")).alias("line"))
+    own = list(keys)
+    rows = words.select(*own, F.col("top").cast("double").alias("top"), F.col("x0").cast("double").alias("x0"), "text").dropna(subset=["top", "x0", "text"])
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in own), "line_no int, top double, line string"])
+    lines = rows.repartition(*own).sortWithinPartitions(*own, "top", "x0").mapInArrow(_group(own, tolerance), schema)
+    return lines.withColumn("line", tx.squeeze(F.col("line")))
 
 
 def region_candidates(words: DataFrame, top_part: float = 0.15, bottom_part: float = 0.12, tolerance: float = 5.0) -> DataFrame:
-    """(doc_id, page_index, zone, line_no, raw_text, tokens): lines at the top and bottom of pages that may be banners."""
-    usable = words.where("page_height > 0")
-    zone = F.when(F.col("top") <= top_part * F.col("page_height"), F.array(F.lit("header"))).otherwise(F.expr("cast(array() as array<string>)"))
-    zone = F.concat(zone, F.when(F.col("top") >= (1 - bottom_part) * F.col("page_height"), F.array(F.lit("footer"))).otherwise(F.expr("cast(array() as array<string>)")))
-    zoned = usable.withColumn("zone", F.explode(zone))
-    keyed = zoned.withColumn("doc_id", F.struct("doc_id", "zone"))
-    lines = group_words(keyed.select("doc_id", "page_index", "top", "x0", "text"), tolerance)
-    rows = lines.select(F.col("doc_id.doc_id").alias("doc_id"), "page_index", F.col("doc_id.zone").alias("zone"), "line_no", F.col("line").alias("raw_text"), tx.token_set(F.col("line")).alias("tokens"))
+    """(doc_id, page_index, zone, line_no, raw_text, tokens): lines at the top and bottom of pages that may be banners.
+
+    A word stands at the bottom by its lower edge, where there is a column
+    ``bottom``, else by its top.
+    """
+    low = F.col("bottom" if "bottom" in words.columns else "top")
+    zones = F.array_compact(F.array(F.when(F.col("top") <= top_part * F.col("page_height"), "header"), F.when(low >= (1 - bottom_part) * F.col("page_height"), "footer")))
+    zoned = words.where("page_height > 0").withColumn("zone", F.explode(zones))
+    lines = group_words(zoned, tolerance, ("doc_id", "page_index", "zone"))
+    rows = lines.select("doc_id", "page_index", "zone", "line_no", F.col("line").alias("raw_text"), tx.token_set(F.col("line")).alias("tokens"))
     return rows.where(~tx.never_remove(F.col("raw_text")) & (F.size("tokens") >= 2) & ~tx.looks_like_syllabus(F.col("tokens")))
 
 
@@ -128,37 +191,42 @@ def representative(variants: Column) -> Column:
 
 
 def removal_patterns(clusters: DataFrame, page_counts: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, zone, label, tokens, representative, n_pages, ord) of the clusters that repeat on enough pages."""
-    joined = clusters.join(page_counts, "doc_id").where((F.col("page_count") > 1) & (F.size("pages") >= least_pages(F.col("page_count"), threshold)))
-    order = Window.partitionBy("doc_id").orderBy(F.desc(F.size("pages")), "zone", "core")
-    return joined.select("doc_id", "zone", F.array_join("core", " ").alias("label"), F.col("core").alias("tokens"), representative(F.col("variants")).alias("representative"), F.size("pages").alias("n_pages"), F.row_number().over(order).alias("ord"))
+    """(doc_id, zone, label, tokens, representative, n_pages, ord) of the clusters that repeat on enough pages.
+
+    ``ord`` is the order in which the clusters were opened, and in which a
+    line tries them. Cores of a single token are no patterns.
+    """
+    joined = clusters.join(page_counts, "doc_id").where((F.col("page_count") > 1) & (F.size("pages") >= least_pages(F.col("page_count"), threshold)) & (F.size("core") >= 2))
+    return joined.select("doc_id", "zone", F.array_join("core", " ").alias("label"), F.col("core").alias("tokens"), representative(F.col("variants")).alias("representative"), F.size("pages").alias("n_pages"), F.col("cluster").alias("ord"))
 
 
-def window_lines(lines: DataFrame, first: int = 10, last: int = 5) -> DataFrame:
-    """Lines with ``zone``: header for a page's first lines, else footer for its last, of those neither blank nor tabular."""
-    eligible = (tx.strip(F.col("line")) != "") & ~tx.is_table_line(F.col("line"))
-    page = Window.partitionBy("doc_id", "page")
-    n = F.sum(eligible.cast("int"))
-    marked = lines.withColumn("eligible", eligible).withColumn("up", n.over(page.orderBy("line_no"))).withColumn("all_lines", n.over(page))
-    zone = F.when(~F.col("eligible"), None).when(F.col("up") <= first, "header").when(F.col("up") > F.col("all_lines") - last, "footer")
-    return marked.withColumn("zone", zone).drop("eligible", "up", "all_lines")
+def window_lines(pages: DataFrame, first: int = 10, last: int = 5) -> DataFrame:
+    """(doc_id, page, line_no, line, zone) of pages(doc_id, page_number, text): header for a page's first lines, else footer for its last, of those neither blank nor tabular."""
+    numbered = F.transform(tx.lines(F.coalesce(F.col("text"), F.lit(""))), lambda line, i: F.struct(i.alias("line_no"), line.alias("line")))
+    eligible = F.filter(numbered, lambda x: (tx.strip(x["line"]) != "") & ~tx.is_table_line(x["line"]))
+    rows = pages.select("doc_id", F.col("page_number").alias("page"), eligible.alias("l"))
+    named = lambda part, zone: F.transform(part, lambda x: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line"), F.lit(zone).alias("zone")))
+    after = F.greatest(F.lit(first), F.size("l") - last) + 1
+    both = F.concat(named(F.slice("l", 1, first), "header"), named(F.slice("l", after, last), "footer"))
+    return rows.select("doc_id", "page", F.inline(both))
 
 
-def removed_lines(lines: DataFrame, patterns: DataFrame) -> DataFrame:
+def removed_lines(pages: DataFrame, patterns: DataFrame) -> DataFrame:
     """(doc_id, page, line_no, label): lines in a window that a pattern of their zone takes away, the first pattern's label."""
-    own = window_lines(lines).where("zone IS NOT NULL").withColumn("own", tx.token_set(F.col("line"))).where((F.size("own") >= 2) & ~tx.never_remove(F.col("line")))
-    pats = patterns.select("doc_id", "zone", "label", "tokens", "ord").withColumn("zone_", F.col("zone"))
+    own = window_lines(pages).withColumn("line", tx.strip(F.col("line"))).withColumn("own", tx.token_set(F.col("line"))).where((F.size("own") >= 2) & ~tx.never_remove(F.col("line")))
+    pats = patterns.select("doc_id", "zone", "label", "tokens", "ord")
     # Similar sets share a token: an equi-join on it, then the test itself.
     by_token = own.select("doc_id", "page", "line_no", "zone", "own", F.explode("own").alias("token"))
     hits = by_token.join(pats.select("doc_id", "zone", "label", "tokens", "ord", F.explode("tokens").alias("token")), ["doc_id", "zone", "token"])
     return hits.where(tx.similar(F.col("own"), F.col("tokens"))).groupBy("doc_id", "page", "line_no").agg(F.min_by("label", "ord").alias("label"))
 
 
-def cleaned_pages(lines: DataFrame, removed: DataFrame) -> DataFrame:
-    """(doc_id, page, text) without the removed lines."""
-    kept = lines.join(removed.select("doc_id", "page", "line_no", F.lit(True).alias("gone")), ["doc_id", "page", "line_no"], "left")
-    parts = kept.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.when(F.col("gone").isNull(), F.struct("line_no", "line")))).alias("l"))
-    return parts.select("doc_id", "page", tx.strip(F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("text"))
+def cleaned_pages(pages: DataFrame, removed: DataFrame) -> DataFrame:
+    """(doc_id, page, text) of every page without the removed lines, stripped."""
+    gone = removed.groupBy("doc_id", "page").agg(F.collect_set("line_no").alias("gone"))
+    rows = pages.select("doc_id", F.col("page_number").alias("page"), F.coalesce("text", F.lit("")).alias("text")).join(gone, ["doc_id", "page"], "left")
+    left = F.array_join(F.filter(tx.lines(F.col("text")), lambda line, i: ~F.array_contains("gone", i)), "\n")
+    return rows.select("doc_id", "page", tx.strip(F.when(F.col("gone").isNull(), F.array_join(tx.lines(F.col("text")), "\n")).otherwise(left)).alias("text"))
 
 
 def removed_report(removed: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -200,10 +268,24 @@ def assemble(pages: DataFrame, titles: DataFrame | None = None) -> DataFrame:
 def clean_documents(pages: DataFrame, words: DataFrame, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """(cleaned pages, removed report) of pages(doc_id, page_number, text): the whole clean-up."""
     counts = pages.groupBy("doc_id").agg(F.count("*").alias("page_count"))
-    patterns = removal_patterns(cluster_candidates(region_candidates(words)), counts, threshold)
-    lines = page_lines(pages)
-    removed = removed_lines(lines, patterns)
-    return cleaned_pages(lines, removed), removed_report(removed, patterns)
+    found = cluster_candidates(region_candidates(words))
+    patterns = removal_patterns(found, counts.withColumn("doc_id", F.col("doc_id").cast("string")), threshold)
+    removed = removed_lines(pages, patterns)
+    return cleaned_pages(pages, removed), removed_report(removed, patterns)
+
+
+def clean_records(pages: DataFrame, words: DataFrame, titles: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
+    """Records as ``assemble`` makes them, of cleaned pages, with ``cleanup_applied`` and ``removed_repeated_lines``."""
+    cleaned, report = clean_documents(pages, words, threshold)
+    records = assemble(cleaned.select("doc_id", F.col("page").alias("page_number"), F.col("text").alias("content")), titles)
+    none = F.expr("cast(array() as array<string>)")
+    return records.join(report, "doc_id", "left").withColumn("cleanup_applied", F.lit(True)).withColumn("removed_repeated_lines", F.coalesce("removed_repeated_lines", none))
+
+
+def iso_time(when: Column) -> Column:
+    """A timestamp as UTC in ISO 8601, to the second."""
+    utc = F.to_utc_timestamp(when, F.current_timezone())
+    return F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
 
 
 def parse_summary(records: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import rules, urls
@@ -13,7 +13,7 @@ from sievework.operators import chat, crawl, documents, pages, retrieval
 from sievework.plans import samples
 from sievework.plans.oracles import ORACLES
 from sievework.sources import sinks
-from sievework.sources.tables import read_table
+from sievework.sources.tables import materialise, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -148,15 +148,29 @@ def crawl_budget(spark, sf_dir):
 
 @query
 def crawl_pages(spark, sf_dir):
-    """C1 over the links of the pages table, from its first page of the domain."""
+    """C1 over the links of the pages table, from its first page of the domain; the HTML is parsed once."""
     parsed = _parsed(spark, sf_dir).select("url", "page")
-    nodes = parsed.select(urls.normalize_page(F.col("url"), _base(), samples.DOMAIN).alias("url")).where("url IS NOT NULL").groupBy("url").agg(F.lit(True).alias("ok"))
-    hrefs = parsed.select(urls.normalize_page(F.col("url"), _base(), samples.DOMAIN).alias("src"), F.explode("page.links").alias("href")).where("src IS NOT NULL")
-    edges = hrefs.select("src", urls.normalize_page(F.col("href"), F.col("src"), samples.DOMAIN).alias("dst")).where("dst IS NOT NULL").distinct().withColumn("is_pdf", urls.is_pdf(F.col("dst")))
+    own = urls.normalize_page(F.col("url"), _base(), samples.DOMAIN)
+    hrefs = materialise(parsed.select(own.alias("src"), "page.links").where("src IS NOT NULL").select("src", F.explode_outer("links").alias("href")))
+    nodes = materialise(hrefs.groupBy(F.col("src").alias("url")).agg(F.lit(True).alias("ok")))
+    links = hrefs.select("src", urls.normalize_page(F.col("href"), F.col("src"), samples.DOMAIN).alias("dst")).where("dst IS NOT NULL").distinct()
+    edges = materialise(links.withColumn("is_pdf", urls.is_pdf(F.col("dst"))))
     seed = nodes.agg(F.min("url")).first()[0]
     return crawl.crawl(edges, nodes, seed or samples.BASE).summary()
 
 
+@query
+def crawl_numbers(spark, sf_dir):
+    """C1-C5 over the whole pages table: page n links to pages 3n + 1 to 3n + 3, to its parent, and to a PDF; each seventh page can't be fetched."""
+    at = lambda n: F.lpad(n.cast("string"), 12, "0")
+    n = F.col("page_id")
+    rows = read_table(spark, sf_dir, "pages").select("page_id", (F.length("html") > 0).alias("some"))
+    nodes = materialise(rows.select(at(n).alias("url"), (F.col("some") & (n % 7 != 6)).alias("ok")))
+    links = F.array(*(F.struct(at(m).alias("dst"), F.lit(False).alias("is_pdf")) for m in (3 * n + 3, 3 * n + 1, 3 * n + 2, F.greatest(F.floor((n - 1) / 3), F.lit(0)))), F.struct(F.concat(at(n), F.lit(".pdf")).alias("dst"), F.lit(True).alias("is_pdf")))
+    edges = materialise(rows.select(at(n).alias("src"), F.inline(links)))
+    return crawl.crawl(edges, nodes, "0" * 12, 60, 4).visited.select("url", "depth", "place", "ok")
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return documents.page_lines(docs.select("doc_id", F.lit(1).alias("page_number"), "text"))
@@ -190,16 +204,19 @@ def line_flags(spark, sf_dir):
 @query
 def header_footer_window(spark, sf_dir):
     """P24."""
-    return documents.window_lines(_lines(spark, sf_dir)).where("zone IS NOT NULL").select("doc_id", "line_no", "zone")
+    docs = read_table(spark, sf_dir, "documents")
+    return documents.window_lines(docs.select("doc_id", F.lit(1).alias("page_number"), "text")).select("doc_id", "line_no", "zone")
 
 
 @query
 def line_similarity(spark, sf_dir):
     """Each line against the next of its document."""
-    own = _lines(spark, sf_dir).select("doc_id", "line_no", tx.token_set(F.col("line")).alias("a"))
-    following = own.select("doc_id", (F.col("line_no") - 1).alias("line_no"), F.col("a").alias("b"))
-    a, b = F.col("a"), F.col("b")
-    return own.join(following, ["doc_id", "line_no"]).select("doc_id", "line_no", tx.jaccard(a, b).alias("jaccard"), tx.overlap(a, b).alias("overlap"), tx.similar(a, b).alias("similar"))
+    docs = read_table(spark, sf_dir, "documents")
+    sets = docs.select("doc_id", F.transform(tx.lines(F.coalesce("text", F.lit(""))), lambda line: tx.token_set(line)).alias("s"))
+    pairs = F.arrays_zip(F.slice("s", 1, F.greatest(F.size("s") - 1, F.lit(0))).alias("a"), F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))).alias("b"))
+    rows = sets.select("doc_id", F.posexplode(pairs).alias("line_no", "p"))
+    a, b = F.col("p").getField("a"), F.col("p").getField("b")
+    return rows.select("doc_id", "line_no", tx.jaccard(a, b).alias("jaccard"), tx.overlap(a, b).alias("overlap"), tx.similar(a, b).alias("similar"))
 
 
 @query
@@ -221,31 +238,31 @@ def document_type_scores(spark, sf_dir):
 
 
 def _pseudo_pdfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of pseudo-PDFs: a thousand ids of a source, in order of id."""
+    """Pages of pseudo-PDFs: a thousand ids of a source, in order of id, so that a PDF stays of a PDF's size as the table grows."""
     docs = read_table(spark, sf_dir, "documents")
     name = F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 1000).cast("string"))
     return docs.select(name.alias("doc_id"), F.col("doc_id").alias("page_number"), "text")
 
 
-def _words(lines: DataFrame) -> DataFrame:
+def _words(pages: DataFrame) -> DataFrame:
     """Words laid out on pages: lines 12 apart, words wobbling by up to 4."""
-    height = F.max("line_no").over(Window.partitionBy("doc_id", "page")) * 12.0 + 12.0
-    rows = lines.withColumn("page_height", height)
-    words = rows.select("doc_id", F.col("page").cast("int").alias("page_index"), "page_height", "line_no", F.posexplode(F.filter(F.split("line", " "), lambda w: w != "")).alias("k", "text"))
+    rows = pages.select("doc_id", F.col("page_number").cast("int").alias("page_index"), tx.lines(F.coalesce("text", F.lit(""))).alias("l"))
+    rows = rows.select("doc_id", "page_index", (F.size("l") * 12.0).alias("page_height"), F.posexplode("l").alias("line_no", "line"))
+    words = rows.select("doc_id", "page_index", "page_height", "line_no", F.posexplode(F.filter(F.split("line", " "), lambda w: w != "")).alias("k", "text"))
     return words.select("doc_id", "page_index", "page_height", "text", (F.col("k") * 10.0).alias("x0"), (F.col("line_no") * 12.0 + (F.col("k") % 3) * 2.0).alias("top"))
 
 
 @query
 def group_words(spark, sf_dir):
     """Words of every document into lines."""
-    return documents.group_words(_words(_lines(spark, sf_dir))).select("doc_id", "page_index", "line_no", "top", "line")
+    docs = read_table(spark, sf_dir, "documents")
+    return documents.group_words(_words(docs.select("doc_id", F.lit(1).alias("page_number"), "text"))).select("doc_id", "page_index", "line_no", "top", "line")
 
 
 @query
 def region_candidates(spark, sf_dir):
     """Possible banners at the top and bottom of pseudo-PDF pages."""
-    lines = documents.page_lines(_pseudo_pdfs(spark, sf_dir))
-    return documents.region_candidates(_words(lines)).select("doc_id", "page_index", "zone", "raw_text", F.size("tokens").alias("n_tokens"))
+    return documents.region_candidates(_words(_pseudo_pdfs(spark, sf_dir))).select("doc_id", "page_index", "zone", "raw_text", F.size("tokens").alias("n_tokens"))
 
 
 @query
@@ -253,7 +270,7 @@ def banner_patterns(spark, sf_dir):
     """Greedy clusters that repeat on a tenth of the pages."""
     pdfs = _pseudo_pdfs(spark, sf_dir)
     counts = pdfs.groupBy("doc_id").agg(F.count("*").alias("page_count"))
-    found = documents.cluster_candidates(documents.region_candidates(_words(documents.page_lines(pdfs))))
+    found = documents.cluster_candidates(documents.region_candidates(_words(pdfs)))
     return documents.removal_patterns(found, counts, 0.1).select("doc_id", "zone", "label", "representative", "n_pages")
 
 
@@ -261,14 +278,14 @@ def banner_patterns(spark, sf_dir):
 def strip_banners(spark, sf_dir):
     """Pages without the lines that repeat."""
     pdfs = _pseudo_pdfs(spark, sf_dir)
-    return documents.clean_documents(pdfs, _words(documents.page_lines(pdfs)), 0.1)[0]
+    return documents.clean_documents(pdfs, _words(pdfs), 0.1)[0]
 
 
 @query
 def removed_report(spark, sf_dir):
     """P26."""
     pdfs = _pseudo_pdfs(spark, sf_dir)
-    report = documents.clean_documents(pdfs, _words(documents.page_lines(pdfs)), 0.1)[1]
+    report = documents.clean_documents(pdfs, _words(pdfs), 0.1)[1]
     return report.select("doc_id", F.array_join("removed_repeated_lines", "\n").alias("removed_repeated_lines"))
 
 

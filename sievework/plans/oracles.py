@@ -163,6 +163,13 @@ ORACLES: dict[str, str] = {
     WITH w AS (SELECT doc_id, line_no, list_filter(string_split(line, ' '), lambda x: x <> '') AS words FROM {_LINES}),
     f AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS INTEGER) AS line_no, line_no * 12.0 AS top, words FROM w WHERE len(words) > 0)
     SELECT doc_id, CAST(1 AS INTEGER) AS page_index, line_no, CAST(top AS DOUBLE) AS top, {_SQUEEZED.format("array_to_string(words, ' ')")} AS line FROM f""",
+    "crawl_numbers": """
+    WITH RECURSIVE t(n, depth) AS (
+      SELECT CAST(0 AS BIGINT), 0 UNION ALL
+      SELECT 3 * t.n + v.k, depth + 1 FROM t JOIN pages p ON p.page_id = t.n AND length(p.html) > 0 AND t.n % 7 <> 6, (VALUES (1), (2), (3)) AS v(k) WHERE depth < 4),
+    placed AS (SELECT n, depth, row_number() OVER (ORDER BY depth, n) - 1 AS place FROM t)
+    SELECT lpad(CAST(n AS VARCHAR), 12, '0') AS url, CAST(depth AS INTEGER) AS depth, place, coalesce(length(p.html) > 0 AND n % 7 <> 6, false) AS ok
+    FROM placed LEFT JOIN pages p ON p.page_id = n WHERE place < 60""",
     "page_tables": "SELECT * FROM " + _values([(1, "Head\n\n[TABLE 1]\na |  | b\n\n[TABLE 3]\nc"), (2, ""), (3, "[TABLE 1]\nx | y"), (4, "only text")], "id, content"),
     "assemble_documents": f"""
     WITH d AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS page_count, {STRIP.format("string_agg(content, chr(10) || chr(10) ORDER BY page_number)")} AS whole, CAST(sum(length(content)) AS INTEGER) AS content_length FROM {_PDFS} GROUP BY doc_id)

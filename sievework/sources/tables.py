@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,16 +14,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def materialise(df: DataFrame) -> DataFrame:
     """Writes a small intermediate to the folder of ``spark.checkpoint.dir`` and cuts its lineage.
 
-    A temporary folder is used only where no folder is configured.
+    A temporary folder is used only on one machine, where no folder is configured.
     """
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sievework-"))
     return df.checkpoint(eager=True)
-
-
-def pdf_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, stem, content) of the *.pdf files right in a folder, by path."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "false").load(folder)
-    return files.select("path", F.regexp_extract("path", r"([^/]*)\.pdf$", 1).alias("stem"), "content").orderBy("path")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -23,7 +24,8 @@ def new_pages(stream: DataFrame) -> DataFrame:
 
 
 def record_stream(stream: DataFrame) -> DataFrame:
-    return page_records(parsed_pages(new_pages(stream)))
+    """Records of the stream's pages, with the time of their batch."""
+    return page_records(parsed_pages(new_pages(stream)), scraped_at=F.current_timestamp())
 
 
 def refresh(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
