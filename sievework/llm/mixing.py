@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import BROADCAST_BYTES, cut, small
 
 BINS = 4096
+#: Leaves whose budgets the driver works out; a table with more of them is refused.
+MAX_LEAVES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -102,29 +104,35 @@ def token_count(text) -> F.Column:
 LEAF = ["domain", "lang", "source"]
 
 
-def mixed(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", broadcast_rows: int = 1_000_000) -> DataFrame:
+def mixed(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(row, epoch, domain, lang, source): the rows of docs, each whole as a struct, once for each epoch that uses them.
 
     A null language or source is the leaf "". Rows with a null id are left
     out; rows that repeat an id are used alike, as long as the first of them
     in order of tokens fits. Documents without tokens cost
     nothing and come with the epoch that reaches them. The prefix ends before
-    the first document that doesn't fit. An empty table gives no rows, and a
-    name of docs may be any. Only the order inside one of the
+    the first document that doesn't fit. Texts of any length are counted
+    whole. An empty table gives no rows, and a name of docs may be any. More
+    than MAX_LEAVES leaves are an error; plans and chosen ids are broadcast up
+    to ``broadcast_bytes`` and joined by a shuffle beyond. Only the order inside one of the
     4096 bins of a leaf's last epoch needs sorting; all other rows are decided
     where they are read, so no text is shuffled.
     """
     spark = docs.sparkSession
     rows = _leaves(docs, mix, id_col, text_col, lang_col, source_col)
     light = cut(rows.select("id", *LEAF, token_count(F.col("text")).alias("n")))
-    supply = {tuple(r[:3]): r[3] for r in light.groupBy(*LEAF).agg(F.sum("n")).collect()}
+    leaves = cut(light.groupBy(*LEAF).agg(F.sum("n").alias("n")))
+    if leaves.count() > MAX_LEAVES:
+        raise ValueError(f"more than {MAX_LEAVES} leaves of domain, language and source")
+    supply = {tuple(r[:3]): r[3] for r in leaves.collect()}
     plan = []
     for leaf, budget in leaf_budgets(supply, mix).items():
         # A leaf without tokens is used whole once, as it costs nothing.
         full = min(mix.epochs, budget // supply[leaf]) if supply[leaf] else 1
         plan.append((*leaf, int(full), int(budget - full * supply[leaf]) if full < mix.epochs and supply[leaf] else -1))
     names = T.StructType([T.StructField(c, T.StringType()) for c in LEAF] + [T.StructField("full", T.IntegerType()), T.StructField("rest", T.LongType())])
-    plans = F.broadcast(spark.createDataFrame(plan, names))
+    width = max((sum(len(x.encode()) for x in p[:3]) + 64 for p in plan), default=64)
+    plans = small(spark.createDataFrame(plan, names), width, broadcast_bytes)
     key = F.xxhash64(F.lit(mix.seed), F.col("full"), F.col("id"))
     bin_of = F.pmod(F.shiftrightunsigned("key", 52), F.lit(BINS)).cast("int").alias("bin")
     binned = light.join(plans, LEAF).withColumn("key", key).select("*", bin_of)
@@ -132,11 +140,9 @@ def mixed(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "te
     totals = totals.withColumn("before", F.sum("sum").over(Window.partitionBy(*LEAF).orderBy("bin")) - F.col("sum"))
     edge = cut(totals.where("before <= rest AND before + sum > rest").select(*LEAF, "bin", "before"))
     order = Window.partitionBy(*LEAF).orderBy(F.shiftrightunsigned("key", 1), "id", "n")
-    inside = binned.join(F.broadcast(edge), [*LEAF, "bin"]).withColumn("upto", F.col("before") + F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    chosen = cut(inside.where("upto <= rest").select(F.col("id").alias("chosen")).distinct())
-    if chosen.count() <= broadcast_rows:
-        chosen = F.broadcast(chosen)
-    edges = F.broadcast(edge.select(*LEAF, F.col("bin").alias("edge")))
+    inside = binned.join(small(edge, width, broadcast_bytes), [*LEAF, "bin"]).withColumn("upto", F.col("before") + F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    chosen = small(cut(inside.where("upto <= rest").select(F.col("id").alias("chosen")).distinct()), 8, broadcast_bytes)
+    edges = small(edge.select(*LEAF, F.col("bin").alias("edge")), width, broadcast_bytes)
     out = rows.join(plans, LEAF).join(edges, LEAF, "left").withColumn("key", key).select("*", bin_of)
     out = out.join(chosen, out["id"] == chosen["chosen"], "left")
     partial = (F.col("rest") >= 0) & (F.col("edge").isNull() | (F.col("bin") < F.col("edge")) | ((F.col("bin") == F.col("edge")) & F.col("chosen").isNotNull()))

@@ -58,13 +58,13 @@ def test_many_random_rules(spark):
 
 
 def test_whole_pages_table_by_ranges(spark):
-    """The range-partitioned join on every page of sf0.1, with a rule for every third host and for paths below, against the longest prefix."""
+    """The range-partitioned join on every page of sf0.1, with a rule for every host or for a path below it, against the sweep of broadcast rules."""
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     hosts = sorted(r[0] for r in pages.select(F.regexp_extract("url", "://([^/?#:]*)", 1)).distinct().collect() if r[0])
-    more = [(10_000 + k, h + ("/en/" if k % 2 else ""), "review") for k, h in enumerate(hosts[::3])]
+    more = [(10_000 + k, h + ("/en/" if k % 3 == 0 else ""), "review") for k, h in enumerate(hosts)]
     rules = spark.createDataFrame(Q.URL_RULES + more, "rule_id long, pattern string, action string")
     wide, ranged = ({(r["page_id"], r["url"]): (r["rule_id"], r["action"]) for r in url_filter.match_urls(pages, rules, broadcast_rows=n).collect()} for n in (500_000, 0))
-    assert wide == ranged and len({rule for rule, _ in ranged.values()}) > 50
+    assert wide == ranged and len({rule for rule, _ in ranged.values()}) > 40
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1", "check_s"])

@@ -152,7 +152,10 @@ def _brute_mix(rows, mix, spark):
 def test_mix_by_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in docs.collect()]
-    assert sorted(_mixed(docs, Q.MIX)) == sorted(_brute_mix(rows, Q.MIX, spark))
+    want = sorted(_brute_mix(rows, Q.MIX, spark))
+    assert sorted(_mixed(docs, Q.MIX)) == want
+    by_shuffle = mixing.mixed(docs, Q.MIX, broadcast_bytes=0)
+    assert sorted((r["row"]["doc_id"], r["epoch"], r["domain"], r["lang"], r["source"]) for r in by_shuffle.collect()) == want
 
 
 def test_mix_edges(spark, make_docs, edge_rows):
