@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import grams as G
-from .common import BROADCAST_BYTES, cut, partitions, small
+from .common import BROADCAST_BYTES, cut, frugal, partitions, small
 
 ROWS = 1024
 #: Vectors of the sample that width and hashes are fitted on, first in hash order of the id.
@@ -403,19 +403,19 @@ def nearest(vectors: DataFrame, k: int = 10, queries: Column | None = None, conf
     x = _matrix(sample.column("vector").combine_chunks(), dim).astype(np.float64)
     conf = fitted(np.unique(x, axis=0), total, k, conf)
     parts = partitions(spark)
-    counts = rows.mapInArrow(_count(dim, conf, 0), "bucket long, rows long, queries long").unionByName(asked.mapInArrow(_count(dim, conf, 1), "bucket long, rows long, queries long"))
+    counts = rows.mapInArrow(frugal(_count(dim, conf, 0)), "bucket long, rows long, queries long").unionByName(asked.mapInArrow(frugal(_count(dim, conf, 1)), "bucket long, rows long, queries long"))
     counts = counts.groupBy("bucket").agg(F.sum("rows").alias("rows"), F.sum("queries").alias("queries"))
     most = max(1, bucket_bytes // (4 * dim))
     large = counts.where((F.col("rows") > 0) & (F.col("queries") > 0) & (F.greatest("rows", "queries") > most)).orderBy("bucket").toArrow()
     hot = spark.sparkContext.broadcast((large.column("bucket").to_numpy(), *(-(-large.column(c).to_numpy() // most) for c in ("rows", "queries"))))
-    routed = rows.mapInArrow(_route(dim, conf, 0, hot), ROUTED).unionByName(asked.mapInArrow(_route(dim, conf, 1, hot), ROUTED))
+    routed = rows.mapInArrow(frugal(_route(dim, conf, 0, hot)), ROUTED).unionByName(asked.mapInArrow(frugal(_route(dim, conf, 1, hot)), ROUTED))
     lists = "id long, ids binary, distances binary"
-    local = routed.repartition(parts, "bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(_search(k), lists)
-    merged = lambda df: df.repartition(parts, "id").sortWithinPartitions("id").mapInArrow(_merge(k), found)
+    local = routed.repartition(parts, "bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(frugal(_search(k)), lists)
+    merged = lambda df: df.repartition(parts, "id").sortWithinPartitions("id").mapInArrow(frugal(_merge(k)), found)
     hashed = cut(merged(local))
     seen = hashed.groupBy(F.col("vec_id").alias("id")).agg(F.count("*").alias("candidates"), F.max("distance").alias("far"))
     judged = asked.join(seen, "id", "left").select("id", "vector", F.coalesce("candidates", F.lit(0)).alias("candidates"), F.coalesce("far", F.lit(0.0)).alias("far"))
-    doubt = cut(judged.mapInArrow(_doubtful(dim, conf, k), "id long, vector binary, far double"))
+    doubt = cut(judged.mapInArrow(frugal(_doubtful(dim, conf, k)), "id long, vector binary, far double"))
     doubts = doubt.count()
     if not doubts:
         return hashed
@@ -425,6 +425,6 @@ def nearest(vectors: DataFrame, k: int = 10, queries: Column | None = None, conf
         block = doubt.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == c).orderBy("id").toArrow()
         q = np.frombuffer(b"".join(block.column("vector").to_pylist()), np.float32).reshape(-1, dim)
         held = spark.sparkContext.broadcast((block.column("id").to_numpy(), q, block.column("far").to_numpy()))
-        own = merged(rows.mapInArrow(_scan(dim, k, held), lists))
+        own = merged(rows.mapInArrow(frugal(_scan(dim, k, held)), lists))
         exact = own if exact is None else exact.unionByName(own)
     return hashed.join(small(doubt.select(F.col("id").alias("vec_id")), 8), "vec_id", "left_anti").unionByName(exact)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, cut, partitions, small
+from .common import BROADCAST_BYTES, cut, frugal, partitions, small
 
 U64 = np.uint64
 REMAINDER_BITS = 32
@@ -152,8 +152,8 @@ def repeated_fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """64-bit fingerprints (fp) that at least two rows share."""
     prints = docs.select(F.col(text_col).alias("t")).where("t IS NOT NULL").select(F.xxhash64("t").alias("fp"))
     parts = partitions(docs.sparkSession)
-    built = prints.mapInArrow(_build(range_bits(docs.count(), parts)), "range int, filter binary")
-    return built.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(_merge, "fp long")
+    built = prints.mapInArrow(frugal(_build(range_bits(docs.count(), parts))), "range int, filter binary")
+    return built.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(frugal(_merge), "fp long")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 U64 = np.uint64
 GRAM_BITS = 48
 MAX_DOCS = 1 << 15
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 400_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)

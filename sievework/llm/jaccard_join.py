@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grams as G
-from .common import BROADCAST_BYTES, cut, partitions, planes, small, unplanes
+from .common import BROADCAST_BYTES, cut, frugal, partitions, planes, small, unplanes
 from .components import components
 
 U64 = np.uint64
@@ -117,7 +117,7 @@ def gram_ranks(profile: DataFrame, bits: int) -> np.ndarray:
     It ranks n-grams, rarest first, and tells which cells need splitting; any
     ranking gives the same pairs.
     """
-    rows = profile.where("part IS NOT NULL").select("part", "counts").repartition(min(SKETCH_PARTS, partitions(profile.sparkSession)), "part").mapInArrow(_sum_sketch, "part int, counts binary").collect()
+    rows = profile.where("part IS NOT NULL").select("part", "counts").repartition(min(SKETCH_PARTS, partitions(profile.sparkSession)), "part").mapInArrow(frugal(_sum_sketch), "part int, counts binary").collect()
     out = np.zeros((SKETCH_PARTS, (1 << bits) // SKETCH_PARTS), np.uint8)
     for row in rows:
         out[row["part"]] = np.frombuffer(row["counts"], np.uint8)
@@ -397,9 +397,9 @@ def _with_sets(texts: DataFrame, routes: DataFrame, n: int, limit: int) -> DataF
     if routes.count() * ROUTE_BYTES <= limit:
         local = routes.orderBy("id").toArrow()
         held = spark.sparkContext.broadcast({c: local.column(c).to_numpy() for c in ROUTED})
-        return texts.mapInArrow(_routed_sets(n, held), SETS)
+        return texts.mapInArrow(frugal(_routed_sets(n, held)), SETS)
     needed = texts.join(routes.select("id").distinct(), "id", "left_semi")
-    return needed.mapInArrow(_sets(n), "id long, node long, grams binary").join(routes, ["id", "node"]).select(*ROUTED, "grams")
+    return needed.mapInArrow(frugal(_sets(n)), "id long, node long, grams binary").join(routes, ["id", "node"]).select(*ROUTED, "grams")
 
 
 def _unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -660,7 +660,7 @@ def split_regions(routes: DataFrame, texts: DataFrame, n: int, t: float, most: i
         fan = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), salts - 1))).withColumn("role", F.lit(3))
         rows = own.withColumn("part", F.pmod(F.xxhash64("id"), salts).cast("int")).select(*ROUTED).unionByName(fan.select(*ROUTED))
         sets = _with_sets(texts, rows, n, limit).repartition(parts, "region", "part").sortWithinPartitions("region", "part", F.desc("role"))
-        far = cut(sets.mapInArrow(_distances, "region long, id long, pivot long, distance double").distinct())
+        far = cut(sets.mapInArrow(frugal(_distances), "region long, id long, pivot long, distance double").distinct())
         nearest = F.struct(F.col("distance") if depth < DEPTH else F.lit(0), F.xxhash64("id", "pivot"))
         homes = own.where("role > 0").select("region", "id").join(far, ["region", "id"])
         chosen = cut(homes.groupBy("region", "id").agg(F.min_by("pivot", nearest).alias("chosen")))
@@ -684,15 +684,15 @@ def _joined(docs: DataFrame, t: float, n: int, id_col: str, text_col: str, emit:
     """(id, node), (node, id, copies, size) and the joined regions' RESULTS."""
     spark = docs.sparkSession
     texts = _lowered(docs, id_col, text_col)
-    profile = cut(texts.mapInArrow(_profile(n, sketch_bits), PROFILE))
+    profile = cut(texts.mapInArrow(frugal(_profile(n, sketch_bits)), PROFILE))
     own, classes = _classes(profile)
     ranks = spark.sparkContext.broadcast(gram_ranks(profile, sketch_bits))
     parts = partitions(spark)
     # A node's further copies have nothing to add.
     more = cut(own.join(classes.where("copies > 1").select("node", F.col("id").alias("first")), "node").where("id <> first").select("id"))
     texts = texts.join(small(more, 8, limit), "id", "left_anti")
-    packed = texts.mapInArrow(_signatures(n, t, sketch_bits, ranks, 8 * parts, hot), "bucket int, blob binary")
-    found = cut(packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_cells(t, hot), FOUND))
+    packed = texts.mapInArrow(frugal(_signatures(n, t, sketch_bits, ranks, 8 * parts, hot)), "bucket int, blob binary")
+    found = cut(packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(frugal(_cells(t, hot)), FOUND))
     routes = _routes(found, t).join(classes, "id").withColumn("base", F.col("region"))
     routes = split_regions(cut(routes), texts, n, t, most, limit)
     # Guests of a region beyond a task's number go to parts, each with the home nodes.
@@ -701,7 +701,7 @@ def _joined(docs: DataFrame, t: float, n: int, id_col: str, text_col: str, emit:
     spread = F.when(F.col("role") > 0, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), "salts").cast("int")))
     sets = _with_sets(texts, cut(salted.withColumn("part", F.explode(spread)).select(*ROUTED)), n, limit)
     rows = sets.repartition(parts, "region", "part").sortWithinPartitions("region", "part", F.desc("role"), "id")
-    return own, classes, rows.mapInArrow(_join_regions(t, emit), RESULTS[emit])
+    return own, classes, rows.mapInArrow(frugal(_join_regions(t, emit)), RESULTS[emit])
 
 
 def jaccard_pairs(docs: DataFrame, threshold: float = 0.7, n: int = 3, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = 22, broadcast_bytes: int = BROADCAST_BYTES, region_grams: int = REGION_GRAMS, hot_cell: int = HOT_CELL) -> tuple[DataFrame, DataFrame]:

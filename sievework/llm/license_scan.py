@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal
+
 TOKEN = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 MARK = re.compile(r"<<(beginOptional|endOptional|var)((?:;[a-z]+=(?:\"[^\"]*\"|\d+))*)>>")
 
@@ -263,4 +265,4 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = ALL_TEMPLATES,
     hit = F.lit(False)
     for word in sorted({anchor(t) for t in templates.values()}):
         hit = hit | low.contains(word)
-    return rows.where(hit).mapInArrow(_scan(dict(templates)), "doc_id long, license string, first_token int, end_token int")
+    return rows.where(hit).mapInArrow(frugal(_scan(dict(templates))), "doc_id long, license string, first_token int, end_token int")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grams as G
-from .common import cut
+from .common import cut, frugal
 
 TRAIN_ROWS = 30_000
 FEATURES = ("log_words", "upper", "digit", "symbol", "pipe", "space", "other_script", "newline", "word_length", "distinct_words", "distinct_bigrams", "short")
@@ -112,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("y")).dropna()
     known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).dropna().join(F.broadcast(known), "id").select("id", "text", "y")
-    got = rows.mapInArrow(_columns, "id long, y int, x array<double>").orderBy("id", "x").toArrow()
+    got = rows.mapInArrow(frugal(_columns), "id long, y int, x array<double>").orderBy("id", "x").toArrow()
     if not got.num_rows:
         return None
     x = np.array(got.column("x").combine_chunks().flatten()).reshape(got.num_rows, -1)
@@ -156,7 +156,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     held = docs.sparkSession.sparkContext.broadcast(model)
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), blank(host_col).alias("host"), blank(path_col).alias("path"))
-    marks = cut(rows.mapInArrow(_evidence(held), "doc_id long, host string, path string, evidence double"))
+    marks = cut(rows.mapInArrow(frugal(_evidence(held)), "doc_id long, host string, path string, evidence double"))
     paths = cut(marks.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("evidence").alias("s"), F.sum(F.col("evidence") ** 2).alias("q")))
     n, s, q = (float(x or 0) for x in paths.agg(F.sum("n"), F.sum("s"), F.sum("q")).first())
     mean = min(max(s / n, CLIP), 1 - CLIP) if n else 0.5

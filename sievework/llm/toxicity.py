@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grams as G
+from .common import frugal
 
 U64 = np.uint64
 TRAIN_ROWS = 30_000
@@ -143,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("y")).dropna()
     known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).dropna().join(F.broadcast(known), "id")
-    got = rows.select("id", "text", "y").repartition(1).mapInArrow(_train(bits), MODEL)
+    got = rows.select("id", "text", "y").repartition(1).mapInArrow(frugal(_train(bits)), MODEL)
     model = got.first()
     if model is None:
         return Model(np.zeros(0, np.int64), np.zeros(0), -np.inf, 0.0, bits)
@@ -188,7 +189,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_judged(held, 1, False), "doc_id long, toxicity double, toxic boolean")
+    return rows.mapInArrow(frugal(_judged(held, 1, False)), "doc_id long, toxicity double, toxic boolean")
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -198,4 +199,4 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = [c.lower() for c in docs.columns].index(text_col.lower())
-    return docs.mapInArrow(_judged(held, at, True), docs.schema)
+    return docs.mapInArrow(frugal(_judged(held, at, True)), docs.schema)

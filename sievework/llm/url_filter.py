@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, cut, partitions
+from .common import BROADCAST_BYTES, cut, frugal, partitions
 
 TOP = "\U0010ffff"
 
@@ -148,7 +148,7 @@ def match_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     count, size = prefixes.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("prefix") + F.coalesce(F.octet_length("action"), F.lit(0))), F.lit(0))).first()
     if count <= broadcast_rows and size <= BROADCAST_BYTES:
         held = spark.sparkContext.broadcast(sorted((tuple(r) for r in prefixes.collect()), key=lambda r: r[:2]))
-        out = keyed.mapInArrow(_local(held), RESULT)
+        out = keyed.mapInArrow(frugal(_local(held)), RESULT)
     else:
         parts = partitions(spark)
         table = cut(prefixes)
@@ -156,8 +156,8 @@ def match_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
         share = lambda n: min(1.0, 50 * parts / max(n, 1))
         sample = table.select("prefix").sample(share(count), seed=3).unionByName(hosts.sample(share(pages.count()), seed=3)).distinct().orderBy("prefix").collect()
         bounds = spark.sparkContext.broadcast([r[0] for r in sample[:: max(1, len(sample) // (4 * parts))]])
-        hosted = keyed.where("key IS NOT NULL").select("page_id", "url", "key").mapInArrow(_bucketed(bounds, False), SHAPE_SQL)
-        spread = table.select("prefix", "rule_id", "action").mapInArrow(_bucketed(bounds, True), SHAPE_SQL)
+        hosted = keyed.where("key IS NOT NULL").select("page_id", "url", "key").mapInArrow(frugal(_bucketed(bounds, False)), SHAPE_SQL)
+        spread = table.select("prefix", "rule_id", "action").mapInArrow(frugal(_bucketed(bounds, True)), SHAPE_SQL)
         both = hosted.unionByName(spread).repartition(parts, "bucket").sortWithinPartitions("bucket", "key", "kind", "rule_id")
-        out = both.mapInArrow(_merge, RESULT).unionByName(keyed.where("key IS NULL").select("page_id", "url", "key", F.lit(None).cast("long").alias("rule_id"), F.lit(None).cast("string").alias("action")))
+        out = both.mapInArrow(frugal(_merge), RESULT).unionByName(keyed.where("key IS NULL").select("page_id", "url", "key", F.lit(None).cast("long").alias("rule_id"), F.lit(None).cast("string").alias("action")))
     return out.withColumn("action", F.coalesce("action", F.lit(default)))
