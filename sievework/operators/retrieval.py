@@ -24,12 +24,24 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, vec_id, similarity, rank) by exact cosine; queries(query_id, query) are few and broadcast."""
-    pairs = vectors.crossJoin(F.broadcast(queries)).where(F.col(id_col) != F.col("query_id"))
-    scored = pairs.select("query_id", F.col(id_col).alias("vec_id"), cosine(F.col(vector_col), F.col("query")).alias("similarity"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block_bytes: int = 64 << 20) -> DataFrame:
+    """(query_id, vec_id, similarity, rank) by exact cosine of queries(query_id, query) with all vectors.
+
+    Queries are broadcast in blocks of about ``block_bytes``, one for few of
+    them; of each query no task passes on more than k vectors.
+    """
+    n, dim = queries.agg(F.count("*"), F.coalesce(F.max(F.size("query")), F.lit(0))).first()
+    blocks = max(1, -(-n * (8 * dim + 32) // block_bytes))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    out = None
+    for b in range(blocks):
+        own = queries.where(block == b) if blocks > 1 else queries
+        pairs = vectors.crossJoin(F.broadcast(own)).where(F.col(id_col) != F.col("query_id"))
+        scored = pairs.select("query_id", F.col(id_col).alias("vec_id"), cosine(F.col(vector_col), F.col("query")).alias("similarity"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+        best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def with_citations(hits: DataFrame, sources: DataFrame, id_col: str = "vec_id") -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import text as tx
 from sievework.functions import urls
-from sievework.operators import documents
+from sievework.operators import documents, retrieval
 
 BASE = "http://example.net/"
 PAGES = [
@@ -59,3 +59,10 @@ def test_single_pages_stay(spark):
 def test_words_group_by_the_first_of_a_line(spark):
     words = spark.createDataFrame([("d", 1, 100.0, w, x, t) for w, x, t in [("b", 10.0, 4.0), ("a", 0.0, 0.0), ("c", 0.0, 8.0), ("d", 5.0, 9.0)]], "doc_id string, page_index int, page_height double, text string, x0 double, top double")
     assert [r["line"] for r in documents.group_words(words).orderBy("line_no").collect()] == ["a b", "c d"]
+
+
+def test_queries_in_blocks(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    queries = vectors.where("vec_id < 12").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    one, many = (sorted((r["query_id"], r["rank"], r["vec_id"]) for r in retrieval.cosine_top_k(vectors, queries, 3, block_bytes=size).collect()) for size in (1 << 20, 2000))
+    assert one == many and len(one) == 36
