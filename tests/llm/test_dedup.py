@@ -96,8 +96,7 @@ def test_jaccard_join_is_exact(make_docs, t):
     assert _rows(jj.near_duplicates(make_docs(rows), t, 3)) == _links(want)
 
 
-@pytest.mark.parametrize("t", [0.5, 0.8])
-@pytest.mark.parametrize("more", [{"broadcast_bytes": 0}, {"region_grams": 300}, {"region_grams": 1, "hot_cell": 5}])
+@pytest.mark.parametrize("t, more", [(0.5, {"broadcast_bytes": 0}), (0.8, {"region_grams": 300}), (0.5, {"region_grams": 1, "hot_cell": 5})])
 def test_jaccard_join_in_other_ways(make_docs, monkeypatch, t, more):
     """By shuffles, with regions split again and again, with split cells and with guests in parts."""
     if "hot_cell" in more:
