@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import sys
 from urllib.parse import urlsplit
 
@@ -35,12 +36,17 @@ def _parser() -> argparse.ArgumentParser:
     parse.add_argument("--threshold", type=float, default=0.5, help="share of the pages, or a percentage")
     for p in (one, site, docs, parse):
         p.add_argument("--out", default="out")
+        p.add_argument("--log", help="a file for what was done and what failed; by default standard error")
         p.add_argument("--timeout", type=float, default=30 if p is docs else 20)
     return parser
 
 
+log = logging.getLogger("sievework")
+
+
 def _print(df: DataFrame) -> None:
     for row in df.toJSON().toLocalIterator():
+        log.info(row)
         print(row)
 
 
@@ -51,6 +57,19 @@ def _save(records: DataFrame, folder: str) -> None:
 def main(argv: list[str] | None = None, get: fetch.Fetch | None = None, spark: SparkSession | None = None) -> int:
     """0, or 1 where nothing could be read. ``get`` fetches a URL's bytes."""
     args = _parser().parse_args(argv)
+    handler = logging.FileHandler(args.log, encoding="utf-8") if args.log else logging.StreamHandler()
+    handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+    log.setLevel(logging.INFO if args.log else logging.WARNING)
+    log.addHandler(handler)
+    try:
+        return _run(args, get, spark)
+    finally:
+        log.removeHandler(handler)
+        handler.close()
+
+
+def _run(args: argparse.Namespace, get: fetch.Fetch | None, spark: SparkSession | None) -> int:
+    log.info("%s %s", args.command, getattr(args, "url", None) or args.folder)
     if spark is None:
         builder = SparkSession.builder.appName("sievework")
         spark = builder.master(args.master).getOrCreate() if args.master else builder.getOrCreate()
@@ -60,6 +79,8 @@ def main(argv: list[str] | None = None, get: fetch.Fetch | None = None, spark: S
         records = fetch.scrape(spark.createDataFrame([(args.url,)], "url string"), get).persist()
         _save(records, args.out)
         _print(records.select("source", "title", "page_type", "content_length"))
+        if records.isEmpty():
+            log.error("could not be read: %s", args.url)
         return int(records.isEmpty())
     if args.command == "parse":
         pages = pdfs.pdf_pages(pdfs.pdf_files(spark, args.folder)).persist()
@@ -82,6 +103,8 @@ def main(argv: list[str] | None = None, get: fetch.Fetch | None = None, spark: S
     done, records = fetch.crawl_site(spark, args.url, domain, get, args.max_pages, args.max_depth, on_page)
     if args.command == "crawl":
         _save(records, args.out)
+        for row in done.visited.where("NOT ok").select("url").toLocalIterator():
+            log.error("failed: %s", row["url"])
         _print(done.summary())
         return int(records.isEmpty())
     found = pg.first_seen_pdfs(_union(seen), ("level", "page_url", "pos")).persist() if seen else None

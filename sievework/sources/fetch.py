@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import urllib.request
 from collections.abc import Callable, Iterator
 
@@ -14,6 +15,7 @@ from sievework.operators import pages as pg
 from sievework.operators.crawl import Crawl, advance
 from sievework.sources.tables import materialise
 
+log = logging.getLogger("sievework")
 Fetch = Callable[[str], bytes]
 AGENT = {"User-Agent": "sievework"}
 
@@ -67,7 +69,7 @@ def crawl_site(spark: SparkSession, start: str, domain: str, fetch: Fetch = http
             try:
                 on_page(good.drop("fetch_error"))
             except Exception as e:  # the crawl goes on
-                print(f"on_page failed: {type(e).__name__}: {e}")
+                log.error("on_page failed: %s: %s", type(e).__name__, e)
         records.append(pg.page_records(good.drop("fetch_error"), scraped_at=F.current_timestamp()))
         links = pg.page_links(good.select("url", "page"), domain, scheme)
         return good.select("url"), links.select(F.col("page_url").alias("src"), F.col("link").alias("dst"), urls.is_pdf(F.col("link")).alias("is_pdf"))

@@ -60,8 +60,10 @@ def test_command_lines(spark, tmp_path, capsys):
     saved = json.loads(file.read_text())
     assert saved["title"] == "Page A" and set(saved) == {"title", "content", "source", "content_length", "page_type", "scraped_at"}
     assert main(["scrape", "http://example.net/none", "--out", out], get, spark) == 1
-    assert main(["crawl", "http://example.net", "--out", str(tmp_path / "site"), "--max-depth", "1", "--show-links"], get, spark) == 0
-    assert len(list((tmp_path / "site").glob("*.json"))) == 3 and '"pages_crawled":3' in capsys.readouterr().out
+    assert main(["crawl", "http://example.net", "--out", str(tmp_path / "site"), "--max-depth", "2", "--show-links", "--log", str(tmp_path / "log")], get, spark) == 0
+    logged = (tmp_path / "log").read_text()
+    assert "crawl http://example.net" in logged and "ERROR failed: http://example.net/missing" in logged and '"pages_crawled":5' in logged
+    assert len(list((tmp_path / "site").glob("*.json"))) == 4 and '"pages_crawled":5' in capsys.readouterr().out
     assert main(["pdfs", "http://example.net", "--out", str(tmp_path / "pdfs"), "--download"], get, spark) == 0
     assert [p.read_bytes() for p in (tmp_path / "pdfs" / "files").glob("*.pdf")] == [b"%PDF bytes"]
     assert len(list((tmp_path / "pdfs" / "metadata").glob("*.json"))) == 2
