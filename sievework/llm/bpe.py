@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grams as G
-from .common import ragged, tokenizer_dir
+from .common import frugal, ragged, tokenizer_dir
 
 U64 = np.uint64
 VOCABULARY = "byte_bpe_50k.tiktoken"
-ROWS_OUT = 2_000
+ROWS_OUT = 1_000
+BLOCK = 1 << 18
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 
 
@@ -90,7 +91,9 @@ class Vocabulary:
         return ((keys * U64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Rank of each pair, -1 where it doesn't merge."""
+        """Rank of each pair, -1 where it doesn't merge; looked up in blocks, for memory."""
+        if len(left) > BLOCK:
+            return np.concatenate([self.pair_rank(left[a : a + BLOCK], right[a : a + BLOCK]) for a in range(0, len(left), BLOCK)])
         keys = (left.astype(np.uint64) << U64(32)) | right.astype(np.uint64)
         at = self._slot(keys)
         out = np.full(len(keys), -1, np.int32)
@@ -170,8 +173,9 @@ def encode_pieces(data: np.ndarray, offsets: np.ndarray, v: Vocabulary) -> tuple
     inside = np.flatnonzero(following >= 0).astype(np.int32)
     rank = v.pair_rank(symbol[inside], symbol[following[inside]])
     inside, rank = inside[rank >= 0], rank[rank >= 0]
-    o = np.argsort(rank, kind="stable")
+    o = np.argsort(rank, kind="stable").astype(np.int32)
     inside, rank = inside[o], rank[o]
+    del o
     cuts = np.flatnonzero(np.diff(rank, prepend=-1))
     index: dict[int, list[np.ndarray]] = {int(rank[a]): [inside[a:b]] for a, b in zip(cuts, np.append(cuts[1:], len(rank)))}
     active = list(index)
@@ -294,7 +298,7 @@ def encode(docs: DataFrame, vocabulary_file: str = VOCABULARY, folder: str | Non
     """
     path = f"{tokenizer_dir(folder)}/{vocabulary_file}"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_encode(path, "long"), "doc_id long, tokens array<int>")
+    return rows.mapInArrow(frugal(_encode(path, "long")), "doc_id long, tokens array<int>")
 
 
 def _decode(path: str, keep: bool):
@@ -326,5 +330,5 @@ def decode(tokens: DataFrame, vocabulary_file: str = VOCABULARY, folder: str | N
     path = f"{tokenizer_dir(folder)}/{vocabulary_file}"
     kept = ["tokens"] if keep_tokens else []
     schema = ", ".join(["doc_id long", *(f"{c} array<int>" for c in kept), "raw binary"])
-    raw = tokens.select("doc_id", "tokens").mapInArrow(_decode(path, keep_tokens), schema)
+    raw = tokens.select("doc_id", "tokens").mapInArrow(frugal(_decode(path, keep_tokens)), schema)
     return raw.select("doc_id", *kept, F.decode("raw", "utf-8").alias("text"))
