@@ -11,7 +11,9 @@ from .common import cut
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges(a, b): root is the smallest id it is connected to.
 
-    Nodes that are their own root are left out. Large-star and small-star steps
+    Nodes that are their own root are left out, and so are edges from a node to
+    itself and those with a null end; repeated edges, in either direction, are
+    one. No edges give no rows. Large-star and small-star steps
     alternate until nothing changes; a node's edges are reduced by min(), never
     collected, so a hub with many neighbours is no problem.
     """

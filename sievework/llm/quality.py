@@ -149,8 +149,9 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     """(doc_id, host, path, evidence, host_posterior, path_posterior, quality, keep) of every row.
 
     A null host or path is the site "". Null and empty texts count as texts
-    without words. Ids may be null or repeat; other columns are ignored; an
-    empty table gives no rows. Documents are read once: their evidence is kept
+    without words; texts of any length are read whole. A quality that equals
+    the threshold is kept. Ids may be null or repeat; other columns are
+    ignored; an empty table gives no rows. Documents are read once: their evidence is kept
     as a narrow table, and site posteriors are joined to it.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
