@@ -124,8 +124,9 @@ def region_candidates(words: DataFrame, top_part: float = 0.15, bottom_part: flo
     zones = F.array_compact(F.array(F.when(F.col("top") <= top_part * F.col("page_height"), "header"), F.when(low >= (1 - bottom_part) * F.col("page_height"), "footer")))
     zoned = words.where("page_height > 0").withColumn("zone", F.explode(zones))
     lines = group_words(zoned, tolerance, ("doc_id", "page_index", "zone"))
-    rows = lines.select("doc_id", "page_index", "zone", "line_no", F.col("line").alias("raw_text"), tx.token_set(F.col("line")).alias("tokens"))
-    return rows.where(~tx.never_remove(F.col("raw_text")) & (F.size("tokens") >= 2) & ~tx.looks_like_syllabus(F.col("tokens")))
+    # Generated, so that the filter on the tokens doesn't work them out again.
+    rows = lines.where(~tx.never_remove(F.col("line"))).select("doc_id", "page_index", "zone", "line_no", F.col("line").alias("raw_text"), F.explode(F.array(tx.token_set(F.col("line")))).alias("tokens"))
+    return rows.where((F.size("tokens") >= 2) & ~tx.looks_like_syllabus(F.col("tokens")))
 
 
 CLUSTERS = "doc_id string, zone string, cluster int, pages array<int>, core array<string>, variants map<string,int>"
@@ -213,7 +214,8 @@ def window_lines(pages: DataFrame, first: int = 10, last: int = 5) -> DataFrame:
 
 def removed_lines(pages: DataFrame, patterns: DataFrame) -> DataFrame:
     """(doc_id, page, line_no, label): lines in a window that a pattern of their zone takes away, the first pattern's label."""
-    own = window_lines(pages).withColumn("line", tx.strip(F.col("line"))).withColumn("own", tx.token_set(F.col("line"))).where((F.size("own") >= 2) & ~tx.never_remove(F.col("line")))
+    lines = window_lines(pages).withColumn("line", tx.strip(F.col("line"))).where(~tx.never_remove(F.col("line")))
+    own = lines.select("doc_id", "page", "line_no", "zone", F.explode(F.array(tx.token_set(F.col("line")))).alias("own")).where(F.size("own") >= 2)
     pats = patterns.select("doc_id", "zone", "label", "tokens", "ord")
     # Similar sets share a token: an equi-join on it, then the test itself.
     by_token = own.select("doc_id", "page", "line_no", "zone", "own", F.explode("own").alias("token"))
