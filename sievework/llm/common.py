@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -43,6 +44,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle and checkpoint files of what is no longer referred to; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df, which is materialised and has rows of this width, marked for broadcast where it is no larger than ``limit``."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df

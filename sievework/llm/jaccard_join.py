@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grams as G
-from .common import BROADCAST_BYTES, cut, frugal, partitions, planes, small, unplanes
+from .common import BROADCAST_BYTES, cut, frugal, partitions, planes, small, tidy, unplanes
 from .components import components
 
 U64 = np.uint64
@@ -46,8 +46,10 @@ HOT_CELL = 200_000
 FLUSH = 1_000_000
 BLOCK = 512
 FOUND_ROWS, FOUND_LISTS = 1 << 16, 256
-SKETCH_PARTS = 64
 STEPS = 8
+#: Bits, and bytes, of the hashes by which n-grams are counted; texts from which on an n-gram is a frequent one.
+COUNT_BITS, COUNT_BYTES = 40, 5
+FREQUENT = 4
 #: Home n-grams of a region, and guests, that one task takes.
 REGION_GRAMS, REGION_GUESTS = 2_000_000, 20_000
 PIVOTS, DEPTH = 64, 6
@@ -68,31 +70,19 @@ def node_names(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-PROFILE = "id long, node long, size int, part int, counts binary"
+PROFILE = "id long, node long, size int"
 
 
-def _profile(n: int, bits: int) -> Callable:
-    """(id, node, size) of every text, and how many texts of the task hold an n-gram of each hash bucket, by part of the buckets."""
+def _profile(n: int) -> Callable:
+    """(id, node, size) of every text with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.uint32)
-        seen = False
         for batch in batches:
             for a, b, data, offsets in G.text_chunks(batch):
                 grams, bounds = G.gram_sets(data, offsets, n)
                 sizes = np.diff(bounds)
                 keep = pa.array(sizes > 0)
-                k = int((sizes > 0).sum())
-                if k:
-                    seen = True
-                    bucket, count = np.unique(grams >> U64(G.GRAM_BITS - bits), return_counts=True)
-                    total[bucket.astype(np.int64)] += count.astype(np.uint32)
-                    own = [batch.column(0).slice(a, b - a).filter(keep), pa.array(node_names(grams, bounds)).filter(keep), pa.array(sizes.astype(np.int32)).filter(keep)]
-                    yield pa.RecordBatch.from_arrays([*own, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], ["id", "node", "size", "part", "counts"])
-        if seen:
-            logs = np.minimum(255, np.rint(np.log2(total + 1.0) * STEPS)).astype(np.uint8).reshape(SKETCH_PARTS, -1)
-            none = pa.nulls(SKETCH_PARTS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none.cast(pa.int32()), pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in logs], pa.binary())], ["id", "node", "size", "part", "counts"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).filter(keep), pa.array(node_names(grams, bounds)).filter(keep), pa.array(sizes.astype(np.int32)).filter(keep)], ["id", "node", "size"])
 
     return run
 
@@ -100,28 +90,93 @@ def _profile(n: int, bits: int) -> Callable:
 _COUNT_OF = (2.0 ** (np.arange(256) / STEPS) - 1).astype(np.float32)
 
 
-def _sum_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    totals: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            x = _COUNT_OF[np.frombuffer(zlib.decompress(blob), np.uint8)]
-            totals[part] = totals[part] + x if part in totals else x
-    if totals:
-        logs = [np.minimum(255, np.rint(np.log2(x + 1.0) * STEPS)).astype(np.uint8).tobytes() for x in totals.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(logs, pa.binary())], ["part", "counts"])
+def _edges(bits: int, ranges: int) -> np.ndarray:
+    """Where the ranges of the 2**bits hash slots begin, and the end."""
+    return (np.arange(ranges + 1) << bits) // ranges
+
+
+def _hashes(n: int, bits: int, ranges: int) -> Callable:
+    """The upper 40 bits of all n-grams' hashes, sorted and as differences, by range of slots."""
+    edges = _edges(bits, ranges).astype(np.uint64) << U64(COUNT_BITS - bits)
+
+    def pack(held: list[np.ndarray]) -> pa.RecordBatch:
+        own = np.concatenate(held)
+        own.sort()
+        cuts = np.searchsorted(own, edges)
+        keys, blobs = [], []
+        for r in np.flatnonzero(np.diff(cuts)):
+            keys.append(int(r))
+            part = own[cuts[r] : cuts[r + 1]]
+            blobs.append(planes(np.diff(part, prepend=edges[r]))[: COUNT_BYTES * len(part)])
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            for _, _, data, offsets in G.text_chunks(batch):
+                grams, _ = G.gram_sets(data, offsets, n)
+                held.append(grams >> U64(G.GRAM_BITS - COUNT_BITS))
+                count += len(grams)
+                if count >= 2 * FLUSH:
+                    yield pack(held)
+                    held, count = [], 0
+        if count:
+            yield pack(held)
+
+    return run
+
+
+def _count_hashes(bits: int, ranges: int) -> Callable:
+    """(part, counts): for each slot of a range the logarithm of the largest count of an n-gram in it, 0 under FREQUENT; rows come sorted by part."""
+    edges = _edges(bits, ranges)
+
+    def counted_range(r: int, blobs: list[bytes]) -> tuple[int, bytes]:
+        own = []
+        for blob in blobs:
+            wide = blob + bytes(len(blob) // COUNT_BYTES * (8 - COUNT_BYTES))
+            own.append(np.cumsum(unplanes(wide, "u8"), dtype=np.uint64) + (U64(edges[r]) << U64(COUNT_BITS - bits)))
+        grams = np.concatenate(own)
+        own.clear()
+        grams.sort()
+        first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+        counts = np.diff(np.append(first, len(grams)))
+        some = counts >= FREQUENT
+        slots = (grams[first[some]] >> U64(COUNT_BITS - bits)).astype(np.int64) - edges[r]
+        out = np.zeros(edges[r + 1] - edges[r], np.uint8)
+        np.maximum.at(out, slots, np.minimum(255, np.rint(np.log2(counts[some] + 1.0) * STEPS)).astype(np.uint8))
+        return r, zlib.compress(out.tobytes(), 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, blobs, out = None, [], []
+        for (key,), rows in _runs(batches, 1):
+            if key != at and blobs:
+                out.append(counted_range(at, blobs))
+                blobs = []
+            at = key
+            blobs += rows.column(1).to_pylist()
+        if blobs:
+            out.append(counted_range(at, blobs))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int32()), pa.array([c for _, c in out], pa.binary())], ["part", "counts"])
 
+    return run
 
-def gram_ranks(profile: DataFrame, bits: int) -> np.ndarray:
-    """For every hash bucket the logarithm of its count of texts, 2**bits bytes.
+
+def gram_ranks(texts: DataFrame, n: int, bits: int) -> np.ndarray:
+    """For every slot of n-gram hashes the logarithm of the largest count of texts of its n-grams, 2**bits bytes.
 
     It ranks n-grams, rarest first, and tells which cells need splitting; any
-    ranking gives the same pairs.
+    ranking gives the same pairs. N-grams are counted one by one: sums by slot
+    would grow with the table, until windows fill with n-grams that many
+    unrelated texts share and cells with their pairs.
     """
-    rows = profile.where("part IS NOT NULL").select("part", "counts").repartition(min(SKETCH_PARTS, partitions(profile.sparkSession)), "part").mapInArrow(frugal(_sum_sketch), "part int, counts binary").collect()
-    out = np.zeros((SKETCH_PARTS, (1 << bits) // SKETCH_PARTS), np.uint8)
-    for row in rows:
-        out[row["part"]] = np.frombuffer(row["counts"], np.uint8)
-    return out.ravel()
+    parts = partitions(texts.sparkSession)
+    ranges = min(parts, 1 << bits)
+    hashes = texts.mapInArrow(frugal(_hashes(n, bits, ranges)), "part int, blob binary").repartition(parts, "part").sortWithinPartitions("part")
+    out, edges = np.zeros(1 << bits, np.uint8), _edges(bits, ranges)
+    for row in hashes.mapInArrow(frugal(_count_hashes(bits, ranges)), "part int, counts binary").collect():
+        out[edges[row["part"]] : edges[row["part"] + 1]] = np.frombuffer(zlib.decompress(row["counts"]), np.uint8)
+    return out
 
 
 def extra_cells(sizes: np.ndarray) -> np.ndarray:
@@ -189,7 +244,34 @@ def places_fit(sa: np.ndarray, pa_: np.ndarray, sb: np.ndarray, pb: np.ndarray,
     return 1 + np.minimum(sa - pa_ - 1, sb - pb - 1) >= t / (1 + t) * (sa + sb) - EPS
 
 
-FOUND = "kind int, x long, p long, votes long, need int, fits boolean, h long, ids array<long>, sizes array<int>"
+def largest_partners(sizes: np.ndarray, places: np.ndarray, t: float) -> np.ndarray:
+    """The largest size of a set that can reach J >= t with one of these, where an n-gram at these places is among the first that they share.
+
+    By the cells that a window guarantees, a pair's i-th common element leaves
+    i - 1 + min(|x| - place of x, |y| - place of y) common ones at most.
+    """
+    sizes = sizes.astype(np.int64)
+    return np.floor((sizes - places + extra_cells(sizes)) * ((1 + t) / t) + 1e-6).astype(np.int64) - sizes
+
+
+def has_partner(sizes: np.ndarray, caps: np.ndarray, t: float) -> np.ndarray:
+    """Whether some set of the cell, be it the same one, has a fitting size and neither one's size is beyond the other's cap."""
+    order = np.argsort(sizes, kind="stable")
+    s, c = sizes[order].astype(np.int64), caps[order]
+    lo = np.searchsorted(s, np.ceil(t * s - EPS).astype(np.int64))
+    hi = np.searchsorted(s, np.minimum(c, np.floor(s / t + EPS).astype(np.int64)), "right")
+    most, out, width = c, np.zeros(len(s), bool), 1
+    while width <= len(s):  # most[k]: the largest cap of width sets from k on
+        own = (hi - lo >= width) & (hi - lo < 2 * width)
+        out[own] = np.maximum(most[lo[own]], most[hi[own] - width]) >= s[own]
+        most, width = np.maximum(most[: max(0, len(most) - width)], most[width:]), 2 * width
+    back = np.zeros(len(s), bool)
+    back[order] = out
+    return back
+
+
+FOUND = "kind int, x long, p long, votes long, need int, fits boolean, h long, ids array<long>, sizes array<int>, caps array<long>"
+FOUND_NAMES = [c.split()[0] for c in FOUND.split(", ")]
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
@@ -213,17 +295,18 @@ def _cells(t: float, hot: int) -> Callable:
     Works bucket by bucket; rows come sorted by bucket. All cells of a pair
     count where none of them is a larger one; pairs that meet in a larger one
     are found by its members. Parts of a split cell name their lists alike.
+    Members without a partner in the cell, by sizes and places, are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: list[tuple[np.ndarray, ...]] = []
-        lists: dict[tuple[int, bytes], tuple[np.ndarray, np.ndarray]] = {}
+        lists: dict[tuple[int, bytes], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         held = listed = 0
 
         def meet(node, sizes, pos, i: np.ndarray, j: np.ndarray) -> None:
             nonlocal held
             sa, sb = sizes[i].astype(np.int64), sizes[j].astype(np.int64)
-            ok = (node[i] != node[j]) & sizes_fit(sa, sb, t)
+            ok = (node[i] != node[j]) & sizes_fit(sa, sb, t) & (sb <= largest_partners(sa, pos[i], t)) & (sa <= largest_partners(sb, pos[j], t))
             i, j, sa, sb = i[ok], j[ok], sa[ok], sb[ok]
             pairs.append((np.maximum(node[i], node[j]), np.minimum(node[i], node[j]), np.ones(len(i), np.int64), 1 + extra_cells(np.minimum(sa, sb)), places_fit(sa, pos[i], sb, pos[j], t)))
             held += len(i)
@@ -255,12 +338,19 @@ def _cells(t: float, hot: int) -> Callable:
             for s, c, apart in zip(starts[large], counts[large], split[large]):
                 o = np.arange(s, s + c)
                 meet(node, sizes, pos, o[1:], np.full(len(o) - 1, s))
-                own = node[s : s + c]
+                own, size, caps = node[s : s + c], sizes[s : s + c], largest_partners(sizes[s : s + c], pos[s : s + c], t)
+                if not apart:
+                    some = has_partner(size, caps, t)
+                    own, size, caps = own[some], size[some], caps[some]
+                    if len(own) < 2:
+                        continue
                 name = G.mix(cell[s : s + 1] + U64(7)) if apart else np.bitwise_xor.reduce(G.mix(own.view(np.uint64) + G.mix(np.arange(len(own), dtype=np.uint64))), keepdims=True)
-                key = (int(name.view(np.int64)[0]), own.tobytes() if apart else b"")
+                key = (int(name.view(np.int64)[0]), own.tobytes() + size.tobytes())
                 if key not in lists:
-                    lists[key] = own.copy(), sizes[s : s + c].copy()
+                    lists[key] = own.copy(), size.copy(), caps
                     listed += len(own)
+                else:
+                    np.maximum(lists[key][2], caps, out=lists[key][2])
 
         def merged() -> tuple[np.ndarray, ...]:
             x, p, votes, need, fit = (np.concatenate(v) for v in zip(*pairs))
@@ -277,15 +367,15 @@ def _cells(t: float, hot: int) -> Callable:
             for a in range(0, len(x), FOUND_ROWS):
                 b = min(a + FOUND_ROWS, len(x))
                 k = b - a
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.array(x[a:b]), pa.array(p[a:b]), pa.array(votes[a:b]), pa.array(need[a:b].astype(np.int32)), pa.array(fit[a:b]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.int32()))], ["kind", "x", "p", "votes", "need", "fits", "h", "ids", "sizes"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.array(x[a:b]), pa.array(p[a:b]), pa.array(votes[a:b]), pa.array(need[a:b].astype(np.int32)), pa.array(fit[a:b]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.int32())), pa.nulls(k, pa.list_(pa.int64()))], FOUND_NAMES)
 
         def emit_lists() -> Iterator[pa.RecordBatch]:
-            rows = [(h, a, s) for (h, _), (a, s) in lists.items()]
+            rows = [(h, *x) for (h, _), x in lists.items()]
             for at in range(0, len(rows), FOUND_LISTS):
                 part = rows[at : at + FOUND_LISTS]
                 k = len(part)
                 none = pa.nulls(k, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), none, none, none, none.cast(pa.int32()), pa.nulls(k, pa.bool_()), pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.list_(pa.int64())), pa.array([r[2] for r in part], pa.list_(pa.int32()))], ["kind", "x", "p", "votes", "need", "fits", "h", "ids", "sizes"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), none, none, none, none.cast(pa.int32()), pa.nulls(k, pa.bool_()), pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.list_(pa.int64())), pa.array([r[2] for r in part], pa.list_(pa.int32())), pa.array([r[3] for r in part], pa.list_(pa.int64()))], FOUND_NAMES)
 
         at, blobs = None, []
 
@@ -335,10 +425,10 @@ def _routes(found: DataFrame, t: float) -> DataFrame:
     apart = sides.where("x_home <> p_home AND x_home <> p")
     low = F.col("x_home") < F.col("p_home")
     guests = apart.select(F.when(low, F.col("p")).otherwise(F.col("x")).alias("id"), F.least("x_home", "p_home").alias("region"))
-    members = found.where("kind = 1").select("h", F.explode(F.arrays_zip("ids", "sizes")).alias("m")).select("h", F.col("m.ids").alias("x"), F.col("m.sizes").alias("size")).distinct()
+    members = found.where("kind = 1").select("h", F.explode(F.arrays_zip("ids", "sizes", "caps")).alias("m")).groupBy("h", F.col("m.ids").alias("x"), F.col("m.sizes").alias("size")).agg(F.max("m.caps").alias("cap"))
     members = members.join(of("x"), "x", "left").withColumn("x_home", F.coalesce("x_home", "x"))
-    regions = members.groupBy("h", F.col("x_home").alias("region")).agg(F.min("size").alias("least"), F.max("size").alias("most"))
-    many = members.join(regions, "h").where((F.col("x_home") > F.col("region")) & (F.col("size") >= t * F.col("least") - EPS) & (F.col("size") * t <= F.col("most") + EPS))
+    regions = members.groupBy("h", F.col("x_home").alias("region")).agg(F.min("size").alias("least"), F.max("size").alias("most"), F.max("cap").alias("most_cap"))
+    many = members.join(regions, "h").where((F.col("x_home") > F.col("region")) & (F.col("size") >= t * F.col("least") - EPS) & (F.col("size") * t <= F.col("most") + EPS) & (F.col("size") <= F.col("most_cap")) & (F.col("least") <= F.col("cap")))
     guests = guests.unionByName(many.select(F.col("x").alias("id"), "region"))
     routes = home.select(F.col("x").alias("id"), F.col("home").alias("region"), F.lit(1).alias("role")).unionByName(guests.select("id", "region", F.lit(0).alias("role")))
     routes = routes.unionByName(routes.select(F.col("region").alias("id"), "region", F.lit(2).alias("role")))
@@ -676,7 +766,7 @@ def split_regions(routes: DataFrame, texts: DataFrame, n: int, t: float, most: i
 
 def _classes(profile: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, node) of each document, and (node, id, copies, size) with the smallest id of each node's documents."""
-    own = cut(profile.where("part IS NULL").groupBy("id").agg(F.max(F.struct("size", "node")).alias("s")).select("id", "s.node", "s.size"))
+    own = cut(profile.groupBy("id").agg(F.max(F.struct("size", "node")).alias("s")).select("id", "s.node", "s.size"))
     return own.select("id", "node"), cut(own.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("size").alias("size")))
 
 
@@ -684,15 +774,16 @@ def _joined(docs: DataFrame, t: float, n: int, id_col: str, text_col: str, emit:
     """(id, node), (node, id, copies, size) and the joined regions' RESULTS."""
     spark = docs.sparkSession
     texts = _lowered(docs, id_col, text_col)
-    profile = cut(texts.mapInArrow(frugal(_profile(n, sketch_bits)), PROFILE))
-    own, classes = _classes(profile)
-    ranks = spark.sparkContext.broadcast(gram_ranks(profile, sketch_bits))
+    own, classes = _classes(texts.mapInArrow(frugal(_profile(n)), PROFILE))
     parts = partitions(spark)
     # A node's further copies have nothing to add.
     more = cut(own.join(classes.where("copies > 1").select("node", F.col("id").alias("first")), "node").where("id <> first").select("id"))
     texts = texts.join(small(more, 8, limit), "id", "left_anti")
+    ranks = spark.sparkContext.broadcast(gram_ranks(texts, n, sketch_bits))
+    tidy(spark)
     packed = texts.mapInArrow(frugal(_signatures(n, t, sketch_bits, ranks, 8 * parts, hot)), "bucket int, blob binary")
     found = cut(packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(frugal(_cells(t, hot)), FOUND))
+    tidy(spark)
     routes = _routes(found, t).join(classes, "id").withColumn("base", F.col("region"))
     routes = split_regions(cut(routes), texts, n, t, most, limit)
     # Guests of a region beyond a task's number go to parts, each with the home nodes.
@@ -704,7 +795,7 @@ def _joined(docs: DataFrame, t: float, n: int, id_col: str, text_col: str, emit:
     return own, classes, rows.mapInArrow(frugal(_join_regions(t, emit)), RESULTS[emit])
 
 
-def jaccard_pairs(docs: DataFrame, threshold: float = 0.7, n: int = 3, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = 22, broadcast_bytes: int = BROADCAST_BYTES, region_grams: int = REGION_GRAMS, hot_cell: int = HOT_CELL) -> tuple[DataFrame, DataFrame]:
+def jaccard_pairs(docs: DataFrame, threshold: float = 0.7, n: int = 3, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = 24, broadcast_bytes: int = BROADCAST_BYTES, region_grams: int = REGION_GRAMS, hot_cell: int = HOT_CELL) -> tuple[DataFrame, DataFrame]:
     """(doc_a < doc_b, jaccard) of representatives, and the membership (doc_id, representative).
 
     Documents of equal n-gram sets are represented by the smallest id among
@@ -714,7 +805,7 @@ def jaccard_pairs(docs: DataFrame, threshold: float = 0.7, n: int = 3, id_col: s
     return pairs, own.join(classes.select("node", F.col("id").alias("representative")), "node").select(F.col("id").alias("doc_id"), "representative")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.7, n: int = 3, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = 22, broadcast_bytes: int = BROADCAST_BYTES, region_grams: int = REGION_GRAMS, hot_cell: int = HOT_CELL) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.7, n: int = 3, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = 24, broadcast_bytes: int = BROADCAST_BYTES, region_grams: int = REGION_GRAMS, hot_cell: int = HOT_CELL) -> DataFrame:
     """(doc_id, class_id, links): one row for each document that has a near copy.
 
     ``links`` is the number of other documents whose word n-gram sets have a

@@ -118,6 +118,31 @@ def test_hot_group_of_near_copies(make_docs):
     assert len(want) >= 120 * 119 / 2
 
 
+def test_a_shared_passage_sends_no_text_about(make_docs, monkeypatch):
+    """Short texts with a passage in common, too short for a link: none but the two near copies is routed to a region."""
+    passage = " ".join(f"p{k}" for k in range(13))
+    rows = [(k, " ".join(f"u{k}x{i}" for i in range(10)) + " " + passage) for k in range(300)]
+    rows.append((900, rows[7][1] + " end"))
+    sent, with_sets = [], jj._with_sets
+
+    def recorded(texts, routes, *more):
+        sent.append(routes.count())
+        return with_sets(texts, routes, *more)
+
+    monkeypatch.setattr(jj, "_with_sets", recorded)
+    assert _rows(jj.near_duplicates(make_docs(rows), 0.5, 3)) == _links(brute.jaccard_pairs(rows, 0.5, 3)) == {(7, 7, 1), (900, 7, 1)}
+    assert sum(sent) <= 4
+
+
+def test_members_with_partners_stay():
+    rng = np.random.default_rng(6)
+    for t in (0.5, 0.8):
+        sizes = rng.integers(1, 130, 200)
+        caps = jj.largest_partners(sizes, (rng.random(200) * jj.window_lengths(sizes, t)).astype(np.int64), t)
+        fits = jj.sizes_fit(sizes[:, None], sizes[None, :], t) & (sizes[None, :] <= caps[:, None]) & (sizes[:, None] <= caps[None, :])
+        assert (jj.has_partner(sizes, caps, t) == fits.any(axis=1)).all() and 0 < fits.any(axis=1).sum() < 200
+
+
 @pytest.mark.parametrize("extra", [False, True])
 def test_jaccard_edges(make_docs, edge_rows, extra):
     docs = make_docs(edge_rows, extra)
