@@ -17,8 +17,9 @@ told apart before their sets travel.
 
 Inside the cells nodes are the pivots: a node's home is the Voronoi region of
 the node it meets most often as its cells' smallest. Nodes that meet a home
-member of another region are replicated to the smaller of the two regions. A
-region with more n-grams than a task should hold is split by new pivots among
+member of another region are replicated to the smaller of the two regions,
+unless sketches, counts of hashed n-grams that bound intersections from above,
+tell that they reach J >= t with none of its home members. A region with more n-grams than a task should hold is split by new pivots among
 its members: each goes to the nearest, exact distances and the triangle
 inequality say into which other regions it is replicated, and regions still
 too large are split again. A region's home members are then joined exactly
@@ -53,6 +54,8 @@ FREQUENT = 4
 #: Home n-grams of a region, and guests, that one task takes.
 REGION_GRAMS, REGION_GUESTS = 2_000_000, 20_000
 PIVOTS, DEPTH = 64, 6
+#: Fewest slots of a sketch, the largest count it may hold, and the groups of home members whose sketches are compared as one each.
+SKETCH_SLOTS, SKETCH_COUNT, SKETCH_GROUPS = 64, 60, 64
 
 
 def _lowered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -488,10 +491,125 @@ def _with_sets(texts: DataFrame, routes: DataFrame, n: int, limit: int) -> DataF
         local = routes.orderBy("id").toArrow()
         held = spark.sparkContext.broadcast({c: local.column(c).to_numpy() for c in ROUTED})
         return texts.mapInArrow(frugal(_routed_sets(n, held)), SETS)
-    needed = texts.join(routes.select("id").distinct(), "id", "left_semi")
+    needed = texts.join(small(cut(routes.select("id").distinct()), 8, limit), "id", "left_semi")
     return needed.mapInArrow(frugal(_sets(n)), "id long, node long, grams binary").join(routes, ["id", "node"]).select(*ROUTED, "grams")
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """How many n-grams fall into each of 2**k slots, at least as many as n-grams; empty where a count is too large for it."""
+    slots = max(SKETCH_SLOTS, 1 << (len(grams) - 1).bit_length())
+    counts = np.bincount((grams & U64(slots - 1)).astype(np.int64), minlength=slots)
+    return counts.astype(np.uint8) if counts.max() <= SKETCH_COUNT else np.zeros(0, np.uint8)
+
+
+def folded(sketches: np.ndarray, slots: int) -> np.ndarray:
+    """The sketches in rows, as they are with fewer slots."""
+    while sketches.shape[1] > slots:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] + sketches[:, half:]
+    return sketches
+
+
+def _sketches(n: int) -> Callable:
+    """(id, node, size, sketch) of every text with words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in G.text_chunks(batch):
+                grams, bounds = G.gram_sets(data, offsets, n)
+                blobs = [zlib.compress(sketch(grams[s:e]).tobytes(), 1) if e > s else b"" for s, e in zip(bounds[:-1], bounds[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(node_names(grams, bounds)), pa.array(np.diff(bounds).astype(np.int32)), pa.array(blobs, pa.binary())], ["id", "node", "size", "sketch"])
+
+    return run
+
+
+class Homes:
+    """Sketches of a region's home members, to tell which other nodes may be near one of them."""
+
+    def __init__(self, rows: list[tuple[int, bytes]], t: float):
+        self.t, self.any, self.by = t, False, []
+        own: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for size, blob in rows:
+            counts = np.frombuffer(zlib.decompress(blob), np.uint8)
+            self.any |= not len(counts)
+            own.setdefault(len(counts), []).append((size, counts))
+        for slots, held in own.items():
+            held.sort(key=lambda x: x[0])
+            starts = np.arange(0, len(held), -(-len(held) // SKETCH_GROUPS))
+            sizes = np.array([x[0] for x in held], np.int64)
+            most = sizes[np.append(starts[1:], len(held)) - 1]
+            self.by.append((sizes[starts], most, {slots: np.maximum.reduceat(np.stack([x[1] for x in held]), starts, axis=0)}))
+
+    def may_reach(self, size: int, blob: bytes) -> bool:
+        """Whether J >= t with a home member can't be ruled out; ``any``: some member has no sketch."""
+        counts = np.frombuffer(zlib.decompress(blob), np.uint8)
+        if self.any or not len(counts):
+            return True
+        for least, most, at in self.by:
+            fits = (size >= self.t * least - EPS) & (size * self.t <= most + EPS)
+            if not fits.any():
+                continue
+            slots = min(len(counts), max(at))
+            if slots not in at:
+                at[slots] = folded(at[max(at)].astype(np.uint16), slots)
+            own = folded(counts[None, :].astype(np.uint16), slots)
+            both = np.minimum(at[slots][fits], own).sum(axis=1, dtype=np.int64)
+            if (both >= self.t / (1 + self.t) * (size + least[fits]) - EPS).any():
+                return True
+        return False
+
+
+def _likely(t: float) -> Callable:
+    """(region, id) of the guests that may reach a home member; rows come sorted by region and part, home members first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows, homes = None, [], None
+        for key, run_ in _runs(batches, 2):
+            if key != at:
+                at, rows, homes = key, [], None
+            kept = []
+            for role, name, size, blob in zip(*(c.to_pylist() for c in run_.columns[2:])):
+                if role:
+                    rows.append((size, blob))
+                    continue
+                if homes is None:
+                    homes = Homes(rows, t)
+                    rows = []
+                if homes.may_reach(size, blob):
+                    kept.append(name)
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(kept), pa.int64()), pa.array(kept, pa.int64())], ["region", "id"])
+
+    return run
+
+
+def _spread(routes: DataFrame) -> DataFrame:
+    """routes with ``part``: guests of a region beyond a task's number go to parts, each with the home nodes."""
+    guests = routes.groupBy("region").agg(F.count_if(F.col("role") == 0).alias("guests")).where(F.col("guests") > REGION_GUESTS)
+    salted = routes.join(guests, "region", "left").withColumn("salts", F.ceil(F.coalesce("guests", F.lit(1)) / REGION_GUESTS).cast("int"))
+    spread = F.when(F.col("role") > 0, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), "salts").cast("int")))
+    return salted.withColumn("part", F.explode(spread))
+
+
+def likely_guests(routes: DataFrame, texts: DataFrame, n: int, t: float, limit: int) -> DataFrame:
+    """routes without the guests which no home member of their region can be near, by their sketches.
+
+    Frequent n-grams bring unrelated texts together. A sketch is smaller than
+    a set, and never counts less than two sets share, so no link is lost.
+    """
+    parts = partitions(texts.sparkSession)
+    some = routes.where("role = 0").select("region").distinct()
+    own = cut(_spread(routes.join(some, "region", "left_semi")).select("region", "part", "role", "id", "node"))
+    if own.isEmpty():
+        return routes
+    needed = texts.join(small(cut(own.select("id").distinct()), 8, limit), "id", "left_semi")
+    made = needed.mapInArrow(frugal(_sketches(n)), "id long, node long, size int, sketch binary")
+    rows = made.join(small(own, 40, limit), ["id", "node"]).select("region", "part", "role", "id", "size", "sketch")
+    rows = rows.repartition(parts, "region", "part").sortWithinPartitions("region", "part", F.desc("role"))
+    kept = cut(rows.mapInArrow(frugal(_likely(t)), "region long, id long").distinct())
+    return cut(routes.where("role > 0").unionByName(routes.where("role = 0").join(small(kept, 16, limit), ["region", "id"], "left_semi")))
+
+
 def _unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """n-grams of sets, one after the other, and their sizes."""
     sizes = np.array([len(b) // 6 for b in blobs], np.int64)
@@ -785,12 +903,10 @@ def _joined(docs: DataFrame, t: float, n: int, id_col: str, text_col: str, emit:
     found = cut(packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(frugal(_cells(t, hot)), FOUND))
     tidy(spark)
     routes = _routes(found, t).join(classes, "id").withColumn("base", F.col("region"))
-    routes = split_regions(cut(routes), texts, n, t, most, limit)
-    # Guests of a region beyond a task's number go to parts, each with the home nodes.
-    guests = routes.groupBy("region").agg(F.count_if(F.col("role") == 0).alias("guests")).where(F.col("guests") > REGION_GUESTS)
-    salted = routes.join(guests, "region", "left").withColumn("salts", F.ceil(F.coalesce("guests", F.lit(1)) / REGION_GUESTS).cast("int"))
-    spread = F.when(F.col("role") > 0, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), "salts").cast("int")))
-    sets = _with_sets(texts, cut(salted.withColumn("part", F.explode(spread)).select(*ROUTED)), n, limit)
+    routes = likely_guests(cut(routes), texts, n, t, limit)
+    tidy(spark)
+    routes = split_regions(routes, texts, n, t, most, limit)
+    sets = _with_sets(texts, cut(_spread(routes).select(*ROUTED)), n, limit)
     rows = sets.repartition(parts, "region", "part").sortWithinPartitions("region", "part", F.desc("role"), "id")
     return own, classes, rows.mapInArrow(frugal(_join_regions(t, emit)), RESULTS[emit])
 

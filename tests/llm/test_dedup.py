@@ -134,6 +134,45 @@ def test_a_shared_passage_sends_no_text_about(make_docs, monkeypatch):
     assert sum(sent) <= 4
 
 
+def test_frequent_n_grams_send_no_text_about(make_docs, monkeypatch):
+    """Unrelated texts of a small vocabulary: each n-gram is in some 20 of them, which is no reason to route them to each other."""
+    rng = random.Random(21)
+    rows = [(k, " ".join(f"v{rng.randrange(12)}" for _ in range(130))) for k in range(270)]
+    rows += [(900 + k, rows[k][1].replace("v1 v2", "v1 x v2", 1) + " end") for k in range(5)]
+    sent, with_sets = [], jj._with_sets
+
+    def recorded(texts, routes, *more):
+        sent.append(routes.count())
+        return with_sets(texts, routes, *more)
+
+    monkeypatch.setattr(jj, "_with_sets", recorded)
+    want = brute.jaccard_pairs(rows, 0.5, 3)
+    assert {(k, 900 + k) for k in range(5)} == set(want)
+    for more in ({}, {"broadcast_bytes": 0}):
+        sent.clear()
+        assert _rows(jj.near_duplicates(make_docs(rows), 0.5, 3, **more)) == _links(want)
+        assert sum(sent) <= 2 * len(rows)
+
+
+def test_sketches_rule_out_no_near_set():
+    rng = np.random.default_rng(11)
+    near = kept = 0
+    for _ in range(400):
+        size = int(rng.integers(1, 700))
+        base = rng.integers(0, 1 << 48, size).astype(np.uint64)
+        pack = lambda s: (len(s), jj.zlib.compress(jj.sketch(s).tobytes(), 1))
+        homes = [np.unique(np.where(rng.random(size) < rng.random(), base, rng.integers(0, 1 << 48, size).astype(np.uint64)))[: int(rng.integers(1, size + 1))] for _ in range(int(rng.choice([1, 3, 150])))]
+        guest = np.unique(base)
+        both = np.array([len(np.intersect1d(guest, h)) for h in homes])
+        j = both / (np.array([len(h) for h in homes]) + len(guest) - both)
+        got = jj.Homes([pack(h) for h in homes], 0.5).may_reach(*pack(guest))
+        assert got or j.max() < 0.5
+        near, kept = near + (j.max() >= 0.5), kept + got
+    assert 40 < near <= kept < 400
+    crowded = (np.arange(200, dtype=np.uint64) << np.uint64(20)) + np.uint64(5)  # all in one slot
+    assert len(jj.sketch(crowded)) == 0 and jj.Homes([pack(crowded)], 0.5).may_reach(*pack(np.arange(3, dtype=np.uint64)))
+
+
 def test_members_with_partners_stay():
     rng = np.random.default_rng(6)
     for t in (0.5, 0.8):
