@@ -10,7 +10,7 @@ from compare import difference
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from sievework.functions import urls
+from sievework.functions import html, urls
 from sievework.plans import catalog, samples
 
 REPO = Path(__file__).resolve().parents[1]
@@ -70,3 +70,9 @@ def test_rest_works_without_training_data_operators(tmp_path):
     shutil.copy(REPO / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert len(e.queries()) > 30 and e.oracle_sql() and not any(k.startswith('op') or k == 'pipeline' for k in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, timeout=120)
+
+
+def test_references_without_semicolon_stay():
+    """A title that is cut inside a reference keeps what is left of it, as in SQL."""
+    page = '<h1>a &amp;&amp&amp</h1><article>b &ampc &copy; &#65; &#65 &nosuch; &</article><a href="/x?a=1&copy=2&amp;d=3">l</a>'
+    assert html.extract(page)[:3] == ("a &&amp&amp", "b &ampc © A &#65 &nosuch; &", ["/x?a=1&copy=2&d=3"])
