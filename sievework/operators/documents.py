@@ -1,8 +1,10 @@
 """Documents of pages: lines, repeated headers and footers, assembly, classification.
 
 Pages are rows of (doc_id, page_number, text, tables), words rows of (doc_id,
-page_index, page_height, text, x0, top). A document's pages meet only in
-grouped operators keyed by doc_id, so any number of documents run in parallel.
+page_index, page_height, text, x0, top), or of (doc_id, page_index,
+page_height, words) for a whole page, which needs no shuffle. A document's
+pages meet only in grouped operators keyed by doc_id, so any number of
+documents run in parallel.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import rules
 from sievework.functions import text as tx
+from sievework.functions.urls import let
 
 
 def page_lines(pages: DataFrame, page_col: str = "page_number") -> DataFrame:
@@ -97,6 +100,39 @@ def _group(keys: list[str], tolerance: float):
     return run
 
 
+def _sliced(words: pa.ListArray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of pages with some ``most`` words together, or a single page."""
+    ends = words.offsets.to_numpy()
+    at = 0
+    while at < len(words):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+        yield at, min(to, len(words))
+        at = to
+
+
+def _group_pages(keys: list[str], tolerance: float, most: int = 1 << 17):
+    """As ``_group``, for rows of a whole page each; words are held of few pages at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("words")
+            for at, to in _sliced(column, most):
+                pages = column.slice(at, to - at)
+                parts = pages.flatten()
+                rows = pa.table({"page": pc.list_parent_indices(pages), "top": parts.field("top"), "x0": parts.field("x0"), "text": parts.field("text")})
+                rows = rows.drop_null()
+                if not rows.num_rows:
+                    continue
+                tops, page = rows.column("top").to_numpy(), rows.column("page").to_numpy()
+                if np.any((np.diff(tops) < 0) & (np.diff(page) == 0)):
+                    rows = rows.sort_by([("page", "ascending"), ("top", "ascending"), ("x0", "ascending")])
+                lines = _lines_of(rows, ["page"], tolerance)
+                own = batch.slice(at, to - at).select(keys).take(lines.column("page"))
+                yield pa.RecordBatch.from_arrays([*own.columns, *lines.columns[1:]], [*keys, *lines.schema.names[1:]])
+
+    return run
+
+
 def group_words(words: DataFrame, tolerance: float = 5.0, keys: tuple[str, ...] = ("doc_id", "page_index")) -> DataFrame:
     """(doc_id, page_index, line_no, top, line): words into lines.
 
@@ -104,26 +140,42 @@ def group_words(words: DataFrame, tolerance: float = 5.0, keys: tuple[str, ...]
     tolerance below the line's first top, which only a pass in order can tell:
     one shuffle by page and one sort bring the words in that order, and whole
     batches of pages are cut into lines at once. Words of a line go by x0.
-    Words without a text or a place are left out.
+    Words without a text or a place are left out. Where a row is a whole page,
+    with an array ``words`` of structs, nothing is shuffled.
     """
     own = list(keys)
-    rows = words.select(*own, F.col("top").cast("double").alias("top"), F.col("x0").cast("double").alias("x0"), "text").dropna(subset=["top", "x0", "text"])
-    kinds = dict(rows.dtypes)
+    kinds = dict(words.dtypes)
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in own), "line_no int, top double, line string"])
-    lines = rows.repartition(*own).sortWithinPartitions(*own, "top", "x0").mapInArrow(_group(own, tolerance), schema)
+    if "words" in words.columns:
+        shaped = F.transform("words", lambda w: F.struct(w["text"].alias("text"), w["x0"].cast("double").alias("x0"), w["top"].cast("double").alias("top")))
+        lines = words.select(*own, F.coalesce(shaped, F.expr("cast(array() as array<struct<text: string, x0: double, top: double>>)")).alias("words")).mapInArrow(_group_pages(own, tolerance), schema)
+    else:
+        rows = words.select(*own, F.col("top").cast("double").alias("top"), F.col("x0").cast("double").alias("x0"), "text").dropna(subset=["top", "x0", "text"])
+        lines = rows.repartition(*own).sortWithinPartitions(*own, "top", "x0").mapInArrow(_group(own, tolerance), schema)
     return lines.withColumn("line", tx.squeeze(F.col("line")))
 
 
+def _zoned(words: DataFrame, top_part: float, bottom_part: float) -> DataFrame:
+    """The words of each zone, or, where rows are pages, a row for each zone of a page with its words."""
+    whole = "words" in words.columns
+    names = words.schema["words"].dataType.elementType.names if whole else words.columns
+    high = lambda w: w["top"] <= top_part * F.col("page_height")
+    low = lambda w: w["bottom" if "bottom" in names else "top"] >= (1 - bottom_part) * F.col("page_height")
+    rows = words.where("page_height > 0")
+    if not whole:
+        own = {k: F.col(k) for k in names}
+        return rows.withColumn("zone", F.explode(F.array_compact(F.array(F.when(high(own), "header"), F.when(low(own), "footer")))))
+    zones = F.array(*(F.struct(F.lit(zone).alias("zone"), F.filter("words", test).alias("words")) for zone, test in (("header", high), ("footer", low))))
+    return rows.select("doc_id", "page_index", F.inline(zones))
+
+
 def region_candidates(words: DataFrame, top_part: float = 0.15, bottom_part: float = 0.12, tolerance: float = 5.0) -> DataFrame:
     """(doc_id, page_index, zone, line_no, raw_text, tokens): lines at the top and bottom of pages that may be banners.
 
     A word stands at the bottom by its lower edge, where there is a column
     ``bottom``, else by its top.
     """
-    low = F.col("bottom" if "bottom" in words.columns else "top")
-    zones = F.array_compact(F.array(F.when(F.col("top") <= top_part * F.col("page_height"), "header"), F.when(low >= (1 - bottom_part) * F.col("page_height"), "footer")))
-    zoned = words.where("page_height > 0").withColumn("zone", F.explode(zones))
-    lines = group_words(zoned, tolerance, ("doc_id", "page_index", "zone"))
+    lines = group_words(_zoned(words, top_part, bottom_part), tolerance, ("doc_id", "page_index", "zone"))
     # Generated, so that the filter on the tokens doesn't work them out again.
     rows = lines.where(~tx.never_remove(F.col("line"))).select("doc_id", "page_index", "zone", "line_no", F.col("line").alias("raw_text"), F.explode(F.array(tx.token_set(F.col("line")))).alias("tokens"))
     return rows.where((F.size("tokens") >= 2) & ~tx.looks_like_syllabus(F.col("tokens")))
@@ -197,46 +249,58 @@ def removal_patterns(clusters: DataFrame, page_counts: DataFrame, threshold: flo
     ``ord`` is the order in which the clusters were opened, and in which a
     line tries them. Cores of a single token are no patterns.
     """
-    joined = clusters.join(page_counts, "doc_id").where((F.col("page_count") > 1) & (F.size("pages") >= least_pages(F.col("page_count"), threshold)) & (F.size("core") >= 2))
+    repeated = clusters.where((F.size("pages") >= 2) & (F.size("core") >= 2))  # before the shuffle, which the many others need not go through
+    joined = repeated.join(page_counts, "doc_id").where((F.col("page_count") > 1) & (F.size("pages") >= least_pages(F.col("page_count"), threshold)))
     return joined.select("doc_id", "zone", F.array_join("core", " ").alias("label"), F.col("core").alias("tokens"), representative(F.col("variants")).alias("representative"), F.size("pages").alias("n_pages"), F.col("cluster").alias("ord"))
 
 
-def window_lines(pages: DataFrame, first: int = 10, last: int = 5) -> DataFrame:
-    """(doc_id, page, line_no, line, zone) of pages(doc_id, page_number, text): header for a page's first lines, else footer for its last, of those neither blank nor tabular."""
-    numbered = F.transform(tx.lines(F.coalesce(F.col("text"), F.lit(""))), lambda line, i: F.struct(i.alias("line_no"), line.alias("line")))
+def _window(text: Column, first: int = 10, last: int = 5) -> Column:
+    """Array of (line_no, line, zone) as ``window_lines`` has them."""
+    numbered = F.transform(tx.lines(F.coalesce(text, F.lit(""))), lambda line, i: F.struct(i.alias("line_no"), line.alias("line")))
     eligible = F.filter(numbered, lambda x: (tx.strip(x["line"]) != "") & ~tx.is_table_line(x["line"]))
-    rows = pages.select("doc_id", F.col("page_number").alias("page"), eligible.alias("l"))
     named = lambda part, zone: F.transform(part, lambda x: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line"), F.lit(zone).alias("zone")))
-    after = F.greatest(F.lit(first), F.size("l") - last) + 1
-    both = F.concat(named(F.slice("l", 1, first), "header"), named(F.slice("l", after, last), "footer"))
-    return rows.select("doc_id", "page", F.inline(both))
+    return let(eligible, lambda e: F.concat(named(F.slice(e, 1, first), "header"), named(F.slice(e, F.greatest(F.lit(first), F.size(e) - last) + 1, last), "footer")))
+
+
+def window_lines(pages: DataFrame, first: int = 10, last: int = 5) -> DataFrame:
+    """(doc_id, page, line_no, line, zone) of pages(doc_id, page_number, text): header for a page's first lines, else footer for its last, of those neither blank nor tabular."""
+    return pages.select("doc_id", F.col("page_number").alias("page"), F.inline(_window(F.col("text"), first, last)))
+
+
+def _label(line: Column, zone: Column, patterns: Column) -> Column:
+    """Label of the first of a document's patterns that takes the stripped line away, or null."""
+    first = lambda own: F.get(F.filter(patterns, lambda p: (p["zone"] == zone) & tx.similar(own, p["tokens"])), F.lit(0))["label"]
+    return F.when(~tx.never_remove(line), let(tx.token_set(line), lambda own: F.when(F.size(own) >= 2, first(own))))
 
 
-def removed_lines(pages: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(doc_id, page, line_no, label): lines in a window that a pattern of their zone takes away, the first pattern's label."""
-    lines = window_lines(pages).withColumn("line", tx.strip(F.col("line"))).where(~tx.never_remove(F.col("line")))
-    own = lines.select("doc_id", "page", "line_no", "zone", F.explode(F.array(tx.token_set(F.col("line")))).alias("own")).where(F.size("own") >= 2)
-    pats = patterns.select("doc_id", "zone", "label", "tokens", "ord")
-    # Similar sets share a token: an equi-join on it, then the test itself.
-    by_token = own.select("doc_id", "page", "line_no", "zone", "own", F.explode("own").alias("token"))
-    hits = by_token.join(pats.select("doc_id", "zone", "label", "tokens", "ord", F.explode("tokens").alias("token")), ["doc_id", "zone", "token"])
-    return hits.where(tx.similar(F.col("own"), F.col("tokens"))).groupBy("doc_id", "page", "line_no").agg(F.min_by("label", "ord").alias("label"))
+def marked_pages(pages: DataFrame, patterns: DataFrame, every: bool = True) -> DataFrame:
+    """(doc_id, page, text, removed): each page, or those of documents with patterns, with the (line_no, label) of the lines in a window that a pattern of their zone takes away; the first pattern's label.
+
+    A document's patterns come to its pages as one row, so lines and tokens
+    are never shuffled.
+    """
+    by_doc = patterns.groupBy(F.col("doc_id").cast(pages.schema["doc_id"].dataType).alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("ord", "zone", "label", "tokens"))).alias("patterns"))
+    rows = pages.select("doc_id", F.col("page_number").alias("page"), "text").join(by_doc, "doc_id", "left" if every else "inner")
+    labelled = F.transform(_window(F.col("text")), lambda x: F.struct(x["line_no"].alias("line_no"), _label(tx.strip(x["line"]), x["zone"], F.col("patterns")).alias("label")))
+    removed = F.when(F.col("patterns").isNotNull(), F.filter(labelled, lambda x: x["label"].isNotNull()))
+    # Generated, so that the uses of the lines don't work them out again.
+    return rows.select("doc_id", "page", "text", F.explode(F.array(removed)).alias("removed"))
 
 
-def cleaned_pages(pages: DataFrame, removed: DataFrame) -> DataFrame:
+def cleaned_pages(marked: DataFrame) -> DataFrame:
     """(doc_id, page, text) of every page without the removed lines, stripped."""
-    gone = removed.groupBy("doc_id", "page").agg(F.collect_set("line_no").alias("gone"))
-    rows = pages.select("doc_id", F.col("page_number").alias("page"), F.coalesce("text", F.lit("")).alias("text")).join(gone, ["doc_id", "page"], "left")
-    left = F.array_join(F.filter(tx.lines(F.col("text")), lambda line, i: ~F.array_contains("gone", i)), "\n")
-    return rows.select("doc_id", "page", tx.strip(F.when(F.col("gone").isNull(), F.array_join(tx.lines(F.col("text")), "\n")).otherwise(left)).alias("text"))
+    lines, gone = tx.lines(F.coalesce("text", F.lit(""))), F.transform("removed", lambda x: x["line_no"])
+    left = F.when(F.size("removed") > 0, let(gone, lambda g: F.filter(lines, lambda line, i: ~F.array_contains(g, i)))).otherwise(lines)
+    return marked.select("doc_id", "page", tx.strip(F.array_join(left, "\n")).alias("text"))
 
 
-def removed_report(removed: DataFrame, patterns: DataFrame) -> DataFrame:
+def removed_report(marked: DataFrame, patterns: DataFrame) -> DataFrame:
     """(doc_id, removed_repeated_lines): representatives of the patterns that removed a line, most pages first, each once.
 
     Pages are counted by label, which a header and a footer may share.
     """
-    pages = removed.groupBy("doc_id", "label").agg(F.count_distinct("page").alias("n"))
+    labels = marked.select("doc_id", "page", F.explode(F.array_distinct(F.transform("removed", lambda x: x["label"]))).alias("label"))
+    pages = labels.groupBy("doc_id", "label").agg(F.count_distinct("page").alias("n"))
     rows = patterns.join(pages, ["doc_id", "label"]).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "zone", "label", "representative"))).alias("r"))
     return rows.select("doc_id", F.array_distinct(F.transform("r", lambda x: x["representative"])).alias("removed_repeated_lines"))
 
@@ -272,8 +336,7 @@ def clean_documents(pages: DataFrame, words: DataFrame, threshold: float = 0.5)
     counts = pages.groupBy("doc_id").agg(F.count("*").alias("page_count"))
     found = cluster_candidates(region_candidates(words))
     patterns = removal_patterns(found, counts.withColumn("doc_id", F.col("doc_id").cast("string")), threshold)
-    removed = removed_lines(pages, patterns)
-    return cleaned_pages(pages, removed), removed_report(removed, patterns)
+    return cleaned_pages(marked_pages(pages, patterns)), removed_report(marked_pages(pages, patterns, False), patterns)
 
 
 def clean_records(pages: DataFrame, words: DataFrame, titles: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:

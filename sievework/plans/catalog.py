@@ -252,17 +252,24 @@ def _words(pages: DataFrame) -> DataFrame:
     return words.select("doc_id", "page_index", "page_height", "text", (F.col("k") * 10.0).alias("x0"), (F.col("line_no") * 12.0 + (F.col("k") % 3) * 2.0).alias("top"))
 
 
+def _word_pages(pages: DataFrame) -> DataFrame:
+    """The same words, a row for each page."""
+    rows = pages.select("doc_id", F.col("page_number").cast("int").alias("page_index"), tx.lines(F.coalesce("text", F.lit(""))).alias("l"))
+    placed = lambda line, i: F.transform(F.filter(F.split(line, " "), lambda w: w != ""), lambda w, k: F.struct(w.alias("text"), (k * 10.0).alias("x0"), (i * 12.0 + (k % 3) * 2.0).alias("top")))
+    return rows.select("doc_id", "page_index", (F.size("l") * 12.0).alias("page_height"), F.flatten(F.transform("l", placed)).alias("words"))
+
+
 @query
 def group_words(spark, sf_dir):
     """Words of every document into lines."""
     docs = read_table(spark, sf_dir, "documents")
-    return documents.group_words(_words(docs.select("doc_id", F.lit(1).alias("page_number"), "text"))).select("doc_id", "page_index", "line_no", "top", "line")
+    return documents.group_words(_word_pages(docs.select("doc_id", F.lit(1).alias("page_number"), "text"))).select("doc_id", "page_index", "line_no", "top", "line")
 
 
 @query
 def region_candidates(spark, sf_dir):
     """Possible banners at the top and bottom of pseudo-PDF pages."""
-    return documents.region_candidates(_words(_pseudo_pdfs(spark, sf_dir))).select("doc_id", "page_index", "zone", "raw_text", F.size("tokens").alias("n_tokens"))
+    return documents.region_candidates(_word_pages(_pseudo_pdfs(spark, sf_dir))).select("doc_id", "page_index", "zone", "raw_text", F.size("tokens").alias("n_tokens"))
 
 
 @query
@@ -270,7 +277,7 @@ def banner_patterns(spark, sf_dir):
     """Greedy clusters that repeat on a tenth of the pages."""
     pdfs = _pseudo_pdfs(spark, sf_dir)
     counts = pdfs.groupBy("doc_id").agg(F.count("*").alias("page_count"))
-    found = documents.cluster_candidates(documents.region_candidates(_words(pdfs)))
+    found = documents.cluster_candidates(documents.region_candidates(_word_pages(pdfs)))
     return documents.removal_patterns(found, counts, 0.1).select("doc_id", "zone", "label", "representative", "n_pages")
 
 
@@ -278,14 +285,14 @@ def banner_patterns(spark, sf_dir):
 def strip_banners(spark, sf_dir):
     """Pages without the lines that repeat."""
     pdfs = _pseudo_pdfs(spark, sf_dir)
-    return documents.clean_documents(pdfs, _words(pdfs), 0.1)[0]
+    return documents.clean_documents(pdfs, _word_pages(pdfs), 0.1)[0]
 
 
 @query
 def removed_report(spark, sf_dir):
     """P26."""
     pdfs = _pseudo_pdfs(spark, sf_dir)
-    report = documents.clean_documents(pdfs, _words(pdfs), 0.1)[1]
+    report = documents.clean_documents(pdfs, _word_pages(pdfs), 0.1)[1]
     return report.select("doc_id", F.array_join("removed_repeated_lines", "\n").alias("removed_repeated_lines"))
 
 

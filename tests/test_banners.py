@@ -82,3 +82,15 @@ def test_words_at_the_bottom_by_their_lower_edge(spark):
     words = spark.createDataFrame(rows, "doc_id string, page_index int, page_height double, text string, x0 double, top double, bottom double")
     assert [r["raw_text"] for r in documents.region_candidates(words).collect()] == ["printed here"]
     assert documents.region_candidates(words.drop("bottom")).count() == 0
+
+
+def test_pages_of_words_as_single_words(spark):
+    """Whole pages give the lines and candidates that their single words give, and shuffle nothing."""
+    texts = ["a b  c\n\nd e\nf", None, "", *(f"top {k} words here\n" + "\n".join(_body("pqrst"[k], 9)) + "\nprinted here" for k in range(5))]
+    rows = spark.createDataFrame([("d", n, t) for n, t in enumerate(texts, 1)], "doc_id string, page_number long, text string")
+    flat, whole = catalog._words(rows), catalog._word_pages(rows)
+    for f in (documents.group_words, documents.region_candidates):
+        assert sorted(map(str, f(whole).collect())) == sorted(map(str, f(flat).collect()))
+        assert "Exchange" not in f(whole)._jdf.queryExecution().executedPlan().toString()
+    odd = spark.createDataFrame([("d", 1, [("low", 0.0, 9.0), ("b", 10.0, 2.0), ("a", 0.0, 0.0), (None, 0.0, 0.0), ("x", None, 0.0)])], "doc_id string, page_index int, words array<struct<text: string, x0: double, top: double>>")
+    assert [(r["line_no"], r["top"], r["line"]) for r in documents.group_words(odd).orderBy("line_no").collect()] == [(0, 0.0, "a b"), (1, 9.0, "low")]
