@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import rules, urls
-from sievework.functions.html import html_extract
+from sievework.functions.html import with_extract
 from sievework.functions.text import UI_PHRASES
 from sievework.operators.documents import iso_time
 
 
 def parsed_pages(pages: DataFrame, phrases: tuple[str, ...] = UI_PHRASES) -> DataFrame:
     """pages(url, html, ...) with the struct ``page``; the HTML itself goes."""
-    return pages.withColumn("page", html_extract(F.col("html"), phrases)).drop("html")
+    return with_extract(pages, phrases)
 
 
 def page_records(parsed: DataFrame, page_rules=rules.PAGE_RULES, scraped_at: Column | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from compare import difference
 from pyspark.sql import functions as F
@@ -76,3 +77,16 @@ def test_references_without_semicolon_stay():
     """A title that is cut inside a reference keeps what is left of it, as in SQL."""
     page = '<h1>a &amp;&amp&amp</h1><article>b &ampc &copy; &#65; &#65 &nosuch; &</article><a href="/x?a=1&copy=2&amp;d=3">l</a>'
     assert html.extract(page)[:3] == ("a &&amp&amp", "b &ampc © A &#65 &nosuch; &", ["/x?a=1&copy=2&d=3"])
+
+
+def test_few_pages_are_parsed_at_once(spark):
+    """Parsed rows come in slices, whatever the size of the batch; the rows are the same."""
+    rows = spark.read.parquet(f"{SF}/pages.parquet").coalesce(1)
+    out = html.with_extract(rows, rows=7)
+    sizes = out.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+    assert "MapInArrow" in out._jdf.queryExecution().toString() and sum(r["n"] for r in sizes.collect()) == rows.count()
+    want = {r["page_id"]: html.extract(r["html"]) for r in rows.collect()}
+    got = {r["page_id"]: (*r["page"][:3], [tuple(x) for x in r["page"]["pdfs"]], r["page"]["error"]) for r in out.collect()}
+    assert got == want
+    empty = spark.createDataFrame([(1, None)], "page_id long, html string")
+    assert tuple(html.with_extract(empty).first()["page"]) == (None,) * 5
